@@ -7,7 +7,8 @@ length (the head of the curve is flat and long), or an extreme slope or residual
 so that drills keep the curve of one sentence, while keyword lists keep their repeats.  Links, hashtags and product
 entries are recognised by their form.  A page is a case if stuffed parts make up more than half of its characters.
 
-One shuffle places each page in one task; explode, aggregation and windows then reuse that partitioning.
+Cutting and counting are one narrow stage over the pages; only the words of parts poor in types are exploded, ranked
+and fitted, so the shuffle carries a fraction of the corpus.
 """
 
 from __future__ import annotations
@@ -21,6 +22,10 @@ from voxloom.session import cut_lineage
 LONG_LINE = 30
 #: Share of the prose type/token ratio (same language, same length class) below which a part is stuffed.
 LIST_RATIO, SENTENCE_RATIO = 0.75, 0.55
+#: Curves that prose does not have: the fitted frequency of the middle rank is clearly above 1 (a small stock repeated
+#: evenly), the fit is poor or the first rank holds a large share (a few words far above a tail of single ones), or the
+#: slope is steep.
+MIDDLE, RESIDUAL, SLOPE, HEAD = 1.05, 0.15, -0.9, 0.2
 #: Least ratio expected of prose by length class (log2 of the words): holds where a language has few parts of a class,
 #: or where stuffed pages outnumber its prose.
 LEAST_RATIO = {3: 0.85, 4: 0.75, 5: 0.65, 6: 0.55, 7: 0.47, 8: 0.42, 9: 0.36, 10: 0.3}
@@ -30,97 +35,128 @@ _LINK = (
     r"\b(?:https?|ftp)://[^\s<>)\]]+|\bwww\.[^\s<>)\]]+"
 )
 _PRODUCT = r"(?i)\b[A-Z]{1,3}-?\d{2,6}\b.{0,120}?\d+[.,]\d\d(?!\d)"
-_SENTENCE_END = r"[.!?…](?=[\s\"'”’»)\]<]|$)|[。！？]"
 
 
 def _count(text: Column, chars: str) -> Column:
     return F.length(text) - F.length(F.translate(text, chars, ""))
 
 
-def page_lines(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
-    """Distinct lines of each page with their number of occurrences and their form."""
-    lang = F.lower(F.substring(F.trim(F.col(lang_col)), 1, 2))
-    pages = docs.select(
-        F.col(id_col).alias("doc_id"),
-        F.when(lang.rlike("^[a-z]{2}$"), lang).otherwise(F.lit("un")).alias("lang"),
-        F.regexp_replace(F.col(text_col), r"<\|[A-Za-z_]{1,40}\|>", " ").alias("text"),
-    ).where("length(trim(text)) > 0")
-    lines = (
-        pages.repartition("doc_id")
-        .select("doc_id", "lang", F.explode(F.split("text", r"[\r\n  ]+")).alias("line"))
-        .select("doc_id", "lang", F.trim("line").alias("line"))
-        .where("length(line) > 0")
-        .groupBy("doc_id", "lang", "line")
-        .agg(F.count(F.lit(1)).alias("times"))
-    )
-    line = F.col("line")
-    has_link = line.contains("://") | F.lower(line).contains("<a ") | line.contains("](") | F.lower(line).contains("www.")
-    lines = lines.withColumn("rest", F.when(has_link, F.regexp_replace(line, _LINK, " ")).otherwise(line))
-    rest = F.col("rest")
-    lines = lines.select(
-        "doc_id",
-        "lang",
-        "line",
-        "times",
+def _line(line: Column) -> Column:
+    """What one line is made of, as a struct."""
+    low = F.lower(line)
+    has_link = line.contains("://") | line.contains("](") | low.contains("<a ") | low.contains("www.")
+    return F.struct(line.alias("line"), F.when(has_link, F.regexp_replace(line, _LINK, " ")).otherwise(line).alias("rest"))
+
+
+def _measured(x: Column) -> Column:
+    line, rest = x["line"], x["rest"]
+    said = F.split(rest, r"(?<=[.!?…])\s+|(?<=[。！？])")
+    closed = F.rtrim(rest).rlike(r"[.!?…。！？][\"'”’»)\]*_]*$")
+    return F.struct(
         F.length(line).alias("chars"),
         (F.length(line) - F.length(rest)).alias("link_chars"),
-        F.array_distinct(F.split(rest, r"(?<=[.!?…])\s+|(?<=[。！？])")).alias("sentences"),
-        F.regexp_count(rest, F.lit(_SENTENCE_END)).alias("ends"),
+        (F.size(said) - 1 + F.when(closed & ~F.element_at(said, -1).eqNullSafe(""), 1).otherwise(0)).alias("ends"),
+        F.array_distinct(said).alias("said"),
         _count(rest, "0123456789").alias("digits"),
         _count(rest, "#").alias("hashes"),
         _count(rest, "(){}[]=_<>\\").alias("symbols"),
-        F.when(rest.rlike(r"\d[.,]\d\d"), F.regexp_count(rest, F.lit(_PRODUCT))).otherwise(F.lit(0)).alias("products"),
         (F.substring(rest, 1, 1) == "|").alias("table_row"),
+        rest.alias("rest"),
     )
-    return lines.withColumn(
-        "words", F.filter(F.split(F.lower(F.array_join("sentences", " ")), r"[^\p{L}\p{M}]+"), lambda w: F.length(w) > 0)
-    ).withColumn("n", F.size("words"))
 
 
-def classified(lines: DataFrame) -> DataFrame:
-    """Adds kind: link, tags, product, list, sentence or other."""
-    sentence = (F.col("ends") > 0) & (F.col("n") <= 45 * F.col("ends"))
+def _worded(x: Column) -> Column:
+    words = F.filter(F.split(F.lower(F.array_join(x["said"], " ")), r"[^\p{L}\p{M}]+"), lambda w: w != "")
+    product = x["digits"] >= 3
+    return F.struct(
+        x["chars"].alias("chars"),
+        x["link_chars"].alias("link_chars"),
+        x["ends"].alias("ends"),
+        x["hashes"].alias("hashes"),
+        (x["table_row"] | (20 * x["symbols"] >= x["chars"]) | (4 * x["digits"] >= x["chars"])).alias("other"),
+        (product & F.when(product, x["rest"].rlike(_PRODUCT)).otherwise(F.lit(False))).alias("product"),
+        words.alias("words"),
+    )
+
+
+def _kind(x: Column) -> Column:
+    """link, tags, product, list, sentence or other."""
+    n = F.size(x["words"])
+    sentence = (x["ends"] > 0) & (n <= 45 * x["ends"])
     kind = (
-        F.when((F.col("link_chars") > 0) & ~sentence, "link")
-        .when((F.col("hashes") >= 3) & (2 * F.col("hashes") >= F.col("n")), "tags")
-        .when((F.col("products") > 0) & ~sentence, "product")
-        .when(F.col("table_row") | (20 * F.col("symbols") >= F.col("chars")) | (4 * F.col("digits") >= F.col("chars")), "other")
+        F.when((x["link_chars"] > 0) & ~sentence, "link")
+        .when((x["hashes"] >= 3) & (2 * x["hashes"] >= n), "tags")
+        .when(x["product"] & ~sentence, "product")
+        .when(x["other"], "other")
         .when(sentence, "sentence")
         .otherwise("list")
     )
-    return lines.withColumn("kind", kind)
+    return F.struct(kind.alias("kind"), x["chars"].alias("chars"), x["link_chars"].alias("link_chars"), x["words"].alias("words"))
 
 
-def page_parts(lines: DataFrame) -> DataFrame:
-    """Rank-frequency curve of each part of each page: size, types, slope, residual and characters."""
-    part = F.when(F.col("n") >= LONG_LINE, F.xxhash64("line")).when(F.col("kind") == "sentence", F.lit(-1)).otherwise(F.lit(-2))
-    lines = lines.withColumn("part", part)
-    keys = ["doc_id", "lang", "kind", "part"]
-    repeats = F.when(F.col("kind") == "list", F.col("times")).otherwise(F.lit(1))
-    sized = lines.groupBy(*keys).agg(
-        F.sum(F.col("chars") * F.col("times")).alias("chars"), F.sum(F.col("link_chars") * F.col("times")).alias("link_chars")
-    )
-    counts = (
-        lines.where("kind in ('list', 'sentence')")
-        .select(*keys, repeats.alias("w"), F.explode("words").alias("word"))
-        .groupBy(*keys, F.xxhash64("word").alias("word"))
-        .agg(F.sum("w").alias("f"))
+def _total(items: Column, name: str) -> Column:
+    return F.aggregate(items, F.lit(0).cast("long"), lambda sum_, x: sum_ + x[name])
+
+
+def page_parts(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
+    """The parts of every page, one row each, in one narrow stage.
+
+    Long lines are parts of their own; short sentence lines make one part, in which equal lines count once; short list
+    lines make another, in which they keep their repeats; all links, tags, products and other lines make one each.
+    """
+    lang = F.lower(F.substring(F.trim(F.col(lang_col)), 1, 2))
+    text = F.col(text_col)
+    text = F.when(text.contains("<|"), F.regexp_replace(text, r"<\|[A-Za-z_]{1,40}\|>", " ")).otherwise(text)
+    lines = F.filter(F.transform(F.split(text, "[\r\n\u2028\u2029]+"), lambda x: F.trim(x)), lambda x: x != "")
+    pages = docs.select(
+        F.col(id_col).alias("doc_id"), F.when(lang.rlike("^[a-z]{2}$"), lang).otherwise(F.lit("un")).alias("lang"), lines.alias("lines")
+    ).where("size(lines) > 0")
+    for step in (_line, _measured, _worded, _kind):
+        pages = pages.withColumn("lines", F.transform("lines", step))
+
+    def own(x: Column) -> Column:
+        return x["kind"].isin("list", "sentence") & (F.size(x["words"]) >= LONG_LINE)
+
+    def merged(kind: str, set_of_lines: bool = False) -> Column:
+        some = F.filter("lines", lambda x: (x["kind"] == kind) & ~own(x))
+        words = F.transform(some, lambda x: x["words"])
+        words = F.flatten(F.array_distinct(words) if set_of_lines else words)
+        if kind not in ("list", "sentence"):
+            words = F.array().cast("array<string>")
+        return F.struct(F.lit(kind).alias("kind"), _total(some, "chars").alias("chars"), _total(some, "link_chars").alias("link_chars"), words.alias("words"))
+
+    alone = F.transform(
+        F.filter("lines", own),
+        lambda x: F.struct(x["kind"].alias("kind"), x["chars"].cast("long").alias("chars"), x["link_chars"].cast("long").alias("link_chars"), x["words"].alias("words")),
     )
-    ranked = counts.withColumn("r", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("f"), "word")))
+    together = F.array(merged("sentence", True), merged("list"), merged("link"), merged("tags"), merged("product"), merged("other"))
+    parts = pages.select("doc_id", "lang", F.explode(F.concat(alone, F.filter(together, lambda x: x["chars"] > 0))).alias("x"))
+    parts = parts.select("doc_id", "lang", "x.*", F.size("x.words").alias("n"), F.size(F.array_distinct("x.words")).alias("types"))
+    ratio = F.col("types") / F.greatest(F.col("n"), F.lit(1))
+    # words stay with the parts that can fall below their share of any prose ratio (at most 1)
+    poor = F.when(F.col("kind") == "list", ratio < LIST_RATIO).when(F.col("kind") == "sentence", ratio < SENTENCE_RATIO).otherwise(F.lit(False))
+    return parts.withColumn("ratio", ratio).withColumn("words", F.when(poor, F.col("words"))).withColumn("part", F.expr("uuid()"))
+
+
+def fitted(parts: DataFrame) -> DataFrame:
+    """Rank-frequency curve of the parts that keep their words: ``(part, slope, residual, middle, head)``.
+
+    middle is the frequency that the fit gives the word of middle rank: about 1 in prose, where half of the types occur
+    once, and clearly more where a small stock of words is repeated.
+    """
+    counts = parts.where("words is not null").select("part", F.explode("words").alias("word")).groupBy("part", F.xxhash64("word").alias("word")).agg(F.count(F.lit(1)).alias("f"))
+    ranked = counts.withColumn("r", F.row_number().over(Window.partitionBy("part").orderBy(F.desc("f"), "word")))
     x, y = F.log("r"), F.log("f")
-    curves = ranked.groupBy(*keys).agg(
-        F.sum("f").alias("n"),
-        F.count(F.lit(1)).alias("types"),
-        F.coalesce(F.regr_slope(y, x), F.lit(0.0)).alias("slope"),
-        (F.coalesce(F.regr_syy(y, x) - F.regr_sxy(y, x) * F.regr_sxy(y, x) / F.nullif(F.regr_sxx(y, x), F.lit(0.0)), F.lit(0.0)) / F.count(F.lit(1))).alias("residual"),
-    )
-    return sized.join(curves, keys, "left")
+    slope = F.coalesce(F.regr_slope(y, x), F.lit(0.0))
+    types = F.count(F.lit(1))
+    spread_ = F.coalesce(F.regr_syy(y, x) - F.regr_sxy(y, x) * F.regr_sxy(y, x) / F.nullif(F.regr_sxx(y, x), F.lit(0.0)), F.lit(0.0))
+    middle = F.exp(F.avg(y) - slope * F.avg(x) + slope * F.log(F.greatest(F.lit(1.0), types / 2)))
+    return ranked.groupBy("part").agg(slope.alias("slope"), (spread_ / types).alias("residual"), middle.alias("middle"), (F.max("f") / F.sum("f")).alias("head"))
 
 
 def judged(parts: DataFrame) -> DataFrame:
-    """Adds expected (prose type/token ratio of the language and length class) and stuffed."""
+    """Adds expected (prose type/token ratio of the language and length class), the curve and stuffed."""
     parts = parts.withColumn("size_class", F.least(F.lit(10), F.floor(F.log2(F.greatest("n", F.lit(1)))).cast("int")))
-    parts = parts.withColumn("ratio", F.col("types") / F.col("n"))
     prose = (
         parts.where("kind = 'sentence' and n >= 8")
         .groupBy("lang", "size_class")
@@ -130,14 +166,16 @@ def judged(parts: DataFrame) -> DataFrame:
     least = F.element_at(F.create_map(*[F.lit(v) for kv in LEAST_RATIO.items() for v in kv]), F.greatest(F.col("size_class"), F.lit(3)))
     # at most 677 language codes x 8 length classes: a bounded table, safe to broadcast
     both = parts.join(F.broadcast(prose), ["lang", "size_class"], "left").withColumn("expected", F.greatest("median", least))
+    both = both.join(fitted(parts), "part", "left")
     few = F.col("ratio") < F.when(F.col("kind") == "list", LIST_RATIO).otherwise(SENTENCE_RATIO) * F.col("expected")
     long_enough = F.col("n") >= F.when(F.col("kind") == "list", 8).otherwise(20)
-    stuffed = F.col("kind").isin("link", "tags", "product") | (F.col("kind").isin("list", "sentence") & few & long_enough)
-    return both.withColumn("stuffed", F.coalesce(stuffed, F.lit(False)))
+    extreme = (F.col("middle") > MIDDLE) | (F.col("residual") > RESIDUAL) | (F.col("slope") < SLOPE) | (F.col("head") > HEAD)
+    repeated = F.col("kind").isin("list", "sentence") & few & long_enough & extreme
+    return both.withColumn("stuffed", F.coalesce(F.col("kind").isin("link", "tags", "product") | repeated, F.lit(False)))
 
 
 def parts_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    return judged(cut_lineage(page_parts(classified(page_lines(docs, id_col, text_col, lang_col)))))
+    return judged(cut_lineage(page_parts(docs, id_col, text_col, lang_col)))
 
 
 def stuffed_pages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
