@@ -21,7 +21,7 @@ from voxloom.session import cut_lineage
 #: Words that make a line a part of its own.
 LONG_LINE = 30
 #: Share of the prose type/token ratio (same language, same length class) below which a part is stuffed.
-LIST_RATIO, SENTENCE_RATIO = 0.75, 0.55
+LIST_RATIO, SENTENCE_RATIO = 0.9, 0.55
 #: Curves that prose does not have: the fitted frequency of the middle rank is clearly above 1 (a small stock repeated
 #: evenly), the fit is poor or the first rank holds a large share (a few words far above a tail of single ones), or the
 #: slope is steep.
