@@ -43,15 +43,16 @@ def _count(text: Column, chars: str) -> Column:
 
 def _line(line: Column) -> Column:
     """What one line is made of, as a struct."""
-    low = F.lower(line)
-    has_link = line.contains("://") | line.contains("](") | low.contains("<a ") | low.contains("www.")
+    has_link = F.lit(False)
+    for mark in ("://", "](", "<a ", "<A ", "www.", "WWW."):
+        has_link = has_link | line.contains(mark)
     return F.struct(line.alias("line"), F.when(has_link, F.regexp_replace(line, _LINK, " ")).otherwise(line).alias("rest"))
 
 
 def _measured(x: Column) -> Column:
     line, rest = x["line"], x["rest"]
-    said = F.split(rest, r"(?<=[.!?…])\s+|(?<=[。！？])")
-    closed = F.rtrim(rest).rlike(r"[.!?…。！？][\"'”’»)\]*_]*$")
+    said = F.split(rest, r"[.!?…]\s+|[。！？]\s*")
+    closed = F.right(F.rtrim(rest), F.lit(6)).rlike(r"[.!?…。！？][\"'”’»)\]*_]*$")
     return F.struct(
         F.length(line).alias("chars"),
         (F.length(line) - F.length(rest)).alias("link_chars"),
@@ -66,7 +67,7 @@ def _measured(x: Column) -> Column:
 
 
 def _worded(x: Column) -> Column:
-    words = F.filter(F.split(F.lower(F.array_join(x["said"], " ")), r"[^\p{L}\p{M}]+"), lambda w: w != "")
+    words = F.filter(F.split(F.lower(F.array_join(x["said"], " ")), r"\P{L}+"), lambda w: w != "")
     product = x["digits"] >= 3
     return F.struct(
         x["chars"].alias("chars"),
