@@ -5,14 +5,82 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from voxloom.llm import language, mixing, neardup, packing, stuffing, tokenize
 from voxloom.llm import leaks as _leaks
-from voxloom.llm import stuffing, tokenize
-from voxloom.session import table
+from voxloom.session import cut_lineage, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p1_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batch of every sample, or of each piece of one longer than the capacity, for every profile."""
+    return packing.pack_samples(table(spark, sf_dir, "canonical_samples"), table(spark, sf_dir, "batch_limits"))
+
+
+def p1_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the batches hold, by profile: nothing may be lost, split within the capacity, or over it."""
+    batches = p1_batches(spark, sf_dir)
+    loads = batches.groupBy("profile", "batch_id").agg(
+        F.sum("piece_size").alias("load"), F.count(F.lit(1)).alias("pieces"), F.count(F.when(F.col("piece_no") == 0, 1)).alias("samples")
+    )
+    caps = table(spark, sf_dir, "batch_limits").select("profile", "max_cost")
+    return (
+        loads.join(F.broadcast(caps), "profile")
+        .groupBy("profile")
+        .agg(
+            F.sum("samples").alias("samples"),
+            F.sum("pieces").alias("pieces"),
+            F.sum("load").alias("total_size"),
+            F.max(F.col("load") > F.col("max_cost")).alias("over_capacity"),
+            (F.count(F.lit(1)) <= F.ceil(F.sum("load") / F.floor(F.max("max_cost")) * 1.01) + 1).alias("near_least_batches"),
+        )
+    )
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    members = neardup.spoken_members(table(spark, sf_dir, "tts"))
+    members = cut_lineage(members)
+    return neardup.similar_rows(members, neardup.links(members))
+
+
+def p2_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    members = cut_lineage(neardup.spoken_members(table(spark, sf_dir, "tts")))
+    return neardup.groups(members, neardup.links(members))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.mislabelled(language.label_chats(table(spark, sf_dir, "tts")))
+
+
+def p3_stretches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language and confidence of every stretch of every row."""
+    return language.label_chats(table(spark, sf_dir, "tts")).drop("label")
+
+
+def p4_uses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Uses of every sample in a mixture of a tenth of the whole size."""
+    samples = mixing.mixture_samples(table(spark, sf_dir, "canonical_samples"))
+    return mixing.draw(samples, table(spark, sf_dir, "streaming_sources"))[0]
+
+
+def p4_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target and actual share of every configured source."""
+    samples = mixing.mixture_samples(table(spark, sf_dir, "canonical_samples"))
+    return mixing.draw(samples, table(spark, sf_dir, "streaming_sources"))[1]
+
+
+def p4_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Targets of every configured source and whether the drawn size meets them (within 1 %, or by the cap)."""
+    shares = p4_shares(spark, sf_dir)
+    near = F.abs(F.col("actual_size") - F.col("target_size")) <= F.greatest(0.01 * F.col("target_size"), F.lit(500.0))
+    return shares.select(
+        "source_name", "max_uses", F.col("samples").cast("long"), F.col("available_size").cast("long"), F.round("target_size", 3).alias("target_size"),
+        (near | (F.col("target_size") > F.col("max_uses") * F.col("available_size"))).alias("met"),
+    )
+
+
 def p5_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenize.encode_corpus(table(spark, sf_dir, "documents"))
 
@@ -26,8 +94,49 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"p5_ids": p5_ids, "p6_found": p6_found, "p7_found": p7_found}
+    found = (p1_batches, p1_totals, p2_found, p2_groups, p3_found, p3_stretches, p4_uses, p4_shares, p4_targets, p5_ids, p6_found, p7_found)
+    return {f.__name__: f for f in found}
+
+
+_KNOWN = """
+known AS (
+  SELECT uid, arg_max(size, (coalesce(ingested_at, TIMESTAMP '1000-01-01'), size)) AS size
+  FROM (SELECT uid, ingested_at, {sum} AS size FROM canonical_samples WHERE uid IS NOT NULL AND {known})
+  GROUP BY uid
+)"""
+
+
+def _known(fields: tuple[str, ...]) -> str:
+    return _KNOWN.format(sum=" + ".join(f"lengths.{f}::BIGINT" for f in fields), known=" AND ".join(f"lengths.{f} >= 0" for f in fields))
+
+
+P1_TOTALS = f"""
+WITH {_known(packing.PACKED_FIELDS)},
+caps AS (SELECT profile, floor(max_cost)::BIGINT AS cap FROM batch_limits WHERE max_cost IS NOT NULL AND NOT isnan(max_cost) AND max_cost >= 1)
+SELECT profile, count(*)::BIGINT AS samples, sum(CASE WHEN size <= cap THEN 1 ELSE ceil(size / cap) END)::BIGINT AS pieces,
+  sum(size)::BIGINT AS total_size, false AS over_capacity, true AS near_least_batches
+FROM known, caps GROUP BY profile
+"""
+
+P4_TARGETS = f"""
+WITH {_known(mixing.MIXED_FIELDS)},
+names AS (
+  SELECT uid, coalesce(min(nullif(lower(trim(source_name)), '')), nullif(lower(trim(split_part(uid, ':', 1))), '')) AS source_name
+  FROM canonical_samples WHERE uid IS NOT NULL GROUP BY uid
+),
+held AS (SELECT source_name, count(*) AS samples, sum(size) AS available_size FROM known JOIN names USING (uid) GROUP BY source_name),
+both_ AS (
+  SELECT lower(trim(name)) AS source_name, weight, greatest(1, floor(ratio))::INT AS max_uses, coalesce(samples, 0) AS samples,
+    coalesce(available_size, 0) AS available_size
+  FROM streaming_sources LEFT JOIN held ON lower(trim(name)) = source_name
+)
+SELECT source_name, max_uses, samples::BIGINT AS samples, available_size::BIGINT AS available_size,
+  round(CASE WHEN available_size > 0 THEN weight ELSE 0 END / (SELECT sum(weight) FROM both_ WHERE available_size > 0)
+    * (SELECT sum(size) * {mixing.TOTAL_SHARE}::DOUBLE FROM known), 3) AS target_size, true AS met
+FROM both_
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL of what SQL can state; the other queries are tested against brute force in ``tests/llm``."""
+    return {"p1_totals": P1_TOTALS, "p4_targets": P4_TARGETS}
