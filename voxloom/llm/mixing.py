@@ -6,8 +6,9 @@ sample gets a uniform number u from a hash of its id and an inclusion chance p,
 (u / (1 - u)) / (p / (1 - p)) until the rest is reached: a sample of fixed size with unequal chances.
 
 The cut is found without ordering a whole source: rank values fall into fine buckets, sums per (source, bucket) give the
-bucket in which the target is reached, and only the rows of that bucket are put in order.  The order is followed as long
-as samples fit; one more sample, the one nearest to the gap that is left, closes the source.
+bucket in which the target is reached, and only the rows of that bucket are put in order.  The order is followed up to
+the sample that would cross the target; two more rounds do the same with the samples that fit what is left, and one
+sample, the nearest in size, closes the source.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ MIXED_FIELDS = ("user_text_tokens", "assistant_text_tokens", "user_audio_tokens"
 TOTAL_SHARE = 0.1
 #: Buckets of the Pareto rank of one source.
 BUCKETS = 16384
+#: Passes over the order of a source, each with the samples that still fit.
+ROUNDS = 3
 
 
 def plain_name(name: Column) -> Column:
@@ -63,6 +66,33 @@ def source_targets(items: DataFrame, sources: DataFrame, total_size: Column) ->
     )
 
 
+def _prefix(rows: DataFrame) -> DataFrame:
+    """``(uid, taken)``: the samples of each source in the order of rank whose running size stays within ``gap``.
+
+    Only the bucket in which the gap is filled is put in order.
+    """
+    sums = rows.groupBy("source_name", "bucket").agg(F.sum("size").alias("held"), F.max("gap").alias("gap"))
+    upto = F.sum("held").over(Window.partitionBy("source_name").orderBy("bucket"))
+    cut = (
+        sums.withColumn("upto", upto)
+        .where("upto >= gap")
+        .groupBy("source_name")
+        .agg(F.min(F.struct("bucket", (F.col("upto") - F.col("held")).alias("before"))).alias("cut"))
+    )
+    placed = rows.join(F.broadcast(cut), "source_name", "left")  # one row per source
+    at_cut = placed.where(F.col("bucket") == F.col("cut.bucket"))
+    running = F.sum("size").over(Window.partitionBy("source_name").orderBy("rank", "uid"))
+    exact = at_cut.select("uid", (F.col("cut.before") + running <= F.col("gap")).alias("taken"))
+    below = placed.where(F.col("cut").isNull() | (F.col("bucket") < F.col("cut.bucket"))).select("uid", F.lit(True).alias("taken"))
+    return below.unionByName(exact).where("taken")
+
+
+def _movable(picked: DataFrame) -> DataFrame:
+    """Samples of a source that still lacks size and that are not drawn yet, with its gap."""
+    gaps = picked.where("rest > 0").groupBy("source_name").agg((F.max("rest") - F.sum(F.col("size") * F.col("more"))).alias("gap"))
+    return picked.join(F.broadcast(gaps), "source_name").where((F.col("rest") > 0) & (F.col("size") > 0) & (F.col("more") == 0))
+
+
 def draw(items: DataFrame, sources: DataFrame, total_size: float | None = None, seed: int = 7, odds_col: str | None = None) -> tuple[DataFrame, DataFrame]:
     """``(uses, shares)`` of a mixture of ``total_size`` (``TOTAL_SHARE`` of everything if None).
 
@@ -88,27 +118,16 @@ def draw(items: DataFrame, sources: DataFrame, total_size: float | None = None,
     u = (F.shiftrightunsigned(F.xxhash64("uid", F.lit(seed)), 11) + F.lit(0.5)) / F.lit(float(1 << 53))
     rank = (u / (1 - u)) / (chance / (1 - chance))
     joined = joined.withColumn("rank", rank).withColumn("bucket", F.floor(F.col("rank") / (1 + F.col("rank")) * BUCKETS).cast("int"))
-    drawing = joined.where("rest > 0")
-    sums = drawing.groupBy("source_name", "bucket").agg(F.sum("size").alias("held"), F.max("rest").alias("rest"))
-    upto = F.sum("held").over(Window.partitionBy("source_name").orderBy("bucket"))
-    cut = (
-        sums.withColumn("upto", upto)
-        .where("upto >= rest")
-        .groupBy("source_name")
-        .agg(F.min(F.struct("bucket", (F.col("upto") - F.col("held")).alias("before"))).alias("cut"))
-        .select("source_name", F.col("cut.bucket").alias("cut_bucket"), F.col("cut.before").alias("before"))
-    )
-    placed = joined.join(F.broadcast(cut), "source_name", "left")
-    at_cut = placed.where((F.col("rest") > 0) & (F.col("bucket") == F.col("cut_bucket")))
-    running = F.sum("size").over(Window.partitionBy("source_name").orderBy("rank", "uid"))
-    exact = at_cut.select("uid", (F.col("before") + running <= F.col("rest")).alias("in"))
-    more = F.when(F.coalesce(F.col("rest"), F.lit(0.0)) <= 0, 0).when(F.col("cut_bucket").isNull() | (F.col("bucket") < F.col("cut_bucket")), 1).when(F.coalesce("in", F.lit(False)), 1).otherwise(0)
-    picked = cut_lineage(placed.join(exact, "uid", "left").withColumn("more", more).select("uid", "source_name", "size", "rank", "rest", "whole", "more"))
-    # closing step: of the samples not drawn, the one that comes nearest to what is still missing
-    gaps = picked.where("rest > 0").groupBy("source_name").agg((F.max("rest") - F.sum(F.col("size") * F.col("more"))).alias("gap"))
-    left = picked.where("rest > 0 and more = 0").join(F.broadcast(gaps), "source_name")
+    keep = ["uid", "source_name", "size", "rank", "bucket", "rest", "whole"]
+    picked = joined.select(*keep, F.lit(0).alias("more"))
+    for _ in range(ROUNDS):
+        # samples that still fit enter in the order of rank, up to the first that would cross the aim
+        taken = _prefix(_movable(picked).where(F.col("size") <= F.col("gap")))
+        more = F.when(F.coalesce("taken", F.lit(False)), 1).otherwise(F.col("more"))
+        picked = cut_lineage(picked.join(taken, "uid", "left").select(*keep, more.alias("more")))
+    # closing step: the one sample nearest in size to the gap enters if that makes it smaller
     nearest = F.struct(F.abs(F.col("gap") - F.col("size")).alias("off"), "rank", "uid", "gap")
-    closing = left.groupBy("source_name").agg(F.min(nearest).alias("c")).where("c.off < c.gap").select(F.col("c.uid").alias("uid"), F.lit(1).alias("closing"))
+    closing = _movable(picked).groupBy("source_name").agg(F.min(nearest).alias("c")).where("c.off < c.gap").select(F.col("c.uid").alias("uid"), F.lit(1).alias("closing"))
     uses = picked.join(F.broadcast(closing), "uid", "left").select(
         "uid", "source_name", "size", (F.coalesce("whole", F.lit(0)) + F.col("more") + F.coalesce("closing", F.lit(0))).cast("int").alias("uses")
     )
