@@ -107,7 +107,7 @@ known AS (
 
 
 def _known(fields: tuple[str, ...]) -> str:
-    return _KNOWN.format(sum=" + ".join(f"lengths.{f}::BIGINT" for f in fields), known=" AND ".join(f"lengths.{f} >= 0" for f in fields))
+    return _KNOWN.format(sum=" + ".join(f"lengths.{f}::BIGINT" for f in fields), known=" AND ".join(f"coalesce(lengths.{f}, -1) >= 0" for f in fields))
 
 
 P1_TOTALS = f"""
