@@ -6,7 +6,10 @@ group; the number of buckets follows the group's size, so a group that holds a t
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
@@ -34,66 +37,91 @@ def length_buckets(rows: DataFrame, group: str, key: str, total: str, chunk: int
     return pooled.withColumn("place", place)
 
 
-def fold_greedy(costs: list[tuple[int, ...]], limits: BatchLimits) -> list[int | None]:
-    """Batch number of each row in order, None for a dropped oversized row.
+class GreedyFold:
+    """Batch number of one row after the other; None for a dropped oversized row.
 
-    The cost of a batch is its rows times the sum of the largest value of each field.
+    The cost of a batch is its rows times the sum of the largest value of each field.  The state is one open batch.
     """
-    out: list[int | None] = []
-    number, held, widest = 0, 0, (0,) * (len(costs[0]) if costs else 0)
-    for cost in costs:
+
+    def __init__(self, limits: BatchLimits):
+        self.limits, self.number, self.held, self.widest = limits, 0, 0, None
+
+    def place(self, cost: tuple[int, ...]) -> int | None:
+        limits = self.limits
         if limits.max_cost is not None and sum(cost) > limits.max_cost:
             if limits.oversized_sample == "drop":
-                out.append(None)
-                continue
-            number += held > 0
-            out.append(number)
-            number, held, widest = number + 1, 0, (0,) * len(cost)
-            continue
-        grown = tuple(map(max, widest, cost))
-        over = limits.max_cost is not None and (held + 1) * sum(grown) > limits.max_cost
-        if held and (over or (limits.max_samples is not None and held + 1 > limits.max_samples)):
-            number, held, grown = number + 1, 0, cost
-        out.append(number)
-        held, widest = held + 1, grown
-    return out
+                return None
+            alone = self.number + (self.held > 0)
+            self.number, self.held, self.widest = alone + 1, 0, None
+            return alone
+        grown = tuple(map(max, self.widest, cost)) if self.widest else cost
+        over = limits.max_cost is not None and (self.held + 1) * sum(grown) > limits.max_cost
+        if self.held and (over or (limits.max_samples is not None and self.held + 1 > limits.max_samples)):
+            self.number, self.held, grown = self.number + 1, 0, cost
+        self.held, self.widest = self.held + 1, grown
+        return self.number
+
+
+class BudgetFold:
+    """Batch numbers under an additive budget: a batch closes on overflow or size, but not below a fifth of max_rows."""
+
+    def __init__(self, max_tokens: int, max_rows: int):
+        self.max_tokens, self.max_rows, self.number, self.held, self.total = max_tokens, max_rows, 0, 0, 0
+
+    def place(self, cost: tuple[int]) -> int:
+        n = cost[0]
+        full = self.total + n > self.max_tokens or self.held >= self.max_rows
+        if self.held and full and self.held >= self.max_rows // 5:
+            self.number, self.held, self.total = self.number + 1, 0, 0
+        self.held, self.total = self.held + 1, self.total + n
+        return self.number
+
+
+def fold_greedy(costs: list[tuple[int, ...]], limits: BatchLimits) -> list[int | None]:
+    fold = GreedyFold(limits)
+    return [fold.place(cost) for cost in costs]
 
 
 def fold_budget(tokens: list[int], max_tokens: int, max_rows: int) -> list[int]:
-    """Batch numbers under an additive budget: a batch closes on overflow or size, but not below a fifth of max_rows."""
-    out, number, held, total = [], 0, 0, 0
-    for n in tokens:
-        if held and (total + n > max_tokens or held >= max_rows) and held >= max_rows // 5:
-            number, held, total = number + 1, 0, 0
-        out.append(number)
-        held, total = held + 1, total + n
-    return out
+    fold = BudgetFold(max_tokens, max_rows)
+    return [fold.place((n,)) for n in tokens]
 
 
-def greedy_batches(rows: DataFrame, groups: list[str], order: list[str], fields: list[str], limits: BatchLimits) -> DataFrame:
-    """Adds batch: greedy batches within each group in order; dropped rows leave.  Groups must be bounded (pools)."""
+def fold_rows(rows: DataFrame, groups: list[str], order: list[str], fields: list[str], start: Callable[[], GreedyFold | BudgetFold]) -> DataFrame:
+    """Adds batch by a fold over each group in order; rows without a batch leave.
+
+    Groups lie sorted in their partitions and stream through the fold, so neither a large group nor millions of small ones
+    are ever held: the state is that of one open batch.
+    """
     schema = rows.select("*").schema.add("batch", IntegerType())
+    sorted_ = rows.repartition(*groups).sortWithinPartitions(*groups, *order)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fold, now = None, None
+        for batch in batches:
+            keys = zip(*[batch.column(g).to_pylist() for g in groups])
+            costs = zip(*[batch.column(f).to_pylist() for f in fields])
+            numbers = []
+            for key, cost in zip(keys, costs):
+                if fold is None or key != now:
+                    fold, now = start(), key
+                numbers.append(fold.place(cost))
+            made = pa.RecordBatch.from_arrays([*batch.columns, pa.array(numbers, pa.int32())], names=[*batch.schema.names, "batch"])
+            yield made.filter(pc.is_valid(made.column("batch")))
 
-    def fold(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(order, kind="stable")
-        numbers = fold_greedy(list(part[fields].itertuples(index=False, name=None)), limits)
-        part = part.assign(batch=pd.array(numbers, "Int32"))
-        return part[part["batch"].notna()]
+    return sorted_.mapInArrow(run, schema)
 
-    return rows.groupBy(*groups).applyInPandas(fold, schema)
+
+def greedy_batches(rows: DataFrame, groups: list[str], order: list[str], fields: list[str], limits: BatchLimits) -> DataFrame:
+    """Adds batch: greedy batches within each group in order; dropped rows leave.  Lengths must not be null."""
+    return fold_rows(rows, groups, order, fields, lambda: GreedyFold(limits))
 
 
 def token_budget_batches(rows: DataFrame, groups: list[str], order: list[str], tokens: str, max_tokens: int, max_rows: int) -> DataFrame:
-    """Adds batch: token-budget batches within each bounded group in order.  A row over the budget stays, alone or not."""
+    """Adds batch: token-budget batches within each group in order.  A row over the budget stays, alone or not."""
     if max_rows < 1 or max_tokens < 1:
         raise ValueError("budgets must be positive")
-    schema = rows.select("*").schema.add("batch", IntegerType())
-
-    def fold(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(order, kind="stable")
-        return part.assign(batch=pd.array(fold_budget(part[tokens].tolist(), max_tokens, max_rows), "Int32"))
-
-    return rows.groupBy(*groups).applyInPandas(fold, schema)
+    return fold_rows(rows, groups, order, [tokens], lambda: BudgetFold(max_tokens, max_rows))
 
 
 def batch_costs(rows: DataFrame, keys: list[str], fields: list[str] = list(LENGTH_FIELDS)) -> DataFrame:

@@ -9,7 +9,7 @@ from voxloom.functions import chat, lengths, text
 from voxloom.operators import filters, layouts, sampling, segments, setops
 from voxloom.operators.ranking import seeded
 from voxloom.plans.registry import query
-from voxloom.session import table
+from voxloom.session import spread, table
 
 _ROLE = "CASE {r} WHEN 'human' THEN 'user' WHEN 'gpt' THEN 'assistant' WHEN 'assistant_content' THEN 'assistant' ELSE {r} END"
 _TURNS = "turns AS (SELECT row_id, unnest(range(len(messages)))::INT AS pos, unnest(messages) AS m FROM tts)"
@@ -107,7 +107,7 @@ SELECT doc_id, coalesce(length(text) > 0 AND (regexp_matches(text, '{_CODE}')
     OR (ends_with(trim(l), ';') AND contains(l, '{{')) OR (ends_with(trim(l), '}}') AND contains(l, ';')))) >= 3), false) AS has_code
 FROM c""")
 def code_filter(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", text.contains_code(F.col("text")).alias("has_code"))
+    return spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", text.contains_code(F.col("text")).alias("has_code"))
 
 
 _NO_MARKS = r"regexp_replace(text, '<\|[^|]+\|>', '', 'g')"
@@ -161,7 +161,7 @@ SELECT row_id, coalesce(CASE WHEN k = 'assistant_waiting' THEN 'assistant_waitin
   list_filter(list_transform(list_filter(messages, lambda m: m.role IN ('assistant', 'gpt')), lambda m: {_CONTENT_FLAW}), lambda e: e IS NOT NULL)[1]) AS reason
 FROM r""")
 def quality_filter(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "tts")
+    rows = spread(table(spark, d, "tts").select("row_id", "messages"))
     return rows.select("row_id", filters.quality_error(F.col("messages"), F.expr(_DUPLEX), F.lit(None).cast("string"), F.expr(_TURN_COUNT)).alias("reason"))
 
 
@@ -217,7 +217,7 @@ WITH {_TURNS}, a AS (SELECT row_id, pos, m.role AS role, regexp_replace(regexp_r
     '(?i){chat.TTS_PROMPT}|{chat.READ_PROMPT}', '{chat.TTS_PROMPT}', 'g') AS c FROM turns)
 SELECT row_id, pos, md5(CASE WHEN role IN ('user', 'human') THEN replace(c, '<|audio|>', '{chat.AUDIO_START}{chat.AUDIO_END}') ELSE replace(c, '<|audio|>', '') END) AS digest FROM a""")
 def prompt_rewrite(spark: SparkSession, d: str) -> DataFrame:
-    turns = table(spark, d, "tts").select("row_id", F.posexplode("messages").alias("pos", "m"))
+    turns = spread(table(spark, d, "tts").select("row_id", "messages")).select("row_id", F.posexplode("messages").alias("pos", "m"))
     return turns.select("row_id", "pos", F.md5(chat.rewrite_content(F.col("m.content"), F.col("m.role"))).alias("digest"))
 
 
