@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from voxloom.session import spread
 
 #: Bound of the training sample.
-ROWS_PER_LANGUAGE = 1500
+ROWS_PER_LANGUAGE = 800
 #: Cost of a change of language between neighbouring units, in nats.
 SWITCH = 14.0
 #: Most nats by which one word can speak against a language (runs of wide characters: for every four characters).
