@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from voxloom.session import cut_lineage
+from voxloom.session import cut_lineage, spread
 
 #: Words that make a line a part of its own.
 LONG_LINE = 30
@@ -109,7 +109,7 @@ def page_parts(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> Da
     text = F.col(text_col)
     text = F.when(text.contains("<|"), F.regexp_replace(text, r"<\|[A-Za-z_]{1,40}\|>", " ")).otherwise(text)
     lines = F.filter(F.transform(F.split(text, "[\r\n\u2028\u2029]+"), lambda x: F.trim(x)), lambda x: x != "")
-    pages = docs.select(
+    pages = spread(docs.select(id_col, text_col, lang_col)).select(
         F.col(id_col).alias("doc_id"), F.when(lang.rlike("^[a-z]{2}$"), lang).otherwise(F.lit("un")).alias("lang"), lines.alias("lines")
     ).where("size(lines) > 0")
     for step in (_line, _measured, _worded, _kind):
