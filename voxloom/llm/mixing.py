@@ -39,10 +39,9 @@ def mixture_samples(samples: DataFrame) -> DataFrame:
 
     A missing source name is read from the uid, which starts with it.
     """
-    sized = known_lengths(samples, MIXED_FIELDS)
-    names = samples.where("uid is not null").groupBy("uid").agg(F.min(plain_name(F.col("source_name"))).alias("named"))
+    named = F.min(plain_name(F.col("source_name"))).alias("named")
     own = plain_name(F.substring_index("uid", ":", 1))
-    return sized.join(names, "uid").select("uid", F.coalesce("named", own).alias("source_name"), "size")
+    return known_lengths(samples, MIXED_FIELDS, extra=[named]).select("uid", F.coalesce("named", own).alias("source_name"), "size")
 
 
 def source_targets(items: DataFrame, sources: DataFrame, total_size: Column) -> DataFrame:
@@ -66,12 +65,21 @@ def source_targets(items: DataFrame, sources: DataFrame, total_size: Column) ->
     )
 
 
-def _prefix(rows: DataFrame) -> DataFrame:
-    """``(uid, taken)``: the samples of each source in the order of rank whose running size stays within ``gap``.
+def _gaps(picked: DataFrame) -> DataFrame:
+    """Size that each source still lacks: one row per source, safe to broadcast."""
+    gaps = picked.where("rest > 0").groupBy("source_name").agg((F.max("rest") - F.sum(F.col("size") * F.col("more"))).alias("gap"))
+    return F.broadcast(gaps)
+
+
+def _filled(picked: DataFrame, keep: list[str]) -> DataFrame:
+    """One pass: samples that fit what their source lacks enter in the order of rank, up to the first that would cross it.
 
     Only the bucket in which the gap is filled is put in order.
     """
-    sums = rows.groupBy("source_name", "bucket").agg(F.sum("size").alias("held"), F.max("gap").alias("gap"))
+    rows = picked.join(_gaps(picked), "source_name", "left")
+    open_ = F.coalesce((F.col("rest") > 0) & (F.col("more") == 0) & (F.col("size") > 0) & (F.col("size") <= F.col("gap")), F.lit(False))
+    rows = rows.withColumn("open", open_)
+    sums = rows.where("open").groupBy("source_name", "bucket").agg(F.sum("size").alias("held"), F.max("gap").alias("gap"))
     upto = F.sum("held").over(Window.partitionBy("source_name").orderBy("bucket"))
     cut = (
         sums.withColumn("upto", upto)
@@ -80,17 +88,12 @@ def _prefix(rows: DataFrame) -> DataFrame:
         .agg(F.min(F.struct("bucket", (F.col("upto") - F.col("held")).alias("before"))).alias("cut"))
     )
     placed = rows.join(F.broadcast(cut), "source_name", "left")  # one row per source
-    at_cut = placed.where(F.col("bucket") == F.col("cut.bucket"))
+    at_cut = placed.where(F.col("open") & (F.col("bucket") == F.col("cut.bucket")))
     running = F.sum("size").over(Window.partitionBy("source_name").orderBy("rank", "uid"))
-    exact = at_cut.select("uid", (F.col("cut.before") + running <= F.col("gap")).alias("taken"))
-    below = placed.where(F.col("cut").isNull() | (F.col("bucket") < F.col("cut.bucket"))).select("uid", F.lit(True).alias("taken"))
-    return below.unionByName(exact).where("taken")
-
-
-def _movable(picked: DataFrame) -> DataFrame:
-    """Samples of a source that still lacks size and that are not drawn yet, with its gap."""
-    gaps = picked.where("rest > 0").groupBy("source_name").agg((F.max("rest") - F.sum(F.col("size") * F.col("more"))).alias("gap"))
-    return picked.join(F.broadcast(gaps), "source_name").where((F.col("rest") > 0) & (F.col("size") > 0) & (F.col("more") == 0))
+    exact = at_cut.select("uid", (F.col("cut.before") + running <= F.col("gap")).alias("taken")).where("taken")
+    below = F.col("open") & (F.col("cut").isNull() | (F.col("bucket") < F.col("cut.bucket")))
+    more = F.when(below | F.coalesce("taken", F.lit(False)), 1).otherwise(F.col("more"))
+    return cut_lineage(placed.join(exact, "uid", "left").select(*keep, more.alias("more")))
 
 
 def draw(items: DataFrame, sources: DataFrame, total_size: float | None = None, seed: int = 7, odds_col: str | None = None) -> tuple[DataFrame, DataFrame]:
@@ -121,13 +124,11 @@ def draw(items: DataFrame, sources: DataFrame, total_size: float | None = None,
     keep = ["uid", "source_name", "size", "rank", "bucket", "rest", "whole"]
     picked = joined.select(*keep, F.lit(0).alias("more"))
     for _ in range(ROUNDS):
-        # samples that still fit enter in the order of rank, up to the first that would cross the aim
-        taken = _prefix(_movable(picked).where(F.col("size") <= F.col("gap")))
-        more = F.when(F.coalesce("taken", F.lit(False)), 1).otherwise(F.col("more"))
-        picked = cut_lineage(picked.join(taken, "uid", "left").select(*keep, more.alias("more")))
+        picked = _filled(picked, keep)
     # closing step: the one sample nearest in size to the gap enters if that makes it smaller
     nearest = F.struct(F.abs(F.col("gap") - F.col("size")).alias("off"), "rank", "uid", "gap")
-    closing = _movable(picked).groupBy("source_name").agg(F.min(nearest).alias("c")).where("c.off < c.gap").select(F.col("c.uid").alias("uid"), F.lit(1).alias("closing"))
+    movable = picked.where("rest > 0 and size > 0 and more = 0").join(_gaps(picked), "source_name")
+    closing = movable.groupBy("source_name").agg(F.min(nearest).alias("c")).where("c.off < c.gap").select(F.col("c.uid").alias("uid"), F.lit(1).alias("closing"))
     uses = picked.join(F.broadcast(closing), "uid", "left").select(
         "uid", "source_name", "size", (F.coalesce("whole", F.lit(0)) + F.col("more") + F.coalesce("closing", F.lit(0))).cast("int").alias("uses")
     )

@@ -117,19 +117,23 @@ def make_plan(counts: dict[int, int], capacity: int, step_batches: int = STEP_BA
     )
 
 
-def known_lengths(samples: DataFrame, fields: tuple[str, ...], uid_col: str = "uid", lengths_col: str = "lengths") -> DataFrame:
+def known_lengths(samples: DataFrame, fields: tuple[str, ...], uid_col: str = "uid", lengths_col: str = "lengths", extra: list[Column] | None = None) -> DataFrame:
     """``(uid, size)``: one row for each uid whose length fields are all known (not null, not negative).
 
     Of repeated deliveries the latest with known lengths counts (the longest at equal times).  Rows without a uid have no
-    identity to report and are left out.
+    identity to report and are left out.  ``extra`` aggregates are taken over all deliveries of a uid.
     """
     parts = [F.col(f"{lengths_col}.{f}").cast("long") for f in fields]
     known = F.lit(True)
     for part in parts:
         known = known & (part >= 0)
     size: Column = sum(parts[1:], parts[0])
-    rows = samples.where(known & F.col(uid_col).isNotNull()).select(F.col(uid_col).alias("uid"), F.col("ingested_at").alias("at"), size.alias("size"))
-    return rows.groupBy("uid").agg(F.max(F.struct(F.coalesce("at", F.lit("1000-01-01").cast("timestamp_ntz")).alias("at"), "size")).alias("last")).select("uid", "last.size")
+    at = F.coalesce("ingested_at", F.lit("1000-01-01").cast("timestamp_ntz"))
+    last = F.max(F.when(known, F.struct(at.alias("at"), size.alias("size")))).alias("last")
+    rows = samples.where(F.col(uid_col).isNotNull())
+    rows = rows if extra else rows.where(known)
+    made = rows.groupBy(F.col(uid_col).alias("uid")).agg(last, *(extra or [])).where("last is not null")
+    return made.select("uid", F.col("last.size").alias("size"), *[c for c in made.columns if c not in ("uid", "last")])
 
 
 def ranked(items: DataFrame) -> DataFrame:
