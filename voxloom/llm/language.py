@@ -27,6 +27,8 @@ from voxloom.session import spread
 
 #: Bound of the training sample.
 ROWS_PER_LANGUAGE = 800
+#: Longest text of a training row; longer rows are scored like all others but do not train.
+TRAINING_CHARS = 20_000
 #: Cost of a change of language between neighbouring units, in nats.
 SWITCH = 14.0
 #: Most nats by which one word can speak against a language (runs of wide characters: for every four characters).
@@ -54,6 +56,7 @@ LANGUAGES = tuple(LABELS)
 
 _UNIT = regex.compile(r"[^.!?…。！？\n\r/|;“”«»„—]*[.!?…。！？\n\r/|;“”«»„—]*[\"'’)\]\s]*")
 _WORD = regex.compile(r"[\p{L}\p{M}]+")
+_LETTER = regex.compile(r"\p{L}")
 _WIDE = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}]")
 
 
@@ -186,14 +189,14 @@ def fit_clean(samples: list[tuple[str, str]], languages: tuple[str, ...] = LANGU
 
 def training_rows(rows: DataFrame, id_col: str, label: Column, text: Column, bound: int = ROWS_PER_LANGUAGE) -> list[tuple[str, str]]:
     """At most ``bound`` labelled rows of each language: the first by hash of their id (a ranking Spark limits map-side)."""
-    labelled = rows.select(F.col(id_col).alias("id"), label.alias("lang"), text.alias("text")).where(f"lang is not null and length(text) >= {MIN_LETTERS}")
+    labelled = rows.select(F.col(id_col).alias("id"), label.alias("lang"), text.alias("text")).where(f"lang is not null and length(text) between {MIN_LETTERS} and {TRAINING_CHARS}")
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64(F.col("id").cast("string")), "text"))
     return [(r["lang"], r["text"]) for r in labelled.withColumn("place", place).where(F.col("place") <= bound).select("lang", "text").collect()]
 
 
 def stretches(model: Model, text: str) -> list[tuple[int, int, str, float]]:
     """(start, end, language, confidence) of each one-language stretch; empty for texts of too few letters."""
-    if sum(map(len, _WORD.findall(text))) < MIN_LETTERS:
+    if len(_LETTER.findall(text)) < MIN_LETTERS:
         return []
     units = units_of(text)
     scores = np.array([model.unit(u) for _, u in units])

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxloom.llm.language import spoken_text
-from voxloom.session import cut_lineage, spread
+from voxloom.session import cut_lineage
 
 #: Characters in a run, least characters of a text, least shared part of the runs.
 SHINGLE, MIN_CHARS, SIMILARITY = 4, 40, 0.7
@@ -127,7 +127,7 @@ def entries_of(texts: DataFrame, k: int, least: int) -> DataFrame:
                     names=["node", "rank_high", "rank_low", "key"],
                 )
 
-    return spread(texts.select("key", "norm")).mapInArrow(run, "node bigint, rank_high bigint, rank_low bigint, key bigint")
+    return texts.select("key", "norm").mapInArrow(run, "node bigint, rank_high bigint, rank_low bigint, key bigint")
 
 
 _ONES = np.array([bin(i).count("1") for i in range(1 << 16)], np.uint8)
@@ -273,7 +273,6 @@ def verified(pairs: DataFrame, texts: DataFrame, k: int, similarity: float) -> D
 def members_of(rows: DataFrame, id_col: str, text: Column, min_chars: int = MIN_CHARS) -> DataFrame:
     """``(row_id, key, norm)`` of the rows whose normal form is long enough; key stands for equal normal forms."""
     normal = rows.select(F.col(id_col).alias("row_id"), normal_form(text).alias("norm")).where(F.length("norm") >= min_chars)
-    # two independent 64-bit hashes would be needed beyond 2^32 texts; the exact check below compares texts anyway
     return normal.select("row_id", F.xxhash64("norm").alias("key"), "norm")
 
 
