@@ -214,3 +214,54 @@ def describe_rows(single_speaker: Column, values: dict[str, Column]) -> Column:
     ]
     rows = F.filter(F.array(*made), lambda r: r["answer"].isNotNull())
     return F.when(F.coalesce(single_speaker, F.lit(False)), rows).otherwise(F.slice(rows, 1, 0))
+
+
+def prompt_text(content: Column, heard: Column, spoken: Column, prompts: dict[str, str] | None = None) -> Column:
+    """Struct(head, tail) of the text around a spoken or written request, in the chat template of the record format."""
+    table = prompts or SYSTEM_PROMPTS
+    said = F.replace(content, F.lit("<audio>"), F.lit(""))
+    system = (
+        F.when(heard & ~spoken & said.contains(ASR_PROMPT), table["asr"])
+        .when(heard & spoken, table["s2s"])
+        .when(heard, table["s2t"])
+        .when(spoken, table["t2s"])
+        .otherwise(table["t2t"])
+    )
+    head = F.concat(F.lit("<|im_start|>system\n"), system, F.lit("<|im_end|>\n<|im_start|>user\n"), said, F.when(heard, AUDIO_START).otherwise(""))
+    tail = F.concat(F.when(heard, AUDIO_END).otherwise(""), F.lit("<|im_end|>\n<|im_start|>assistant\n"))
+    return F.struct(head.alias("head"), tail.alias("tail"))
+
+
+def without_system(messages: Column) -> Column:
+    """Messages without a leading system message."""
+    leading = F.try_element_at(messages, F.lit(1))["role"] == "system"
+    return F.when(leading, F.slice(messages, F.lit(2), F.greatest(F.lit(0), F.size(messages) - 1))).otherwise(messages)
+
+
+def absolute_path(path: Column, root: str) -> Column:
+    """Escaped slashes undone, relative paths below ``root``; null and empty paths stay."""
+    clean = F.replace(path, F.lit("\\/"), F.lit("/"))
+    return F.when((F.length(clean) > 0) & ~clean.startswith("/"), F.concat(F.lit(root.rstrip("/") + "/"), clean)).otherwise(clean)
+
+
+def speech_rows(transcript: Column, audio: Column, seconds: Column) -> Column:
+    """Array of the tts and the asr row (task, messages, audios, durations, tokens, estimate) of one recording."""
+    duration = F.round(seconds, 3)
+    tokens = F.floor(duration * 17).cast("bigint")
+
+    def message(role: str, content: Column) -> Column:
+        return F.struct(F.lit(role).alias("role"), content.alias("content"))
+
+    def row(task: str, messages: Column) -> Column:
+        chars = F.aggregate(messages, F.lit(0), lambda n, m: n + F.length(m["content"]))
+        return F.struct(
+            F.lit(task).alias("task"),
+            messages.alias("messages"),
+            F.array(audio).alias("audios"),
+            F.array(duration).alias("audio_durations"),
+            F.array(tokens).alias("audio_tokens"),
+            (F.floor(chars / 4) + tokens).cast("bigint").alias("num_tokens_est"),
+        )
+
+    tts = F.array(message("user", F.concat(F.lit(READ_PROMPT + " "), transcript)), message("assistant", F.concat(transcript, F.lit(AUDIO_TAG))))
+    return F.array(row("tts", tts), row("asr", asr_messages(transcript)))

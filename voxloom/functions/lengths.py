@@ -90,3 +90,20 @@ def output_rate(codes: Column, features: Column, rate: float = 12.5, most: float
     value = codes / F.greatest(F.lit(1), F.floor(features / 1.33)) * rate
     value = F.coalesce(finite(value), F.lit(rate))
     return F.when(F.coalesce(features, F.lit(0)) == 0, 0.0).otherwise(F.least(F.lit(most), F.greatest(F.lit(0.0), value)))
+
+
+def length_vector(user_text: Column, assistant_text: Column, user_audio: Column, assistant_audio: Column, estimate: Column) -> Column:
+    """The five length fields; codec tokens lift the total to a stored estimate, never below 0."""
+    parts = [F.coalesce(c, F.lit(0)).cast("long") for c in (user_text, assistant_text, user_audio, assistant_audio)]
+    known = parts[0] + parts[1] + parts[2] + parts[3]
+    codec = F.greatest(F.lit(0).cast("long"), F.coalesce(estimate.cast("long"), F.lit(0).cast("long")) - known)
+    return F.struct(*[p.alias(n) for p, n in zip((*parts, codec), LENGTH_FIELDS)])
+
+
+def rate_embedding(rate: Column, size: int, low: float = 0.0, high: float = 15.0) -> Column:
+    """Sines, then cosines, of a clamped and scaled rate at ``size // 2`` falling frequencies."""
+    half = size // 2
+    x = (F.least(F.greatest(rate, F.lit(low)), F.lit(high)) - low) / max(high - low, 1e-6)
+    angle = F.transform(F.sequence(F.lit(0), F.lit(max(half - 1, 0))), lambda k: x * F.pow(F.lit(10000.0), -k / F.lit(float(max(half, 1)))))
+    tail = F.array_repeat(F.lit(0.0), size - 2 * half)
+    return F.concat(F.transform(angle, F.sin), F.transform(angle, F.cos), tail) if half else tail

@@ -139,3 +139,30 @@ def parse_traces(lines: DataFrame, line: str = "value", number: str = "line_no")
         .when(~text("reference_text") | ~text("prediction_text"), "text_not_string")
     )
     return parsed.withColumn("error", error).drop("__v", "__first")
+
+
+def error_rate_rows(traces: DataFrame, default_subset: str = "items") -> DataFrame:
+    """Eval rows for error rates: reference or answer, transcription before direct text, subset or group."""
+    direct = direct_text(F.col("output_text"), F.col("output_audio"), F.col("prediction_text"))
+    heard = audio_text(F.col("transcription"), F.col("output_audio"), F.col("prediction_text"))
+    return traces.select(
+        "index",
+        F.coalesce(F.nullif("subset", F.lit("")), F.nullif("group", F.lit("")), F.lit(default_subset)).alias("subset"),
+        F.coalesce(F.nullif("reference_text", F.lit("")), "answer", F.lit("")).alias("answer"),
+        selected_prediction(direct, heard, "auto").alias("prediction"),
+        F.nullif(direct, F.lit("")).alias("prediction_text"),
+        F.nullif("output_audio", F.lit("")).alias("audio_path"),
+    )
+
+
+def resolved_rate(explicit: Column, stored: Column, default: Column) -> Column:
+    """Explicit before stored before default."""
+    return F.coalesce(explicit, stored, default).cast("double")
+
+
+def resolved_sample_rate(result: Column, engine: Column, fallback: Column, flow_matching: Column) -> Column:
+    """First positive rate; 16 kHz under a flow-matching decoder is really 24 kHz, which is also its default."""
+    positive = lambda c: F.when(c.try_cast("int") > 0, c.try_cast("int"))
+    rate = F.coalesce(positive(result), positive(engine), positive(fallback))
+    native = F.when(flow_matching, 24000).otherwise(16000)
+    return F.coalesce(F.when(flow_matching & (rate == 16000), 24000).otherwise(rate), native)

@@ -112,3 +112,27 @@ def evict_oldest(files: DataFrame, size: str, touched: str, key: str, cap: int)
     placed = placed.join(blocks.select("__block", before.alias("__before")), "__block")
     inside = F.sum(size).over(Window.partitionBy("__block").orderBy("position"))
     return placed.withColumn("upto", F.col("__before") + inside).where(F.col("upto") > cap).drop("__block", "__before", "position")
+
+
+def rotated_option(options: Column, draw: Column, rank: Column) -> Column:
+    """One option for all, moved on by rank: ``draw`` is a shared whole number."""
+    return F.try_element_at(options, (F.pmod(draw + rank, F.nullif(F.size(options), F.lit(0))) + 1).cast("int"))
+
+
+def consumer_plan(shards: DataFrame, url: str, mode: str, consumers: int, seed: int, epoch: int, draws: int = 0, shuffle: bool = True) -> DataFrame:
+    """``(consumer, slot, url)``: which shard each consumer opens in which order.
+
+    finite_exact never repeats a shard, finite_padded repeats the head to equal shares, resampled draws ``draws`` shards
+    for each consumer with repetition.  The choice hangs on seed, epoch and consumer only.
+    """
+    if mode not in ("finite_exact", "finite_padded", "resampled"):
+        raise ValueError(f"unknown mode {mode}")
+    names = shards.select(F.col(url).alias("url")).where("url is not null").distinct()
+    if mode != "resampled":
+        order = names.withColumn("__u", seeded(F.col("url"), f"{seed}:{epoch}") if shuffle else F.lit(0.0)).withColumn("__o", F.struct("__u", "url"))
+        return round_robin(order, "__o", consumers, padded=mode == "finite_padded").select("consumer", "slot", "url")
+    placed = with_position(names, "url")
+    n = placed.count()
+    slots = shards.sparkSession.range(consumers * draws).select((F.col("id") % consumers).cast("int").alias("consumer"), F.floor(F.col("id") / consumers).alias("slot"))
+    key = F.concat_ws(":", F.lit(epoch).cast("string"), "consumer", "slot")
+    return slots.withColumn("position", F.floor(seeded(key, seed) * n)).join(placed, "position").select("consumer", "slot", "url")
