@@ -124,3 +124,28 @@ def test_duration_edges(spark):
 def test_estimates_with_nulls(spark):
     frame = spark.createDataFrame([(None, None), (messages(("user", None), ("assistant", "12345678")), [None, 2.0, float("nan")])], f"m {chat.MESSAGES}, d array<double>")
     assert [r[0] for r in frame.select(lengths.row_estimate(F.col("m"), F.col("d"))).collect()] == [0, 36]
+
+
+def test_recordings_and_paths(spark):
+    frame = spark.createDataFrame([("hello", "a.wav", 2.0)], "t string, a string, s double")
+    rows = frame.select(chat.speech_rows(F.col("t"), F.col("a"), F.col("s")).alias("r")).first()["r"]
+    assert [r["task"] for r in rows] == ["tts", "asr"] and rows[0]["audio_tokens"] == [34] and len(rows[1]["messages"]) == 3
+    paths = spark.createDataFrame([("a\\/b.wav",), ("/x",), ("",), (None,)], "p string").select(chat.absolute_path(F.col("p"), "/r/").alias("p")).collect()
+    assert [r["p"] for r in paths] == ["/r/a/b.wav", "/x", "", None]
+
+
+def test_rate_embedding(spark):
+    made = one(spark, 99.0, "double", lambda c: lengths.rate_embedding(c, 5))
+    assert len(made) == 5 and abs(made[0] - 0.8414709848) < 1e-9 and made[4] == 0.0
+
+
+def test_length_vector(spark):
+    row = spark.sql("select 1 a, 2 b, cast(null as int) c, 4 d, 20 e").select(lengths.length_vector(*[F.col(x) for x in "abcde"]).alias("v")).first()["v"]
+    assert row["codec_tokens"] == 13 and row["user_audio_tokens"] == 0
+
+
+def test_sample_rates(spark):
+    from voxloom.operators.evaluate import resolved_sample_rate
+
+    rows = spark.createDataFrame([(16000, None, None, True), (None, 0, 22050, False), (None, None, None, True), (None, None, None, False)], "a int, b int, c int, f boolean")
+    assert [r[0] for r in rows.select(resolved_sample_rate(F.col("a"), F.col("b"), F.col("c"), F.col("f"))).collect()] == [24000, 22050, 24000, 16000]
