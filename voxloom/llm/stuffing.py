@@ -37,10 +37,6 @@ _LINK = (
 _PRODUCT = r"(?i)\b[A-Z]{1,3}-?\d{2,6}\b.{0,120}?\d+[.,]\d\d(?!\d)"
 
 
-def _count(text: Column, chars: str) -> Column:
-    return F.length(text) - F.length(F.translate(text, chars, ""))
-
-
 def _line(line: Column) -> Column:
     """What one line is made of, as a struct."""
     has_link = F.lit(False)
@@ -58,9 +54,9 @@ def _measured(x: Column) -> Column:
         (F.length(line) - F.length(rest)).alias("link_chars"),
         (F.size(said) - 1 + F.when(closed & ~F.element_at(said, -1).eqNullSafe(""), 1).otherwise(0)).alias("ends"),
         F.array_distinct(said).alias("said"),
-        _count(rest, "0123456789").alias("digits"),
-        _count(rest, "#").alias("hashes"),
-        _count(rest, "(){}[]=_<>\\").alias("symbols"),
+        F.regexp_count(rest, F.lit("[0-9]")).alias("digits"),
+        (F.length(rest) - F.length(F.replace(rest, F.lit("#"), F.lit("")))).alias("hashes"),
+        F.regexp_count(rest, F.lit(r"[(){}\[\]=_<>\\]")).alias("symbols"),
         (F.substring(rest, 1, 1) == "|").alias("table_row"),
         rest.alias("rest"),
     )
