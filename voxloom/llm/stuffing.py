@@ -26,6 +26,10 @@ LIST_RATIO, SENTENCE_RATIO = 0.9, 0.55
 #: evenly), the fit is poor or the first rank holds a large share (a few words far above a tail of single ones), or the
 #: slope is steep.
 MIDDLE, RESIDUAL, SLOPE, HEAD = 1.05, 0.15, -0.9, 0.2
+#: An even curve counts only below this share of the prose ratio: short texts of few words are even by chance.
+EVEN_RATIO = 0.72
+#: Share of the first rank that marks a list by itself.
+ALONE = 0.3
 #: Least ratio expected of prose by length class (log2 of the words): holds where a language has few parts of a class,
 #: or where stuffed pages outnumber its prose.
 LEAST_RATIO = {3: 0.85, 4: 0.75, 5: 0.65, 6: 0.55, 7: 0.47, 8: 0.42, 9: 0.36, 10: 0.3}
@@ -129,6 +133,9 @@ def page_parts(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> Da
     together = F.array(merged("sentence", True), merged("list"), merged("link"), merged("tags"), merged("product"), merged("other"))
     parts = pages.select("doc_id", "lang", F.explode(F.concat(alone, F.filter(together, lambda x: x["chars"] > 0))).alias("x"))
     parts = parts.select("doc_id", "lang", "x.*", F.size("x.words").alias("n"), F.size(F.array_distinct("x.words")).alias("types"))
+    # a part in Latin letters on a page labelled with a language of another script is held against English prose
+    latin = F.size(F.filter("words", lambda w: w.rlike("^[a-z]"))) > 0.7 * F.col("n")
+    parts = parts.withColumn("lang", F.when(F.col("lang").isin("zh", "ja", "ru") & F.col("kind").isin("list", "sentence") & latin, "en").otherwise(F.col("lang")))
     ratio = F.col("types") / F.greatest(F.col("n"), F.lit(1))
     # words stay with the parts that can fall below their share of any prose ratio (at most 1)
     poor = F.when(F.col("kind") == "list", ratio < LIST_RATIO).when(F.col("kind") == "sentence", ratio < SENTENCE_RATIO).otherwise(F.lit(False))
@@ -166,8 +173,11 @@ def judged(parts: DataFrame) -> DataFrame:
     both = both.join(fitted(parts), "part", "left")
     few = F.col("ratio") < F.when(F.col("kind") == "list", LIST_RATIO).otherwise(SENTENCE_RATIO) * F.col("expected")
     long_enough = F.col("n") >= F.when(F.col("kind") == "list", 8).otherwise(20)
-    extreme = (F.col("middle") > MIDDLE) | (F.col("residual") > RESIDUAL) | (F.col("slope") < SLOPE) | (F.col("head") > HEAD)
-    repeated = F.col("kind").isin("list", "sentence") & few & long_enough & extreme
+    steep = (F.col("residual") > RESIDUAL) | (F.col("slope") < SLOPE) | (F.col("head") > HEAD)
+    extreme = steep | ((F.col("middle") > MIDDLE) & (F.col("ratio") < EVEN_RATIO * F.col("expected")))
+    # one word that makes up a third of a list needs no comparison with prose
+    alone = (F.col("kind") == "list") & (F.col("head") > ALONE) & (F.col("n") >= 20)
+    repeated = (F.col("kind").isin("list", "sentence") & few & long_enough & extreme) | alone
     return both.withColumn("stuffed", F.coalesce(F.col("kind").isin("link", "tags", "product") | repeated, F.lit(False)))
 
 
