@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from voxloom.functions.chat import TASKS
 
-# Audio member extensions.
+# Audio member extensions, the form of a member path.
 AUDIO_EXTENSIONS = ("wav", "flac", "mp3", "m4a", "ogg")
+MEMBER_PATTERN = r"^((?:.*/|)[^.]+)[.]([^/]*)$"
 _AUDIO = "|".join(AUDIO_EXTENSIONS)
 
 #: name -> (match, expand) of column builders over a map of members; open for registration.
@@ -97,8 +98,7 @@ def explode_tasks(rows: DataFrame, physical_uid: str, present: str, wanted: list
 
 def split_member(name: Column) -> Column:
     """Struct(key, suffix) of a member path: the key ends at the first dot of the file name."""
-    pattern = r"^((?:.*/|)[^.]+)[.]([^/]*)$"
-    return F.struct(F.nullif(F.regexp_extract(name, pattern, 1), F.lit("")).alias("key"), F.nullif(F.regexp_extract(name, pattern, 2), F.lit("")).alias("suffix"))
+    return F.struct(*[F.nullif(F.regexp_extract(name, MEMBER_PATTERN, i), F.lit("")).alias(part) for i, part in ((1, "key"), (2, "suffix"))])
 
 
 def metadata_task_error(declared: Column, task: Column) -> Column:

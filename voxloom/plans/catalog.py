@@ -1,4 +1,4 @@
-"""Registry of the reference pipeline's queries and their SQL counterparts."""
+"""Registry of the record pipeline's queries and their SQL counterparts."""
 
 from __future__ import annotations
 
