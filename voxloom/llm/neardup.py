@@ -21,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxloom.llm.language import spoken_text
@@ -98,8 +98,8 @@ def from_rank(high: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return high ^ (high >> np.uint64(1)), low ^ carried
 
 
-def entries_of(texts: DataFrame, k: int, least: int) -> DataFrame:
-    """``(node, rank_high, rank_low, key)``: every distinct text under every mask."""
+def sketches_of(texts: DataFrame, k: int) -> DataFrame:
+    """``(key, rank_high, rank_low, nodes)``: Gray rank of the fingerprint and the node under every mask, by distinct text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -109,25 +109,20 @@ def entries_of(texts: DataFrame, k: int, least: int) -> DataFrame:
                 bits = (values & np.uint64(1)).astype(np.uint8)
                 prints = np.packbits(bits, axis=1).view(">u8").astype(np.uint64)
                 high, low = gray_rank(prints[:, 0].copy(), prints[:, 1].copy())
-                nodes = []
+                nodes = np.empty((len(values), MASKS), np.uint64)
                 for mask in range(MASKS):
                     node = np.full(len(values), mask + 1, np.uint64)
                     for column in values[:, mask * FIELDS : (mask + 1) * FIELDS].T:
                         with np.errstate(over="ignore"):
                             node = _mix(node * np.uint64(0x9E3779B97F4A7C15) + column)
-                    nodes.append(node)
-                keys = part.column(0).to_numpy(zero_copy_only=False)
+                    nodes[:, mask] = node
+                offsets = pa.array(np.arange(0, MASKS * len(values) + 1, MASKS, dtype=np.int32))
+                lists = pa.ListArray.from_arrays(offsets, pa.array(nodes.ravel().view(np.int64)))
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.concatenate(nodes).view(np.int64) if nodes else []),
-                        pa.array(np.tile(high, MASKS).view(np.int64)),
-                        pa.array(np.tile(low, MASKS).view(np.int64)),
-                        pa.array(np.tile(keys, MASKS)),
-                    ],
-                    names=["node", "rank_high", "rank_low", "key"],
+                    [part.column(0), pa.array(high.view(np.int64)), pa.array(low.view(np.int64)), lists], names=["key", "rank_high", "rank_low", "nodes"]
                 )
 
-    return texts.select("key", "norm").mapInArrow(run, "node bigint, rank_high bigint, rank_low bigint, key bigint")
+    return texts.select("key", "norm").mapInArrow(run, "key bigint, rank_high bigint, rank_low bigint, nodes array<bigint>")
 
 
 _ONES = np.array([bin(i).count("1") for i in range(1 << 16)], np.uint8)
@@ -188,24 +183,22 @@ def search(group: np.ndarray, side: np.ndarray, high: np.ndarray, low: np.ndarra
     return a[keep], b[keep]
 
 
-def candidate_pairs(entries: DataFrame, tile: int = TILE, radius: int = RADIUS) -> DataFrame:
-    """``(a, b)``, a < b: keys that meet below some node within ``radius`` bits."""
-    sizes = entries.groupBy("node").agg(F.count(F.lit(1)).alias("members"))
-    hot = sizes.where(F.col("members") > tile).select("node", F.ceil(F.col("members") / tile).cast("int").alias("tiles"))
-    hot = cut_lineage(hot)
-    normal = entries.select("node", F.lit(0).alias("pair"), F.lit(0).alias("side"), "rank_high", "rank_low", "key")
-    if hot.isEmpty():
-        placed = normal
-    else:
-        normal = normal.join(hot, "node", "left_anti")
-        inside = entries.join(hot, "node").withColumn("mine", F.pmod(F.xxhash64("key"), F.col("tiles")).cast("int"))
-        # tile i meets tile j >= i in the task numbered i * tiles + j
-        meeting = inside.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-        low_tile, high_tile = F.least("mine", "other"), F.greatest("mine", "other")
-        side = F.when(F.col("mine") == F.col("other"), 0).when(F.col("mine") < F.col("other"), 1).otherwise(2)
-        placed = normal.unionByName(
-            meeting.select("node", (low_tile * F.col("tiles") + high_tile + 1).alias("pair"), side.alias("side"), "rank_high", "rank_low", "key")
-        )
+def candidate_pairs(sketches: DataFrame, tile: int = TILE, radius: int = RADIUS) -> DataFrame:
+    """``(a, b)``, a < b: keys that meet below some node within ``radius`` bits.
+
+    One exchange brings the members of a node together; members without a partner leave right behind it.  Only the members
+    of hot nodes move once more, to their tiles.
+    """
+    entries = sketches.select(F.explode("nodes").alias("node"), "rank_high", "rank_low", "key")
+    met = entries.withColumn("members", F.count(F.lit(1)).over(Window.partitionBy("node"))).where("members > 1")
+    small = met.where(F.col("members") <= tile).select("node", F.lit(0).alias("pair"), F.lit(0).alias("side"), "rank_high", "rank_low", "key")
+    # tile i meets tile j >= i in the task numbered i * tiles + j
+    inside = met.where(F.col("members") > tile).withColumn("tiles", F.ceil(F.col("members") / tile).cast("int"))
+    inside = inside.withColumn("mine", F.pmod(F.xxhash64("key"), F.col("tiles")).cast("int"))
+    meeting = inside.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    low_tile, high_tile = F.least("mine", "other"), F.greatest("mine", "other")
+    side = F.when(F.col("mine") == F.col("other"), 0).when(F.col("mine") < F.col("other"), 1).otherwise(2)
+    tiled = meeting.select("node", (low_tile * F.col("tiles") + high_tile + 1).alias("pair"), side.alias("side"), "rank_high", "rank_low", "key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -237,16 +230,10 @@ def candidate_pairs(entries: DataFrame, tile: int = TILE, radius: int = RADIUS)
         if held:
             yield flush(pa.Table.from_batches(held).combine_chunks())
 
-    # single members have no partner: they leave before the sort, in the JVM
-    counted = placed.withColumn("c", F.count(F.lit(1)).over(_window()))
-    sorted_ = counted.where("c > 1").drop("c").sortWithinPartitions("node", "pair", "rank_high", "rank_low")
-    return sorted_.mapInArrow(run, "a bigint, b bigint").distinct()
-
-
-def _window():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("node", "pair")
+    order = ("node", "pair", "rank_high", "rank_low")
+    found = small.sortWithinPartitions(*order).mapInArrow(run, "a bigint, b bigint")
+    hot = tiled.repartition("node", "pair").sortWithinPartitions(*order).mapInArrow(run, "a bigint, b bigint")
+    return found.unionByName(hot).distinct()
 
 
 def verified(pairs: DataFrame, texts: DataFrame, k: int, similarity: float) -> DataFrame:
@@ -279,8 +266,8 @@ def members_of(rows: DataFrame, id_col: str, text: Column, min_chars: int = MIN_
 def links(members: DataFrame, k: int = SHINGLE, similarity: float = SIMILARITY, tile: int = TILE, radius: int = RADIUS) -> DataFrame:
     """``(a, b, similarity)``: similar pairs of distinct normal forms, by key."""
     texts = members.groupBy("key").agg(F.min("norm").alias("norm"))
-    entries = cut_lineage(entries_of(texts, k, MIN_CHARS))
-    return cut_lineage(verified(candidate_pairs(entries, tile, radius), texts, k, similarity))
+    sketches = cut_lineage(sketches_of(texts, k))
+    return cut_lineage(verified(candidate_pairs(sketches, tile, radius), texts, k, similarity))
 
 
 def similar_rows(members: DataFrame, linked: DataFrame) -> DataFrame:
