@@ -1,6 +1,6 @@
 """Near-duplicate texts by a Gray-order hierarchical index over fingerprints.
 
-Every distinct normal form gets ``PERMUTATIONS`` minhash values of its character runs and, from their lowest bits, a
+Every distinct normal form gets ``PERMUTATIONS`` minhash values of its character runs and, from one low bit of each, a
 128-bit fingerprint: two bits differ with chance (1 - J) / 2.
 
 *Upper nodes* of the index are masked patterns: mask ``b`` keeps the four minhash fields of band ``b``, and texts that
@@ -31,12 +31,13 @@ from voxloom.session import cut_lineage
 SHINGLE, MIN_CHARS, SIMILARITY = 4, 40, 0.7
 #: Minhash values, those of one mask.
 PERMUTATIONS, FIELDS, MASKS = 128, 4, 24
+#: Bit of each minhash value that goes into the fingerprint.
+FINGERPRINT_BIT = 7
 #: Bits of 128 that may differ: at similarity 0.7 the mean is 19.2 with deviation 4.0.
 RADIUS = 36
 #: Members of a node that one task compares with each other.
 TILE = 2048
 _FAN = 8
-_MERSENNE = np.uint64((1 << 61) - 1)
 
 
 def normal_form(text: Column) -> Column:
@@ -51,8 +52,8 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def shingles(text: str, k: int = SHINGLE) -> np.ndarray:
-    """Distinct hashed runs of ``k`` characters, sorted."""
+def runs_of(text: str, k: int = SHINGLE) -> np.ndarray:
+    """Hashed runs of ``k`` characters in order."""
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     n = len(codes) - k + 1
     if n <= 0:
@@ -61,24 +62,30 @@ def shingles(text: str, k: int = SHINGLE) -> np.ndarray:
         runs = np.zeros(n, np.uint64)
         for i in range(k):
             runs = runs * np.uint64(0x100000001B3) + codes[i : i + n]
-    return np.unique(_mix(runs))
+    return _mix(runs)
+
 
+def shingles(text: str, k: int = SHINGLE) -> np.ndarray:
+    """Distinct hashed runs of ``k`` characters, sorted."""
+    return np.unique(runs_of(text, k))
 
-def _seeds() -> tuple[np.ndarray, np.ndarray]:
-    steps = np.arange(1, 2 * PERMUTATIONS + 1, dtype=np.uint64)
+
+def _factors() -> np.ndarray:
+    steps = np.arange(1, PERMUTATIONS + 1, dtype=np.uint64)
     with np.errstate(over="ignore"):
-        values = _mix(steps * np.uint64(0x9E3779B97F4A7C15))
-    return (values[:PERMUTATIONS] >> np.uint64(32)) | np.uint64(1), values[PERMUTATIONS:] >> np.uint64(32)
+        return ((_mix(steps * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)) | np.uint64(1)).astype(np.uint32)
+
+
+_FACTORS = _factors()[:, None]
 
 
 def minhash(runs: np.ndarray) -> np.ndarray:
-    """The least value of each permutation, as 32-bit numbers."""
-    a, b = _seeds()
-    low = runs & np.uint64(0xFFFFFFFF)
-    with np.errstate(over="ignore"):
-        values = low[None, :] * a[:, None] + b[:, None]
-    values = (values ^ (values >> np.uint64(29))) & np.uint64(0xFFFFFFFF)
-    return values.min(axis=1)
+    """The least value of each permutation of 32-bit numbers (products with odd factors) over mixed runs."""
+    low = (runs & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+    out = np.full(PERMUTATIONS, np.iinfo(np.uint32).max, np.uint32)
+    for start in range(0, len(low), 4096):  # long texts in pieces that stay in the cache
+        np.minimum(out, (low[None, start : start + 4096] * _FACTORS).min(axis=1), out=out)
+    return out
 
 
 def gray_rank(high: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -105,8 +112,8 @@ def sketches_of(texts: DataFrame, k: int) -> DataFrame:
         for batch in batches:
             for start in range(0, batch.num_rows, 2000):
                 part = batch.slice(start, 2000)
-                values = np.array([minhash(shingles(t, k)) for t in part.column(1).to_pylist()], np.uint64).reshape(-1, PERMUTATIONS)
-                bits = (values & np.uint64(1)).astype(np.uint8)
+                values = np.array([minhash(runs_of(t, k)) for t in part.column(1).to_pylist()], np.uint64).reshape(-1, PERMUTATIONS)
+                bits = ((values >> np.uint64(FINGERPRINT_BIT)) & np.uint64(1)).astype(np.uint8)
                 prints = np.packbits(bits, axis=1).view(">u8").astype(np.uint64)
                 high, low = gray_rank(prints[:, 0].copy(), prints[:, 1].copy())
                 nodes = np.empty((len(values), MASKS), np.uint64)
