@@ -130,9 +130,15 @@ class Model:
         score = score - score.max()
         return np.maximum(score, -MOST * (max(1.0, len(word) / 4) if _WIDE.search(word) else 1.0))
 
+    def total(self, words: list[str]) -> np.ndarray:
+        out, known, word = np.zeros(len(self.languages)), self.memory.get, self.word
+        for w in words:
+            score = known(w)
+            out += word(w) if score is None else score
+        return out
+
     def unit(self, text: str) -> np.ndarray:
-        scores = [self.word(w) for w in words_of(text)]
-        return np.sum(scores, axis=0) if scores else np.zeros(len(self.languages))
+        return self.total(words_of(text))
 
 
 def fit(samples: list[tuple[str, str]], languages: tuple[str, ...] = LANGUAGES) -> Model:
@@ -196,10 +202,12 @@ def training_rows(rows: DataFrame, id_col: str, label: Column, text: Column, bou
 
 def stretches(model: Model, text: str) -> list[tuple[int, int, str, float]]:
     """(start, end, language, confidence) of each one-language stretch; empty for texts of too few letters."""
-    if len(_LETTER.findall(text)) < MIN_LETTERS:
-        return []
     units = units_of(text)
-    scores = np.array([model.unit(u) for _, u in units])
+    words = [words_of(unit) for _, unit in units]
+    letters = sum(len(w) for some in words for w in some)
+    if letters < 4 * MIN_LETTERS and len(_LETTER.findall(text)) < MIN_LETTERS:  # marks are no letters
+        return []
+    scores = np.array([model.total(some) for some in words])
     best, back = scores[0], []
     for row in scores[1:]:
         jump = best.max() - SWITCH
@@ -214,7 +222,7 @@ def stretches(model: Model, text: str) -> list[tuple[int, int, str, float]]:
     for i in range(1, len(path) + 1):
         if i == len(path) or path[i] != path[begin]:
             total = scores[begin:i].sum(axis=0)
-            count = sum(len(words_of(u)) for _, u in units[begin:i])
+            count = sum(map(len, words[begin:i]))
             tempered = (total - total.max()) / max(1.0, math.sqrt(count))
             chance = float(np.exp(tempered[path[begin]]) / np.exp(tempered).sum())
             end = units[i][0] if i < len(units) else len(text)
