@@ -1,3 +1,5 @@
+import random
+
 from voxloom.llm import stuffing
 
 PROSE = (
@@ -46,3 +48,23 @@ def test_half_is_not_enough(spark):
     keywords = KEYWORDS * 6
     prose = (PROSE * 8)[: len(keywords) * 2].rsplit(".", 1)[0] + "."
     assert found(spark, [doc(1, keywords + "\n" + prose), doc(2, keywords * 3 + "\n" + prose)]) == {2}
+
+
+def test_long_parts(spark):
+    rng = random.Random(6)
+    words = ["".join(rng.choice("bdfgklmnprst") + rng.choice("aeiou") for _ in range(rng.randint(1, 4))) for _ in range(700)]
+    weights = [1 / (rank + 2) for rank in range(len(words))]
+    said = [" ".join(rng.choices(words, weights, k=rng.randint(6, 18))) for _ in range(2500)]
+    half = "; ".join(words[:600])
+    rows = [
+        doc(1, ". ".join(said) + "."),  # a transcript on one long line
+        doc(2, ".\n".join(said) + "."),  # and one of short lines
+        doc(3, " ".join(said)),  # and one without punctuation
+        doc(4, f"{half}; " * 4),  # a stock larger than a window, repeated
+        doc(5, ". ".join(said[:400]) + ".\n" + KEYWORDS * 700),
+        doc(6, ". ".join(said) + ".\n" + KEYWORDS * 60),
+    ]
+    assert found(spark, rows) == {4, 5}
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, share double, line string, words string")
+    chars = {r["doc_id"]: r["chars"] for r in stuffing.parts_of(frame).groupBy("doc_id").sum("chars").withColumnRenamed("sum(chars)", "chars").collect()}
+    assert chars == {i: sum(len(line.strip()) for line in text.split("\n")) for i, text, *_ in rows}

@@ -4,7 +4,9 @@ Method: every page is cut into parts (long lines alone, short sentence lines tog
 SQL windows rank the words of each part by frequency, and a line is fitted through (ln rank, ln frequency).  A part is
 stuffed if its curve lies far from the prose of the same language at a comparable length: too few word types for its
 length (the head of the curve is flat and long), or an extreme slope or residual.  Repeated sentences are counted once,
-so that drills keep the curve of one sentence, while keyword lists keep their repeats.  Links, hashtags and product
+so that drills keep the curve of one sentence, while keyword lists keep their repeats.  Types over words fall with length,
+so a long part is judged in windows of its words, all of them, each held against prose of its own length; the part as a
+whole is stuffed if it repeats a large stock evenly, which no window of it shows.  Links, hashtags and product
 entries are recognised by their form.  A page is a case if stuffed parts make up more than half of its characters.
 
 Cutting and counting are one narrow stage over the pages; only the words of parts poor in types are exploded, ranked
@@ -30,9 +32,13 @@ MIDDLE, RESIDUAL, SLOPE, HEAD = 1.05, 0.15, -0.9, 0.2
 EVEN_RATIO = 0.72
 #: Share of the first rank that marks a list by itself.
 ALONE = 0.3
+#: Words of a window: a part of at least twice as many is cut into windows of equal length.
+WINDOW = 256
+#: Curve of a long part that repeats a stock of words evenly: a middle rank well above 1 under a flat slope.
+EVEN_MIDDLE, FLAT = 1.5, -0.35
 #: Least ratio expected of prose by length class (log2 of the words): holds where a language has few parts of a class,
 #: or where stuffed pages outnumber its prose.
-LEAST_RATIO = {3: 0.85, 4: 0.75, 5: 0.65, 6: 0.55, 7: 0.47, 8: 0.42, 9: 0.36, 10: 0.3}
+LEAST_RATIO = {3: 0.85, 4: 0.75, 5: 0.65, 6: 0.55, 7: 0.47, 8: 0.42}
 
 _LINK = (
     r"(?i)<a\s[^>]{0,2000}>[^<]{0,500}</a>|!?\[[^\]\n]{0,500}\]\([^)\s]{1,2000}\)|"
@@ -99,8 +105,30 @@ def _total(items: Column, name: str) -> Column:
     return F.aggregate(items, F.lit(0).cast("long"), lambda sum_, x: sum_ + x[name])
 
 
+def windows(parts: DataFrame) -> DataFrame:
+    """Cuts long parts into windows ``win`` 0, 1, ... that share their characters; ``win`` -1 is the long part as a whole.
+
+    A part that is not cut is window 0 of itself.  The whole has no characters, so that a page's characters count once.
+    """
+    n = F.size("words")
+    number = F.greatest(F.lit(1), F.floor(n / WINDOW)).cast("int")
+
+    def share(total: str, i: Column) -> Column:
+        return F.floor(F.col(total) * (i + 1) / number) - F.floor(F.col(total) * i / number)
+
+    def window(i: Column) -> Column:
+        begin, end = F.floor(n * i / number).cast("int"), F.floor(n * (i + 1) / number).cast("int")
+        return F.struct(i.alias("win"), share("chars", i).alias("chars"), share("link_chars", i).alias("link_chars"), F.slice("words", begin + 1, end - begin).alias("words"))
+
+    zero = F.lit(0).cast("long")
+    one = F.array(F.struct(F.lit(0).alias("win"), F.col("chars"), F.col("link_chars"), F.col("words")))
+    whole = F.array(F.struct(F.lit(-1).alias("win"), zero.alias("chars"), zero.alias("link_chars"), F.col("words")))
+    cut = F.when(number == 1, one).otherwise(F.concat(whole, F.transform(F.sequence(F.lit(0), number - 1), window)))
+    return parts.select("part", "doc_id", "lang", "kind", F.explode(cut).alias("y")).select("part", "doc_id", "lang", "kind", "y.*")
+
+
 def page_parts(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
-    """The parts of every page, one row each, in one narrow stage.
+    """The parts of every page, one row for each of their windows, in one narrow stage.
 
     Long lines are parts of their own; short sentence lines make one part, in which equal lines count once; short list
     lines make another, in which they keep their repeats; all links, tags, products and other lines make one each.
@@ -132,45 +160,50 @@ def page_parts(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> Da
     )
     together = F.array(merged("sentence", True), merged("list"), merged("link"), merged("tags"), merged("product"), merged("other"))
     parts = pages.select("doc_id", "lang", F.explode(F.concat(alone, F.filter(together, lambda x: x["chars"] > 0))).alias("x"))
-    parts = parts.select("doc_id", "lang", "x.*", F.size("x.words").alias("n"), F.size(F.array_distinct("x.words")).alias("types"))
+    parts = windows(parts.select(F.expr("uuid()").alias("part"), "doc_id", "lang", "x.*"))
+    parts = parts.select("*", F.size("words").alias("n"), F.size(F.array_distinct("words")).alias("types"))
     # a part in Latin letters on a page labelled with a language of another script is held against English prose
     latin = F.size(F.filter("words", lambda w: w.rlike("^[a-z]"))) > 0.7 * F.col("n")
     parts = parts.withColumn("lang", F.when(F.col("lang").isin("zh", "ja", "ru") & F.col("kind").isin("list", "sentence") & latin, "en").otherwise(F.col("lang")))
     ratio = F.col("types") / F.greatest(F.col("n"), F.lit(1))
     # words stay with the parts that can fall below their share of any prose ratio (at most 1)
     poor = F.when(F.col("kind") == "list", ratio < LIST_RATIO).when(F.col("kind") == "sentence", ratio < SENTENCE_RATIO).otherwise(F.lit(False))
-    return parts.withColumn("ratio", ratio).withColumn("words", F.when(poor, F.col("words"))).withColumn("part", F.expr("uuid()"))
+    return parts.withColumn("ratio", ratio).withColumn("words", F.when(poor, F.col("words")))
 
 
 def fitted(parts: DataFrame) -> DataFrame:
-    """Rank-frequency curve of the parts that keep their words: ``(part, slope, residual, middle, head)``.
+    """Rank-frequency curves of the windows that keep their words: ``(part, curves)``, a map from win to the curve.
 
     middle is the frequency that the fit gives the word of middle rank: about 1 in prose, where half of the types occur
     once, and clearly more where a small stock of words is repeated.
     """
-    counts = parts.where("words is not null").select("part", F.explode("words").alias("word")).groupBy("part", F.xxhash64("word").alias("word")).agg(F.count(F.lit(1)).alias("f"))
-    ranked = counts.withColumn("r", F.row_number().over(Window.partitionBy("part").orderBy(F.desc("f"), "word")))
+    counts = parts.where("words is not null").select("part", "win", F.explode("words").alias("word")).groupBy("part", "win", F.xxhash64("word").alias("word")).agg(F.count(F.lit(1)).alias("f"))
+    ranked = counts.withColumn("r", F.row_number().over(Window.partitionBy("part", "win").orderBy(F.desc("f"), "word")))
     x, y = F.log("r"), F.log("f")
     slope = F.coalesce(F.regr_slope(y, x), F.lit(0.0))
     types = F.count(F.lit(1))
     spread_ = F.coalesce(F.regr_syy(y, x) - F.regr_sxy(y, x) * F.regr_sxy(y, x) / F.nullif(F.regr_sxx(y, x), F.lit(0.0)), F.lit(0.0))
     middle = F.exp(F.avg(y) - slope * F.avg(x) + slope * F.log(F.greatest(F.lit(1.0), types / 2)))
-    return ranked.groupBy("part").agg(slope.alias("slope"), (spread_ / types).alias("residual"), middle.alias("middle"), (F.max("f") / F.sum("f")).alias("head"))
+    curves = ranked.groupBy("part", "win").agg(slope.alias("slope"), (spread_ / types).alias("residual"), middle.alias("middle"), (F.max("f") / F.sum("f")).alias("head"))
+    return curves.groupBy("part").agg(F.map_from_entries(F.collect_list(F.struct("win", F.struct("slope", "residual", "middle", "head")))).alias("curves"))
 
 
 def judged(parts: DataFrame) -> DataFrame:
     """Adds expected (prose type/token ratio of the language and length class), the curve and stuffed."""
-    parts = parts.withColumn("size_class", F.least(F.lit(10), F.floor(F.log2(F.greatest("n", F.lit(1)))).cast("int")))
+    # windows have less than twice WINDOW words, so the classes end at that of WINDOW; a whole has no use for its class
+    parts = parts.withColumn("size_class", F.least(F.lit(max(LEAST_RATIO)), F.floor(F.log2(F.greatest("n", F.lit(1)))).cast("int")))
+    # one window of each part, so that a long page weighs no more than another
     prose = (
-        parts.where("kind = 'sentence' and n >= 8")
+        parts.where("kind = 'sentence' and n >= 8 and win = 0")
         .groupBy("lang", "size_class")
         .agg(F.percentile_approx("ratio", 0.5, 1000).alias("median"), F.count(F.lit(1)).alias("seen"))
         .where("seen >= 20")
     )
     least = F.element_at(F.create_map(*[F.lit(v) for kv in LEAST_RATIO.items() for v in kv]), F.greatest(F.col("size_class"), F.lit(3)))
-    # at most 677 language codes x 8 length classes: a bounded table, safe to broadcast
+    # at most 677 language codes x 6 length classes: a bounded table, safe to broadcast
     both = parts.join(F.broadcast(prose), ["lang", "size_class"], "left").withColumn("expected", F.greatest("median", least))
-    both = both.join(fitted(parts), "part", "left")
+    both = both.join(fitted(parts), "part", "left").withColumn("whole", F.try_element_at("curves", F.lit(-1))).withColumn("curve", F.try_element_at("curves", F.col("win")))
+    both = both.where("win >= 0").select("*", "curve.*").drop("curves", "curve")
     few = F.col("ratio") < F.when(F.col("kind") == "list", LIST_RATIO).otherwise(SENTENCE_RATIO) * F.col("expected")
     long_enough = F.col("n") >= F.when(F.col("kind") == "list", 8).otherwise(20)
     steep = (F.col("residual") > RESIDUAL) | (F.col("slope") < SLOPE) | (F.col("head") > HEAD)
@@ -178,7 +211,9 @@ def judged(parts: DataFrame) -> DataFrame:
     # one word that makes up a third of a list needs no comparison with prose
     alone = (F.col("kind") == "list") & (F.col("head") > ALONE) & (F.col("n") >= 20)
     repeated = (F.col("kind").isin("list", "sentence") & few & long_enough & extreme) | alone
-    return both.withColumn("stuffed", F.coalesce(F.col("kind").isin("link", "tags", "product") | repeated, F.lit(False)))
+    even = (F.col("whole.middle") > EVEN_MIDDLE) & (F.col("whole.slope") > FLAT)
+    stuffed = F.col("kind").isin("link", "tags", "product") | F.coalesce(repeated, F.lit(False)) | F.coalesce(even, F.lit(False))
+    return both.withColumn("stuffed", stuffed)
 
 
 def parts_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
