@@ -68,3 +68,26 @@ def test_long_parts(spark):
     frame = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, share double, line string, words string")
     chars = {r["doc_id"]: r["chars"] for r in stuffing.parts_of(frame).groupBy("doc_id").sum("chars").withColumnRenamed("sum(chars)", "chars").collect()}
     assert chars == {i: sum(len(line.strip()) for line in text.split("\n")) for i, text, *_ in rows}
+
+
+def test_keywords_used_once(spark):
+    goods = "voice mic podcast ringtone headset speaker studio cable mixer karaoke audio radio".split()
+    offers = "changer stand download sale coupon kit pack shop review price deal rental".split()
+    once = ", ".join(f"{g} {o}" for g, o in zip(goods, offers))
+    said = "so then we all went down to the harbour and she asked me whether it was too late for him or if they could still find a boat"
+    chinese = "配音价格铃声下载耳机促销变声器软件麦克风支架播客设备录音棚租赁语音克隆朗读工具音箱评测声卡驱动混音教程"
+    japanese = "着信音ダウンロード格安音声合成高音質録音機器通販無料変声器比較人気配信機材割引防音室価格"
+    transcript = "我们昨天晚上去了河边的小店他说那里的茶很好喝但是我觉得太贵了所以我们就走了她也没有买什么东西"
+    rows = [
+        doc(1, once),
+        doc(2, once, "de"),
+        doc(3, said),
+        doc(4, said, None),
+        doc(5, chinese, "zh"),
+        doc(6, japanese, "ja"),
+        doc(7, transcript, "zh"),
+        doc(8, "配音价格铃声下载耳机促销" * 20, "zh"),
+        doc(9, once, "pl"),  # no function words are known
+        doc(10, "Anna, Bo, Carl, Dora"),
+    ]
+    assert found(spark, rows) == {1, 2, 5, 6, 8}

@@ -6,7 +6,9 @@ stuffed if its curve lies far from the prose of the same language at a comparabl
 length (the head of the curve is flat and long), or an extreme slope or residual.  Repeated sentences are counted once,
 so that drills keep the curve of one sentence, while keyword lists keep their repeats.  Types over words fall with length,
 so a long part is judged in windows of its words, all of them, each held against prose of its own length; the part as a
-whole is stuffed if it repeats a large stock evenly, which no window of it shows.  Links, hashtags and product
+whole is stuffed if it repeats a large stock evenly, which no window of it shows.  Keywords that hardly repeat have no
+curve; a list of them lacks the function words that head the curve of prose.  Scripts without spaces are counted by pairs
+of characters where a list has no separators.  Links, hashtags and product
 entries are recognised by their form.  A page is a case if stuffed parts make up more than half of its characters.
 
 Cutting and counting are one narrow stage over the pages; only the words of parts poor in types are exploded, ranked
@@ -36,10 +38,29 @@ ALONE = 0.3
 WINDOW = 256
 #: Curve of a long part that repeats a stock of words evenly: a middle rank well above 1 under a flat slope.
 EVEN_MIDDLE, FLAT = 1.5, -0.35
+#: Share of function words (or of pairs of characters with one) among the words of a list, below which it is no prose, and
+#: the least words and pairs for that.
+FUNCTION_SHARE, FUNCTION_WORDS, FUNCTION_PAIRS = 0.05, 20, 40
+#: Characters per word beyond which wide characters are written without separators.
+RUN = 24
 #: Least ratio expected of prose by length class (log2 of the words): holds where a language has few parts of a class,
 #: or where stuffed pages outnumber its prose.
 LEAST_RATIO = {3: 0.85, 4: 0.75, 5: 0.65, 6: 0.55, 7: 0.47, 8: 0.42}
 
+# Frequent function words of the languages written with spaces, and characters of the others.
+FUNCTION = {
+    "en": "the a an of to and in is it that for on with as was at by this from or be are not but have i you he she we they his her my",
+    "de": "der die das und in zu den mit von ist im dem nicht ein eine einen auf für es sich auch als an er sie ich wir aus hat dass wie bei um nach am",
+    "fr": "le la les de des du et en un une est que qui dans pour pas sur au ce il elle je nous vous avec par plus ne se à l d son sa mais ou",
+    "es": "el la los las de del y en un una es que por con para no se lo su al como más pero le me o si ya este cuando mi",
+    "pt": "o a os as de do da dos das e em um uma é que por com para não se no na ao como mais mas eu ele ela seu sua ou",
+    "it": "il lo la i gli le di del della e in un una è che per con non si al da dal come più ma mi ho ha suo sua o nel",
+    "nl": "de het een van en in is dat op te voor met niet zijn er aan ook als bij door maar om uit ik je hij ze we naar",
+    "ru": "и в во не на я что он она с со как это по но из у к за от до для же бы мы вы они его её о об при",
+}
+FUNCTION_CHARS = "的了是我你他她们这那吗呢吧把被就也都很着没让给和与但のはをがにへともでてただなかられします"
+_WIDE = r"[\u3040-\u30ff\u3400-\u9fff]"
+
 _LINK = (
     r"(?i)<a\s[^>]{0,2000}>[^<]{0,500}</a>|!?\[[^\]\n]{0,500}\]\([^)\s]{1,2000}\)|"
     r"\b(?:https?|ftp)://[^\s<>)\]]+|\bwww\.[^\s<>)\]]+"
@@ -105,6 +126,24 @@ def _total(items: Column, name: str) -> Column:
     return F.aggregate(items, F.lit(0).cast("long"), lambda sum_, x: sum_ + x[name])
 
 
+def paired(parts: DataFrame) -> DataFrame:
+    """Replaces the words of lists of wide characters without separators by pairs of characters; adds pairs (boolean)."""
+    run = F.array_join("words", "")
+    wide = (F.length(run) >= RUN * F.size("words")) & (2 * F.regexp_count(run, F.lit(_WIDE)) > F.length(run))
+    parts = parts.withColumn("pairs", F.when(F.col("kind") == "list", wide).otherwise(F.lit(False)))
+    chars = F.filter(F.split(run, ""), lambda c: c != "")
+    both = F.zip_with(F.slice(chars, 1, F.size(chars) - 1), F.slice(chars, 2, F.size(chars) - 1), lambda a, b: F.concat(a, b))
+    return parts.withColumn("words", F.when(F.col("pairs"), both).otherwise(F.col("words")))
+
+
+def without_function_words() -> Column:
+    """Whether a list of a language in ``FUNCTION`` (or of Chinese, Japanese or an unknown one) is long and lacks them."""
+    words = sorted({w for some in FUNCTION.values() for w in some.split()})
+    held = F.size(F.filter("words", lambda w: w.isin(words) | w.rlike(f"[{FUNCTION_CHARS}]")))
+    judged_ = (F.col("kind") == "list") & F.col("lang").isin(*FUNCTION, "zh", "ja", "un") & (F.col("n") >= F.when(F.col("pairs"), FUNCTION_PAIRS).otherwise(FUNCTION_WORDS))
+    return F.when(judged_, held < FUNCTION_SHARE * F.col("n")).otherwise(F.lit(False))
+
+
 def windows(parts: DataFrame) -> DataFrame:
     """Cuts long parts into windows ``win`` 0, 1, ... that share their characters; ``win`` -1 is the long part as a whole.
 
@@ -124,7 +163,8 @@ def windows(parts: DataFrame) -> DataFrame:
     one = F.array(F.struct(F.lit(0).alias("win"), F.col("chars"), F.col("link_chars"), F.col("words")))
     whole = F.array(F.struct(F.lit(-1).alias("win"), zero.alias("chars"), zero.alias("link_chars"), F.col("words")))
     cut = F.when(number == 1, one).otherwise(F.concat(whole, F.transform(F.sequence(F.lit(0), number - 1), window)))
-    return parts.select("part", "doc_id", "lang", "kind", F.explode(cut).alias("y")).select("part", "doc_id", "lang", "kind", "y.*")
+    keep = ("part", "doc_id", "lang", "kind", "pairs")
+    return parts.select(*keep, F.explode(cut).alias("y")).select(*keep, "y.*")
 
 
 def page_parts(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
@@ -160,7 +200,7 @@ def page_parts(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> Da
     )
     together = F.array(merged("sentence", True), merged("list"), merged("link"), merged("tags"), merged("product"), merged("other"))
     parts = pages.select("doc_id", "lang", F.explode(F.concat(alone, F.filter(together, lambda x: x["chars"] > 0))).alias("x"))
-    parts = windows(parts.select(F.expr("uuid()").alias("part"), "doc_id", "lang", "x.*"))
+    parts = windows(paired(parts.select(F.expr("uuid()").alias("part"), "doc_id", "lang", "x.*")))
     parts = parts.select("*", F.size("words").alias("n"), F.size(F.array_distinct("words")).alias("types"))
     # a part in Latin letters on a page labelled with a language of another script is held against English prose
     latin = F.size(F.filter("words", lambda w: w.rlike("^[a-z]"))) > 0.7 * F.col("n")
@@ -168,7 +208,7 @@ def page_parts(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> Da
     ratio = F.col("types") / F.greatest(F.col("n"), F.lit(1))
     # words stay with the parts that can fall below their share of any prose ratio (at most 1)
     poor = F.when(F.col("kind") == "list", ratio < LIST_RATIO).when(F.col("kind") == "sentence", ratio < SENTENCE_RATIO).otherwise(F.lit(False))
-    return parts.withColumn("ratio", ratio).withColumn("words", F.when(poor, F.col("words")))
+    return parts.withColumn("ratio", ratio).withColumn("bare", without_function_words()).withColumn("words", F.when(poor, F.col("words")))
 
 
 def fitted(parts: DataFrame) -> DataFrame:
@@ -201,7 +241,7 @@ def judged(parts: DataFrame) -> DataFrame:
     )
     least = F.element_at(F.create_map(*[F.lit(v) for kv in LEAST_RATIO.items() for v in kv]), F.greatest(F.col("size_class"), F.lit(3)))
     # at most 677 language codes x 6 length classes: a bounded table, safe to broadcast
-    both = parts.join(F.broadcast(prose), ["lang", "size_class"], "left").withColumn("expected", F.greatest("median", least))
+    both = parts.join(F.broadcast(prose), ["lang", "size_class"], "left").withColumn("expected", F.greatest(F.when(~F.col("pairs"), F.col("median")), least))
     both = both.join(fitted(parts), "part", "left").withColumn("whole", F.try_element_at("curves", F.lit(-1))).withColumn("curve", F.try_element_at("curves", F.col("win")))
     both = both.where("win >= 0").select("*", "curve.*").drop("curves", "curve")
     few = F.col("ratio") < F.when(F.col("kind") == "list", LIST_RATIO).otherwise(SENTENCE_RATIO) * F.col("expected")
@@ -212,7 +252,7 @@ def judged(parts: DataFrame) -> DataFrame:
     alone = (F.col("kind") == "list") & (F.col("head") > ALONE) & (F.col("n") >= 20)
     repeated = (F.col("kind").isin("list", "sentence") & few & long_enough & extreme) | alone
     even = (F.col("whole.middle") > EVEN_MIDDLE) & (F.col("whole.slope") > FLAT)
-    stuffed = F.col("kind").isin("link", "tags", "product") | F.coalesce(repeated, F.lit(False)) | F.coalesce(even, F.lit(False))
+    stuffed = F.col("kind").isin("link", "tags", "product") | F.col("bare") | F.coalesce(repeated, F.lit(False)) | F.coalesce(even, F.lit(False))
     return both.withColumn("stuffed", stuffed)
 
 
