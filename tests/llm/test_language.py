@@ -62,3 +62,31 @@ def test_held_out_accuracy(spark):
     fit = language.fit_clean(language.training_rows(rows.where("row_id % 5 <> 0"), "row_id", label, text))
     held = language.label_rows(rows.where("row_id % 5 = 0 and lang in ('fr', 'es', 'pt', 'it', 'nl', 'ru', 'zh', 'ja')"), fit, "row_id", label, text).where("segments = 1 and lang is not null")
     assert held.where("lang = label").count() >= 0.9 * held.count() > 0
+
+
+def test_short_sentences_of_another_language(model):
+    en, de = SENTENCES["en"], SENTENCES["de"]
+
+    def found(text):
+        return [(f[2], text[f[0] : f[1]].strip()) for f in language.stretches(model, text)]
+
+    for short, lang in (("Niemand weiß das lange Lied.", "de"), ("Niemand weiß das.", "de"), ("Старый пекарь дарит ключ.", "ru")):
+        assert found(f"{en[0]} {short} {en[1]}") == [("en", en[0]), (lang, short), ("en", en[1])]
+        assert found(f"{short} {en[1]}") == [(lang, short), ("en", en[1])]
+        assert found(f"{en[1]} {short}") == [("en", en[1]), (lang, short)]
+    assert len(found(f"{de[0]} Fenno Lusken Barsken! {de[2]}")) == 1
+    assert len(found(f"{en[0]} Niemand weiß {en[1]}")) == 1  # no sentence of its own
+    # neither does a unit that only names something lean on the clear sentence after it
+    assert [f[0] for f in found(f"Fenno, Lusken. {de[0]}")] == ["de"]
+
+
+def test_short_wide_sentences(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.01/tts.parquet")
+    fit = language.fit_clean(language.training_rows(rows, "row_id", language.normal_label(F.col("lang")), language.spoken_text("messages"), 200))
+    chinese, english = "老面包师在温室里修好了坏掉的耳机。", SENTENCES["en"][0]
+    for text, want in (
+        (f"{english} 请再说一遍。 {english}", ["en", "zh", "en"]),
+        (f"{chinese}Please say it again.{chinese}", ["zh", "en", "zh"]),
+        (f"{english} 你好。 {english}", ["en"]),
+    ):
+        assert [f[2] for f in language.stretches(fit, text)] == want

@@ -3,7 +3,9 @@
 Method: word-first backoff.  A word known from training scores by its log frequency in each language; an unseen word
 is covered from left to right by the longest known character n-grams, which shrink from five letters to one.  Units
 (sentences) are scored by the sum over their words and joined by a Viterbi pass in which a change of language costs
-``SWITCH`` nats, so a name, a number or a short interjection never opens a stretch of its own.
+``SWITCH`` nats, so a name, a number or a short interjection never opens a stretch of its own.  A complete sentence of
+more than names that speaks clearly for its language is entered for ``SHORT_SWITCH`` nats, however short it is, if the
+stretch before it holds such a sentence too.
 
 The classifier is fitted on a bounded sample of labelled rows (``ROWS_PER_LANGUAGE`` of each language, chosen by hash of
 the row id) and cleaned once: sentences that the first fit places elsewhere leave the second fit.  Scoring covers every
@@ -31,6 +33,11 @@ ROWS_PER_LANGUAGE = 800
 TRAINING_CHARS = 20_000
 #: Cost of a change of language between neighbouring units, in nats.
 SWITCH = 14.0
+#: Cost of a change into a complete sentence that speaks for its language by ``CLEAR`` nats a word (four wide characters), at
+#: most ``SWITCH``.
+SHORT_SWITCH, CLEAR = 2.0, 2.0
+#: Least words of such a sentence (known, or in small letters; one of four may be a name) and least wide characters.
+SHORT_WORDS, SHORT_WIDE = 2, 5
 #: Most nats by which one word can speak against a language (runs of wide characters: for every four characters).
 MOST = 5.0
 #: Least letters of a text that gets a language.
@@ -55,6 +62,8 @@ LABELS = {
 LANGUAGES = tuple(LABELS)
 
 _UNIT = regex.compile(r"[^.!?…。！？\n\r/|;“”«»„—]*[.!?…。！？\n\r/|;“”«»„—]*[\"'’)\]\s]*")
+_CLOSED = regex.compile(r"[.!?…。！？][.!?…。！？\"'’”»)\]\s]*$")
+_OPENS = regex.compile(r"[.!?…。！？\n\r][.!?…。！？\n\r\"'’”“»«„)\]\s]*$")
 _WORD = regex.compile(r"[\p{L}\p{M}]+")
 _LETTER = regex.compile(r"\p{L}")
 _WIDE = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}]")
@@ -200,6 +209,22 @@ def training_rows(rows: DataFrame, id_col: str, label: Column, text: Column, bou
     return [(r["lang"], r["text"]) for r in labelled.withColumn("place", place).where(F.col("place") <= bound).select("lang", "text").collect()]
 
 
+def sentence_words(model: Model, before: str, unit: str, words: list[str]) -> float:
+    """Words (four wide characters count as one, unknown ones twice) of a unit that is a complete sentence of more than
+    names; 0 if it is none."""
+    if not words or not _CLOSED.search(unit) or (before and not _OPENS.search(before)):
+        return 0.0
+    wide = sum(len(w) for w in words if _WIDE.search(w))
+    plain = [w for w in _WORD.findall(unit) if not _WIDE.search(w)]
+    known = sum(w.lower() in model.words for w in plain)
+    if wide >= SHORT_WIDE or (known >= SHORT_WORDS and 4 * (len(plain) - known) <= len(plain)):
+        return len(plain) + wide / 4
+    # unknown words in small letters are no names, but must speak twice as clearly, as another script does
+    if sum(w[0].islower() for w in plain) >= SHORT_WORDS and sum(not w[0].islower() for w in plain[1:]) * 4 <= len(plain):
+        return 2.0 * len(plain)
+    return 0.0
+
+
 def stretches(model: Model, text: str) -> list[tuple[int, int, str, float]]:
     """(start, end, language, confidence) of each one-language stretch; empty for texts of too few letters."""
     units = units_of(text)
@@ -209,11 +234,30 @@ def stretches(model: Model, text: str) -> list[tuple[int, int, str, float]]:
         return []
     scores = np.array([model.total(some) for some in words])
     best, back = scores[0], []
-    for row in scores[1:]:
+    # firm[a, b]: the stretch in a that ends here holds a complete sentence that speaks for a and against b
+    firm, states = np.zeros((len(best), len(best)), bool), np.arange(len(best))
+    own = int(best.argmax())
+    clear = sentence_words(model, "", units[0][1], words[0])
+    if clear:
+        firm[own] = best[own] - best >= min(CLEAR * clear, SWITCH)
+    for i, row in enumerate(scores[1:], 1):
         jump = best.max() - SWITCH
         stay = best >= jump
-        back.append(np.where(stay, np.arange(len(best)), best.argmax()))
-        best = np.where(stay, best, jump) + row
+        came, value = np.where(stay, states, best.argmax()), np.where(stay, best, jump)
+        own = int(row.argmax())
+        clear = 0.0
+        if own != best.argmax() or np.count_nonzero(firm[own]) < len(best) - 1:
+            clear = sentence_words(model, units[i - 1][1], units[i][1], words[i])
+        against = row[own] - row >= min(CLEAR * clear, SWITCH)
+        if clear and own != best.argmax():
+            others = np.where(against & firm[:, own], best, -np.inf)
+            if others.max() - SHORT_SWITCH > value[own]:
+                came[own], value[own] = others.argmax(), others.max() - SHORT_SWITCH
+        firm = firm & (came == states)[:, None]
+        if clear:
+            firm[own] |= against
+        back.append(came)
+        best = value + row
     path = [int(best.argmax())]
     for step in reversed(back):
         path.append(int(step[path[-1]]))
