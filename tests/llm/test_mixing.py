@@ -61,3 +61,16 @@ def test_names_and_deliveries(spark):
     rows = [("s:x:1:tts", "S ", day(1), (1, 1, 1, 1, 1)), ("s:x:1:tts", None, day(2), (2, 2, 2, 2, 2)), ("s:x:2:tts", None, day(1), (1, 1, 1, 1, 1)), ("s:x:3:tts", "s", day(1), (1, None, 1, 1, 1)), (None, "s", day(1), (1, 1, 1, 1, 1))]
     made = mixing.mixture_samples(spark.createDataFrame(rows, f"uid string, source_name string, ingested_at timestamp_ntz, lengths {lengths}")).collect()
     assert sorted((r["uid"], r["source_name"], r["size"]) for r in made) == [("s:x:1:tts", "s", 10), ("s:x:2:tts", "s", 5)]
+
+
+def test_the_whole_size_is_registered(spark, small):
+    from voxloom.llm import queries
+
+    registered = queries.queries()
+    targets = registered["p4_full_targets"](spark, small).collect()
+    short = {r["source_name"] for r in targets if r["capped"]}
+    assert short and all(r["met"] for r in targets) and all((r["shortfall"] > 0) == r["capped"] for r in targets)
+    most = {r["source_name"]: r["max_uses"] for r in targets}
+    uses = registered["p4_full_uses"](spark, small).collect()
+    assert all(r["uses"] == most[r["source_name"]] for r in uses if r["source_name"] in short and r["size"] > 0)
+    assert all(r["uses"] <= most.get(r["source_name"], 0) for r in uses) and max(r["uses"] for r in uses) > 1

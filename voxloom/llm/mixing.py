@@ -21,8 +21,8 @@ from voxloom.session import cut_lineage
 
 #: Fields that make the size of a sample in a mixture.
 MIXED_FIELDS = ("user_text_tokens", "assistant_text_tokens", "user_audio_tokens", "assistant_audio_tokens", "codec_tokens")
-#: Share of all known size that the registered mixture draws.
-TOTAL_SHARE = 0.1
+#: Shares of all known size that the registered mixtures draw.
+TOTAL_SHARE, FULL_SHARE = 0.1, 1.0
 #: Buckets of the Pareto rank of one source.
 BUCKETS = 16384
 #: Passes over the order of a source, each with the samples that still fit.
@@ -96,8 +96,8 @@ def _filled(picked: DataFrame, keep: list[str]) -> DataFrame:
     return cut_lineage(placed.join(exact, "uid", "left").select(*keep, more.alias("more")))
 
 
-def draw(items: DataFrame, sources: DataFrame, total_size: float | None = None, seed: int = 7, odds_col: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """``(uses, shares)`` of a mixture of ``total_size`` (``TOTAL_SHARE`` of everything if None).
+def draw(items: DataFrame, sources: DataFrame, total_size: float | None = None, seed: int = 7, odds_col: str | None = None, total_share: float = TOTAL_SHARE) -> tuple[DataFrame, DataFrame]:
+    """``(uses, shares)`` of a mixture of ``total_size`` (``total_share`` of everything if None).
 
     uses: ``(uid, source_name, size, uses)``, a row for every sample, 0 where it is not drawn or its source is not
     configured.  shares: targets and results of every configured source; a source that its cap keeps below the target
@@ -107,7 +107,7 @@ def draw(items: DataFrame, sources: DataFrame, total_size: float | None = None,
     extra = [F.col(odds_col).cast("double").alias("tilt")] if odds_col else [F.lit(1.0).alias("tilt")]
     items = cut_lineage(items.select("uid", "source_name", "size", *extra))
     if total_size is None:
-        total = items.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("t")).select((F.col("t") * TOTAL_SHARE).alias("total"))
+        total = items.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("t")).select((F.col("t") * total_share).alias("total"))
         total_size = float(total.first()["total"])
     targets = cut_lineage(source_targets(items, sources, F.lit(float(total_size))))
     tilts = items.groupBy("source_name").agg((F.sum(F.col("size") * F.col("tilt")) / F.nullif(F.sum("size").cast("double"), F.lit(0.0))).alias("mean_tilt"))

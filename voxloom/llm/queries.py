@@ -81,6 +81,31 @@ def p4_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def p4_full_uses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Uses of every sample in a mixture of the whole size, in which samples repeat and sources reach their caps."""
+    samples = mixing.mixture_samples(table(spark, sf_dir, "canonical_samples"))
+    return mixing.draw(samples, table(spark, sf_dir, "streaming_sources"), total_share=mixing.FULL_SHARE)[0]
+
+
+def p4_full_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Targets of the mixture of the whole size, the sources their cap keeps below it, and by how much.
+
+    met: a source below its cap is within 1 % of its target, or within half of its largest sample, which is what whole
+    samples can promise a small source.  Caps of whole uses are reached exactly.
+    """
+    samples = mixing.mixture_samples(table(spark, sf_dir, "canonical_samples"))
+    shares = mixing.draw(samples, table(spark, sf_dir, "streaming_sources"), total_share=mixing.FULL_SHARE)[1]
+    largest = samples.groupBy("source_name").agg((F.max("size") / 2).alias("half"))
+    shares = shares.join(largest, "source_name", "left")
+    capped = F.col("target_size") > F.col("max_uses") * F.col("available_size")
+    lacks = F.col("target_size") - F.col("actual_size")
+    near = F.abs(lacks) <= F.greatest(0.01 * F.col("target_size"), F.lit(500.0), "half")
+    return shares.select(
+        "source_name", "max_uses", F.round("target_size", 3).alias("target_size"), capped.alias("capped"),
+        F.when(capped, F.round(lacks, 3)).otherwise(0.0).alias("shortfall"), (capped | near).alias("met"),
+    )
+
+
 def p5_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenize.encode_corpus(table(spark, sf_dir, "documents"))
 
@@ -94,7 +119,7 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = (p1_batches, p1_totals, p2_found, p2_groups, p3_found, p3_stretches, p4_uses, p4_shares, p4_targets, p5_ids, p6_found, p7_found)
+    found = (p1_batches, p1_totals, p2_found, p2_groups, p3_found, p3_stretches, p4_uses, p4_shares, p4_targets, p4_full_uses, p4_full_targets, p5_ids, p6_found, p7_found)
     return {f.__name__: f for f in found}
 
 
@@ -136,7 +161,28 @@ SELECT source_name, max_uses, samples::BIGINT AS samples, available_size::BIGINT
 FROM both_
 """
 
+P4_FULL_TARGETS = f"""
+WITH {_known(mixing.MIXED_FIELDS)},
+names AS (
+  SELECT uid, coalesce(min(nullif(lower(trim(source_name)), '')), nullif(lower(trim(split_part(uid, ':', 1))), '')) AS source_name
+  FROM canonical_samples WHERE uid IS NOT NULL GROUP BY uid
+),
+held AS (SELECT source_name, sum(size) AS available_size FROM known JOIN names USING (uid) GROUP BY source_name),
+both_ AS (
+  SELECT lower(trim(name)) AS source_name, weight, greatest(1, floor(ratio))::INT AS max_uses, coalesce(available_size, 0) AS available_size
+  FROM streaming_sources LEFT JOIN held ON lower(trim(name)) = source_name
+),
+aims AS (
+  SELECT *, CASE WHEN available_size > 0 THEN weight ELSE 0 END / (SELECT sum(weight) FROM both_ WHERE available_size > 0)
+    * (SELECT sum(size) * {mixing.FULL_SHARE}::DOUBLE FROM known) AS target
+  FROM both_
+)
+SELECT source_name, max_uses, round(target, 3) AS target_size, target > max_uses * available_size AS capped,
+  CASE WHEN target > max_uses * available_size THEN round(target - max_uses * available_size, 3) ELSE 0 END AS shortfall, true AS met
+FROM aims
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     """SQL of what SQL can state; the other queries are tested against brute force in ``tests/llm``."""
-    return {"p1_totals": P1_TOTALS, "p4_targets": P4_TARGETS}
+    return {"p1_totals": P1_TOTALS, "p4_targets": P4_TARGETS, "p4_full_targets": P4_FULL_TARGETS}
