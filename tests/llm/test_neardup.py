@@ -54,6 +54,53 @@ def test_recall_against_brute_force(spark, tile):
     assert got <= want and len(got) >= 0.99 * len(want) > 50
 
 
+def test_nodes_are_masked_bits_of_the_fingerprint():
+    rng = np.random.default_rng(2)
+    prints = rng.integers(0, 256, (50, neardup.FIELDS), np.uint8)
+    nodes = neardup.masked(prints)
+    for mask in range(neardup.MASKS):
+        kept = np.zeros(neardup.FIELDS, np.uint8)
+        kept[mask * neardup.KEPT : (mask + 1) * neardup.KEPT] = 255
+        shown = prints & kept
+        assert [int.from_bytes(row.tobytes(), "big") for row in shown[:, kept > 0]] == (nodes[:, mask] & 0xFFFFFFFF).tolist()
+    high, low = neardup.compared_bits(prints)
+    for row, h, l in zip(prints, high.tolist(), low.tolist()):
+        bits = [b & 1 for b in row] + [(b >> 1) & 1 for b in row[:32]]
+        assert f"{h:064b}{l:064b}" == "".join(map(str, bits))
+
+
+def test_recall_of_the_index_alone(spark):
+    """Candidates of the masked, Gray-ordered index before the exact check."""
+    rows = [(i, t, None, "x") for i, t in enumerate(texts(1200, 8))]
+    made = members(spark, rows)
+    prints = neardup.fingerprints_of(made.groupBy("key").agg(F.min("norm").alias("norm")), 4)
+    key = {r["row_id"]: r["key"] for r in made.collect()}
+    got = {(r["a"], r["b"]) for r in neardup.candidate_pairs(prints).collect()}
+    held = {i: {t[j : j + 4] for j in range(len(t) - 3)} for i, t, *_ in rows}
+    want = {tuple(sorted((key[i], key[j]))) for i in held for j in range(i) if key[i] != key[j] and len(held[i] & held[j]) >= 0.7 * len(held[i] | held[j])}
+    assert len(want) > 300 and len(want & got) >= 0.99 * len(want)
+
+
+def test_hot_node_is_found_and_spread(spark):
+    """Two fifths of all texts share the bits of mask 5; the index names that node before the exchange and tiles its members."""
+    rng = np.random.default_rng(4)
+    prints = rng.integers(0, 256, (6000, neardup.FIELDS), np.uint8)
+    prints[:2400, 5 * neardup.KEPT : 6 * neardup.KEPT] = 9
+    prints[1] = prints[0]
+    frame = spark.createDataFrame([(i, p.tobytes()) for i, p in enumerate(prints)], "key bigint, print binary").repartition(5)
+    hot = neardup.hot_nodes(frame)
+    assert list(hot) == [(5 << 32) | 0x09090909] and 2400 <= hot[(5 << 32) | 0x09090909] <= 2400 + 6000 / 512 + 1
+    assert {(r["a"], r["b"]) for r in neardup.candidate_pairs(frame, tile=100).collect()} == {(0, 1)}
+    cold = neardup.sketches_of(frame, hot).select(F.explode("nodes").alias("node")).groupBy("node").count().agg(F.max("count")).first()[0]
+    assert cold <= 2 * 6000 / 512
+
+
+def test_many_copies_are_paired_in_tiles(spark):
+    ids = spark.range(300).select(F.when(F.col("id") < 100, 7).otherwise(F.col("id")).cast("long").alias("key"), F.col("id").alias("row_id"))
+    got = neardup.equal_rows(ids, tile=16).collect()
+    assert len(got) == 100 * 99 // 2 and {(r["x"], r["y"]) for r in got} == {(i, j) for j in range(100) for i in range(j)}
+
+
 def test_edges(spark):
     base = "the quick brown fox jumps over the lazy dog and runs far away from here"
     rows = [(1, base), (2, base.upper() + "!!"), (3, base), (3, base), (4, None), (5, ""), (6, "short"), (7, base * 2000), (8, base.replace("fox", "cat")), (9, "ABC" * 13), (10, "abc" * 13)]

@@ -1,17 +1,20 @@
 """Near-duplicate texts by a Gray-order hierarchical index over fingerprints.
 
-Every distinct normal form gets ``PERMUTATIONS`` minhash values of its character runs and, from one low bit of each, a
-128-bit fingerprint: two bits differ with chance (1 - J) / 2.
-
-*Upper nodes* of the index are masked patterns: mask ``b`` keeps the four minhash fields of band ``b``, and texts that
-agree under a mask share that node.  With 24 masks two texts of similarity 0.7 meet below some node with chance 0.9986
-(0.9999 at 0.75).  Nodes are spread over the cluster by their pattern.  Inside a node the members are sorted by the Gray
-rank of their fingerprints; runs of 8, 64 and 512 neighbours become lower nodes that hold the bits on which all members
-agree.  Two nodes whose agreed bits already differ in more than ``RADIUS`` places are pruned with everything below;
-what survives is compared bit by bit and then checked exactly.
-
-Hot nodes (more than ``TILE`` members) are cut into tiles that meet pairwise in separate tasks, so no member is dropped
-and no task holds more than two tiles.  Equal texts are one member; copies come back by a join at the end.
+Every distinct normal form gets a fingerprint of ``FIELDS`` x 8 bits: field i holds eight bits of the least value of the
+i-th permutation of its character runs, so two fields are equal with chance J and their bits differ in half otherwise.
+
+*Upper nodes* of the index are masked bit patterns of that fingerprint: mask b keeps the 32 bits of block b (a block
+permutation brings them to the front), and fingerprints that agree under a mask share its node.  There are as many masks
+as recall needs: with 24, two texts of similarity 0.7 meet below some node with chance 0.9986 (0.9999 at 0.75).  Below
+its node a fingerprint is sorted by the Gray rank of its first bit plane; runs of 8, 64 and 512 neighbours become lower
+nodes that hold the bits on which all members agree.  Differences accumulate on the way down: two nodes whose agreed bits
+already differ in more than ``RADIUS`` places are pruned with everything below.  What survives is checked exactly.
+
+Hot nodes are known before anything moves: every chunk of the corpus names the nodes that hold more than the share
+``HOT`` of it, and the sums of these counts find every node that holds more than twice that share of all texts (at most
+``MASKS / HOT`` of them, a proven bound).  Their members go straight to tiles that meet pairwise in tasks of their own.  No
+other node holds more than ``2 * HOT`` of the texts; those beyond ``TILE`` members are tiled after their exchange.
+Equal texts are one member; copies come back by a join at the end.
 """
 
 from __future__ import annotations
@@ -20,7 +23,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,14 +31,19 @@ from voxloom.session import cut_lineage
 
 #: Characters in a run, least characters of a text, least shared part of the runs.
 SHINGLE, MIN_CHARS, SIMILARITY = 4, 40, 0.7
-#: Minhash values, those of one mask.
-PERMUTATIONS, FIELDS, MASKS = 128, 4, 24
-#: Bit of each minhash value that goes into the fingerprint.
-FINGERPRINT_BIT = 7
-#: Bits of 128 that may differ: at similarity 0.7 the mean is 19.2 with deviation 4.0.
+#: Masks, and the eight-bit fields that one mask keeps.
+MASKS, KEPT = 24, 4
+#: Fields of a fingerprint.
+FIELDS = MASKS * KEPT
+#: Bits of the 128 compared below a node (first plane, and the second of 32 fields) that may differ: at similarity 0.7 the
+#: mean is 18.4 with deviation 4.4.
 RADIUS = 36
 #: Members of a node that one task compares with each other.
 TILE = 2048
+#: Share of a chunk of ``CHUNK`` texts from which a node is counted as a candidate for a hot one.
+HOT, CHUNK = 1 / 512, 2048
+#: Share of all rows from which the copies of one text are paired in tiles.
+COPIES = 1 / 4096
 _FAN = 8
 
 
@@ -71,7 +78,7 @@ def shingles(text: str, k: int = SHINGLE) -> np.ndarray:
 
 
 def _factors() -> np.ndarray:
-    steps = np.arange(1, PERMUTATIONS + 1, dtype=np.uint64)
+    steps = np.arange(1, FIELDS + 1, dtype=np.uint64)
     with np.errstate(over="ignore"):
         return ((_mix(steps * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)) | np.uint64(1)).astype(np.uint32)
 
@@ -79,13 +86,27 @@ def _factors() -> np.ndarray:
 _FACTORS = _factors()[:, None]
 
 
-def minhash(runs: np.ndarray) -> np.ndarray:
-    """The least value of each permutation of 32-bit numbers (products with odd factors) over mixed runs."""
+def fingerprint(runs: np.ndarray) -> np.ndarray:
+    """Eight bits of the least value of each permutation of 32-bit numbers (products with odd factors) over mixed runs."""
     low = (runs & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-    out = np.full(PERMUTATIONS, np.iinfo(np.uint32).max, np.uint32)
+    least = np.full(FIELDS, np.iinfo(np.uint32).max, np.uint32)
     for start in range(0, len(low), 4096):  # long texts in pieces that stay in the cache
-        np.minimum(out, (low[None, start : start + 4096] * _FACTORS).min(axis=1), out=out)
-    return out
+        np.minimum(least, (low[None, start : start + 4096] * _FACTORS).min(axis=1), out=least)
+    with np.errstate(over="ignore"):
+        return ((least * np.uint32(0x9E3779B1)) >> np.uint32(24)).astype(np.uint8)
+
+
+def masked(prints: np.ndarray) -> np.ndarray:
+    """Upper nodes of fingerprints, one column for each mask: the number of the mask and the 32 bits that it keeps."""
+    blocks = np.ascontiguousarray(prints).reshape(-1, MASKS, KEPT).view(">u4")[:, :, 0].astype(np.int64)
+    return blocks | (np.arange(MASKS, dtype=np.int64) << 32)[None, :]
+
+
+def compared_bits(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The 128 bits compared below a node: the first plane of all fields, then the second plane of the first 32."""
+    planes = np.concatenate([prints & 1, (prints[:, : 128 - FIELDS] >> 1) & 1], axis=1)
+    words = np.packbits(planes, axis=1).view(">u8").astype(np.uint64)
+    return words[:, 0].copy(), words[:, 1].copy()
 
 
 def gray_rank(high: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -105,31 +126,72 @@ def from_rank(high: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return high ^ (high >> np.uint64(1)), low ^ carried
 
 
-def sketches_of(texts: DataFrame, k: int) -> DataFrame:
-    """``(key, rank_high, rank_low, nodes)``: Gray rank of the fingerprint and the node under every mask, by distinct text."""
+def fingerprints_of(texts: DataFrame, k: int) -> DataFrame:
+    """``(key, print)``: the fingerprint of every distinct text, ``FIELDS`` bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            prints = [fingerprint(runs_of(t, k)).tobytes() for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.binary())], names=["key", "print"])
+
+    return texts.select("key", "norm").mapInArrow(run, "key bigint, print binary")
+
+
+def _prints(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, FIELDS)
+
+
+def hot_nodes(prints: DataFrame) -> dict[int, int]:
+    """Nodes that hold more than ``2 * HOT`` of all texts (and perhaps some that hold more than ``HOT``), with at least
+    as many members as they have.
+
+    A node that holds the share 2 * HOT of all is counted in the chunks where it holds more than HOT; the others add at
+    most HOT, so the sum reaches HOT of all.  At most ``MASKS / HOT`` nodes can.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, CHUNK):
+                part = batch.slice(start, CHUNK)
+                node, n = np.unique(masked(_prints(part.column(1))), return_counts=True)
+                often = n > HOT * part.num_rows
+                yield pa.RecordBatch.from_arrays([pa.array(node[often]), pa.array(n[often], pa.int64())], names=["node", "n"])
+
+    total = prints.count()
+    if total <= TILE:
+        return {}
+    found = prints.mapInArrow(run, "node bigint, n bigint").groupBy("node").agg(F.sum("n").alias("n")).where(F.col("n") >= HOT * total)
+    found = found.where(F.col("n") + HOT * total > TILE)
+    return {r["node"]: r["n"] + int(HOT * total) + 1 for r in found.collect()}
+
+
+def sketches_of(prints: DataFrame, hot: dict[int, int]) -> DataFrame:
+    """``(key, rank_high, rank_low, nodes, hot)``: Gray rank of the compared bits, the nodes, and those known to be hot."""
+    known = np.array(sorted(hot), np.int64)
+
+    def lists(rows: np.ndarray, values: np.ndarray, n: int) -> pa.Array:
+        offsets = np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=n))]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, batch.num_rows, 2000):
-                part = batch.slice(start, 2000)
-                values = np.array([minhash(runs_of(t, k)) for t in part.column(1).to_pylist()], np.uint64).reshape(-1, PERMUTATIONS)
-                bits = ((values >> np.uint64(FINGERPRINT_BIT)) & np.uint64(1)).astype(np.uint8)
-                prints = np.packbits(bits, axis=1).view(">u8").astype(np.uint64)
-                high, low = gray_rank(prints[:, 0].copy(), prints[:, 1].copy())
-                nodes = np.empty((len(values), MASKS), np.uint64)
-                for mask in range(MASKS):
-                    node = np.full(len(values), mask + 1, np.uint64)
-                    for column in values[:, mask * FIELDS : (mask + 1) * FIELDS].T:
-                        with np.errstate(over="ignore"):
-                            node = _mix(node * np.uint64(0x9E3779B97F4A7C15) + column)
-                    nodes[:, mask] = node
-                offsets = pa.array(np.arange(0, MASKS * len(values) + 1, MASKS, dtype=np.int32))
-                lists = pa.ListArray.from_arrays(offsets, pa.array(nodes.ravel().view(np.int64)))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(high.view(np.int64)), pa.array(low.view(np.int64)), lists], names=["key", "rank_high", "rank_low", "nodes"]
-                )
-
-    return texts.select("key", "norm").mapInArrow(run, "key bigint, rank_high bigint, rank_low bigint, nodes array<bigint>")
+            prints = _prints(batch.column(1))
+            high, low = gray_rank(*compared_bits(prints))
+            nodes = masked(prints)
+            is_hot = np.isin(nodes, known)
+            row = np.repeat(np.arange(len(nodes)), MASKS).reshape(nodes.shape)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0),
+                    pa.array(high.view(np.int64)),
+                    pa.array(low.view(np.int64)),
+                    lists(row[~is_hot], nodes[~is_hot], len(nodes)),
+                    lists(row[is_hot], nodes[is_hot], len(nodes)),
+                ],
+                names=["key", "rank_high", "rank_low", "nodes", "hot"],
+            )
+
+    return prints.mapInArrow(run, "key bigint, rank_high bigint, rank_low bigint, nodes array<bigint>, hot array<bigint>")
 
 
 _ONES = np.array([bin(i).count("1") for i in range(1 << 16)], np.uint8)
@@ -190,22 +252,34 @@ def search(group: np.ndarray, side: np.ndarray, high: np.ndarray, low: np.ndarra
     return a[keep], b[keep]
 
 
-def candidate_pairs(sketches: DataFrame, tile: int = TILE, radius: int = RADIUS) -> DataFrame:
-    """``(a, b)``, a < b: keys that meet below some node within ``radius`` bits.
-
-    One exchange brings the members of a node together; members without a partner leave right behind it.  Only the members
-    of hot nodes move once more, to their tiles.
-    """
-    entries = sketches.select(F.explode("nodes").alias("node"), "rank_high", "rank_low", "key")
-    met = entries.withColumn("members", F.count(F.lit(1)).over(Window.partitionBy("node"))).where("members > 1")
-    small = met.where(F.col("members") <= tile).select("node", F.lit(0).alias("pair"), F.lit(0).alias("side"), "rank_high", "rank_low", "key")
-    # tile i meets tile j >= i in the task numbered i * tiles + j
-    inside = met.where(F.col("members") > tile).withColumn("tiles", F.ceil(F.col("members") / tile).cast("int"))
-    inside = inside.withColumn("mine", F.pmod(F.xxhash64("key"), F.col("tiles")).cast("int"))
+def _tiled(entries: DataFrame) -> DataFrame:
+    """Sends the members of nodes to the pairs of tiles in which they meet: tile i meets tile j >= i in task i * tiles + j."""
+    inside = entries.withColumn("mine", F.pmod(F.xxhash64("key"), F.col("tiles")).cast("int"))
     meeting = inside.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     low_tile, high_tile = F.least("mine", "other"), F.greatest("mine", "other")
     side = F.when(F.col("mine") == F.col("other"), 0).when(F.col("mine") < F.col("other"), 1).otherwise(2)
-    tiled = meeting.select("node", (low_tile * F.col("tiles") + high_tile + 1).alias("pair"), side.alias("side"), "rank_high", "rank_low", "key")
+    pair = low_tile.cast("long") * F.col("tiles") + high_tile + 1
+    return meeting.select("node", pair.alias("pair"), side.alias("side"), "rank_high", "rank_low", "key")
+
+
+def candidate_pairs(prints: DataFrame, tile: int = TILE, radius: int = RADIUS) -> DataFrame:
+    """``(a, b)``, a < b: keys of fingerprints that meet below some node within ``radius`` bits.
+
+    One exchange brings the members of a node together; members without a partner leave right behind it.  Members of hot
+    nodes do not take part in it: they go to their tiles at once.
+    """
+    hot = hot_nodes(prints)
+    sketches = sketches_of(prints, hot)
+    columns = ("rank_high", "rank_low", "key")
+    entries = sketches.select(F.explode("nodes").alias("node"), *columns)
+    met = entries.withColumn("members", F.count(F.lit(1)).over(Window.partitionBy("node"))).where("members > 1")
+    small = met.where(F.col("members") <= tile).select("node", F.lit(0).cast("long").alias("pair"), F.lit(0).alias("side"), *columns)
+    tiled = _tiled(met.where(F.col("members") > tile).withColumn("tiles", F.ceil(F.col("members") / tile).cast("int")))
+    if hot:
+        # at most MASKS / HOT entries
+        tiles = F.create_map(*[F.lit(x) for node, n in hot.items() for x in (node, -(-n // tile))])
+        placed = sketches.select(F.explode("hot").alias("node"), *columns).withColumn("tiles", F.element_at(tiles, F.col("node")).cast("int"))
+        tiled = tiled.unionByName(_tiled(placed))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -239,27 +313,38 @@ def candidate_pairs(sketches: DataFrame, tile: int = TILE, radius: int = RADIUS)
 
     order = ("node", "pair", "rank_high", "rank_low")
     found = small.sortWithinPartitions(*order).mapInArrow(run, "a bigint, b bigint")
-    hot = tiled.repartition("node", "pair").sortWithinPartitions(*order).mapInArrow(run, "a bigint, b bigint")
-    return found.unionByName(hot).distinct()
+    met_in_tiles = tiled.repartition("node", "pair").sortWithinPartitions(*order).mapInArrow(run, "a bigint, b bigint")
+    return found.unionByName(met_in_tiles).distinct()
 
 
 def verified(pairs: DataFrame, texts: DataFrame, k: int, similarity: float) -> DataFrame:
-    """``(a, b, similarity)`` of the pairs that reach ``similarity`` exactly."""
+    """``(a, b, similarity)`` of the pairs that reach ``similarity`` exactly.
+
+    The runs of a text are computed once for all pairs of a batch; sets whose sizes alone exclude a pair are not compared.
+    """
     left = texts.select(F.col("key").alias("a"), F.col("norm").alias("text_a"))
     right = texts.select(F.col("key").alias("b"), F.col("norm").alias("text_b"))
-    # lengths alone exclude many: the smaller set is at least ``similarity`` of the larger in shared runs
     joined = pairs.join(left, "a").join(right, "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            score = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                p, q = shingles(x, k), shingles(y, k)
-                both = len(np.intersect1d(p, q, assume_unique=True))
-                score.append(both / max(1, len(p) + len(q) - both))
-            score = pa.array(score, pa.float64())
-            out = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), score], names=["a", "b", "similarity"])
-            yield out.filter(pc.greater_equal(score, similarity))
+            keys = [batch.column(i).to_numpy() for i in (0, 1)]
+            runs: dict[int, np.ndarray] = {}
+            for side in (0, 1):
+                some, first = np.unique(keys[side], return_index=True)
+                for key, text in zip(some.tolist(), batch.column(2 + side).take(pa.array(first)).to_pylist()):
+                    if key not in runs:
+                        runs[key] = shingles(text, k)
+            score = np.zeros(batch.num_rows)
+            for i, (x, y) in enumerate(zip(keys[0].tolist(), keys[1].tolist())):
+                p, q = runs[x], runs[y]
+                if min(len(p), len(q)) >= similarity * max(len(p), len(q)):
+                    at = np.searchsorted(p, q)
+                    at[at == len(p)] = 0
+                    both = np.count_nonzero(p[at] == q) if len(p) else 0
+                    score[i] = both / max(1, len(p) + len(q) - both)
+            out = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score)], names=["a", "b", "similarity"])
+            yield out.filter(pa.array(score >= similarity))
 
     return joined.select("a", "b", "text_a", "text_b").mapInArrow(run, "a bigint, b bigint, similarity double")
 
@@ -273,8 +358,23 @@ def members_of(rows: DataFrame, id_col: str, text: Column, min_chars: int = MIN_
 def links(members: DataFrame, k: int = SHINGLE, similarity: float = SIMILARITY, tile: int = TILE, radius: int = RADIUS) -> DataFrame:
     """``(a, b, similarity)``: similar pairs of distinct normal forms, by key."""
     texts = members.groupBy("key").agg(F.min("norm").alias("norm"))
-    sketches = cut_lineage(sketches_of(texts, k))
-    return cut_lineage(verified(candidate_pairs(sketches, tile, radius), texts, k, similarity))
+    prints = cut_lineage(fingerprints_of(texts, k))
+    return cut_lineage(verified(candidate_pairs(prints, tile, radius), texts, k, similarity))
+
+
+def equal_rows(ids: DataFrame, tile: int = TILE) -> DataFrame:
+    """``(x, y)``, x < y: all pairs of rows with the same key; ``ids`` are distinct ``(key, row_id)``.
+
+    A text with more than the share ``COPIES`` of all rows (at most 1 / COPIES texts) is paired in tiles, each a task.
+    """
+    counts = ids.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    hot = counts.where(F.col("c") > max(tile, int(COPIES * ids.count()))).select("key", F.ceil(F.col("c") / tile).cast("int").alias("tiles"))
+    copies = ids.join(counts.select("key"), "key", "left_semi").join(F.broadcast(hot), "key", "left").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
+    copies = copies.withColumn("mine", F.pmod(F.xxhash64("row_id"), F.col("tiles")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
+    left = copies.select("key", F.col("mine").alias("i"), other.alias("j"), F.col("row_id").alias("x"))
+    right = copies.select("key", other.alias("i"), F.col("mine").alias("j"), F.col("row_id").alias("y"))
+    return left.join(right, ["key", "i", "j"]).where("x < y").select("x", "y")
 
 
 def similar_rows(members: DataFrame, linked: DataFrame) -> DataFrame:
@@ -283,10 +383,7 @@ def similar_rows(members: DataFrame, linked: DataFrame) -> DataFrame:
     left = ids.select(F.col("key").alias("a"), F.col("row_id").alias("x"))
     right = ids.select(F.col("key").alias("b"), F.col("row_id").alias("y"))
     across = linked.select("a", "b").join(left, "a").join(right, "b").select("x", "y")
-    repeated = ids.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key")
-    copies = ids.join(repeated, "key", "left_semi")
-    equal = copies.select("key", F.col("row_id").alias("x")).join(copies.select("key", F.col("row_id").alias("y")), "key").where("x < y").select("x", "y")
-    return across.unionByName(equal).select(F.least("x", "y").alias("row_id_a"), F.greatest("x", "y").alias("row_id_b"))
+    return across.unionByName(equal_rows(ids)).select(F.least("x", "y").alias("row_id_a"), F.greatest("x", "y").alias("row_id_b"))
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
