@@ -90,7 +90,11 @@ def test_hot_node_is_found_and_spread(spark):
     frame = spark.createDataFrame([(i, p.tobytes()) for i, p in enumerate(prints)], "key bigint, print binary").repartition(5)
     hot = neardup.hot_nodes(frame)
     assert list(hot) == [(5 << 32) | 0x09090909] and 2400 <= hot[(5 << 32) | 0x09090909] <= 2400 + 6000 / 512 + 1
-    assert {(r["a"], r["b"]) for r in neardup.candidate_pairs(frame, tile=100).collect()} == {(0, 1)}
+    bits = np.stack(neardup.compared_bits(prints), axis=1)
+    nodes = neardup.masked(prints)
+    near = {(i, int(j)) for i in range(6000) for j in i + 1 + np.flatnonzero(np.bitwise_count(bits[i + 1 :] ^ bits[i]).sum(axis=1) <= neardup.RADIUS)}
+    want = {(i, j) for i, j in near if (nodes[i] == nodes[j]).any()}
+    assert (0, 1) in want and {(r["a"], r["b"]) for r in neardup.candidate_pairs(frame, tile=100).collect()} == want
     cold = neardup.sketches_of(frame, hot).select(F.explode("nodes").alias("node")).groupBy("node").count().agg(F.max("count")).first()[0]
     assert cold <= 2 * 6000 / 512
 
