@@ -1,4 +1,7 @@
 import random
+from collections import Counter
+
+import numpy as np
 
 from voxloom.llm import stuffing
 
@@ -44,6 +47,49 @@ def test_edges(spark):
     assert found(spark, rows[:0]) == set()
 
 
+def test_links_and_products_of_any_length(spark):
+    rng = random.Random(3)
+
+    def long_path(n):
+        return "".join(rng.choice("abcdefghijklmnopqrstuvwxyz/-") for _ in range(n))
+
+    rows = [
+        doc(1, "\n".join(f"https://host{i}.example/{long_path(5000)}" for i in range(8)) + "\n" + PROSE),
+        doc(2, "\n".join(f"<a href='//x.test/{long_path(5000)}'>{'voice app ' * 80}</a>" for i in range(8)) + "\n" + PROSE),
+        doc(3, "\n".join(f"[{'cheap mic ' * 90}](//y.test/{long_path(4000)})" for i in range(8)) + "\n" + PROSE),
+        doc(4, "\n".join(f"Z{100 + i} {'mic stand ' * 40}, {i},49" for i in range(20)) + "\n" + PROSE),
+        doc(5, "[(<a " * 20_000 + "\n" + PROSE),  # marks that open and never close
+    ]
+    assert {1, 2, 3, 4} <= found(spark, rows)
+
+
+def test_fit_is_that_of_all_ranks(spark):
+    """The sums over runs of equal frequency give the least squares line through every (ln rank, ln frequency)."""
+    rng = random.Random(9)
+    words = [f"w{int(rng.paretovariate(0.8)) % 400}" for _ in range(600)]
+    spectrum = Counter(Counter(words).values())
+    parts = spark.createDataFrame([(1, 0, 0, "list", 600, [(f, c) for f, c in spectrum.items()])], "page bigint, part int, win int, kind string, n bigint, spectrum array<struct<f:bigint,c:bigint>>")
+    got = stuffing.fitted(parts).first()
+    f = np.array(sorted(Counter(words).values(), reverse=True))
+    x, y = np.log(np.arange(1, len(f) + 1)), np.log(f)
+    slope, level = np.polyfit(x, y, 1)
+    assert abs(got["slope"] - slope) < 1e-3
+    assert abs(got["residual"] - ((y - slope * x - level) ** 2).mean()) < 1e-3
+    assert abs(got["middle"] - np.exp(level + slope * np.log(len(f) / 2))) < 1e-2
+    assert got["head"] == f[0] / 600 and np.allclose(got["shares"], [f[:r].sum() / 600 for r in stuffing.RANKS])
+
+
+def test_links_without_a_foreign_curve_are_no_case(spark):
+    """Form alone is no reason: a line with a link whose tokens are spread like prose stays unflagged."""
+    rng = random.Random(6)
+    words = ["".join(rng.choice("bdfgklmnprst") + rng.choice("aeiou") for _ in range(rng.randint(1, 4))) for _ in range(700)]
+    weights = [1 / (rank + 2.7) for rank in range(700)]
+    said = " ".join(rng.choices(words, weights, k=200)) + " www.a.example"
+    prose = [" ".join(" ".join(rng.choices(words, weights, k=12)) + "." for _ in range(16)) for _ in range(30)]
+    assert [p[2] for p in stuffing.cut_page(said, "en")] == ["link", "page"]
+    assert found(spark, [doc(1, said), *[doc(i + 10, text) for i, text in enumerate(prose)]]) == set()
+
+
 def test_half_is_not_enough(spark):
     keywords = KEYWORDS * 6
     prose = (PROSE * 8)[: len(keywords) * 2].rsplit(".", 1)[0] + "."
@@ -66,7 +112,7 @@ def test_long_parts(spark):
     ]
     assert found(spark, rows) == {4, 5}
     frame = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, share double, line string, words string")
-    chars = {r["doc_id"]: r["chars"] for r in stuffing.parts_of(frame).groupBy("doc_id").sum("chars").withColumnRenamed("sum(chars)", "chars").collect()}
+    chars = {r["doc_id"]: r["chars"] for r in stuffing.judged(stuffing.curves(frame)).groupBy("doc_id").sum("chars").withColumnRenamed("sum(chars)", "chars").collect()}
     assert chars == {i: sum(len(line.strip()) for line in text.split("\n")) for i, text, *_ in rows}
 
 
