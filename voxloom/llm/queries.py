@@ -68,19 +68,28 @@ def p4_uses(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p4_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Target and actual share of every configured source."""
     samples = mixing.mixture_samples(table(spark, sf_dir, "canonical_samples"))
-    return mixing.draw(samples, table(spark, sf_dir, "streaming_sources"))[1]
+    shares = mixing.draw(samples, table(spark, sf_dir, "streaming_sources"))[1]
+    return shares.withColumns({name: F.round(name, 6) for name in ("target_share", "target_size", "actual_share")})
 
 
-def p4_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Targets of every configured source and whether the drawn size meets them (within 1 %, or by the cap)."""
-    shares = p4_shares(spark, sf_dir)
-    near = F.abs(F.col("actual_size") - F.col("target_size")) <= F.greatest(0.01 * F.col("target_size"), F.lit(500.0))
-    return shares.select(
+def _targets(spark: SparkSession, sf_dir: str, total_share: float) -> DataFrame:
+    samples = mixing.mixture_samples(table(spark, sf_dir, "canonical_samples"))
+    samples = cut_lineage(samples)
+    shares = mixing.draw(samples, table(spark, sf_dir, "streaming_sources"), total_share=total_share)[1]
+    largest = samples.groupBy("source_name").agg((F.max("size") / 2).alias("half"))
+    capped = F.col("target_size") > F.col("max_uses") * F.col("available_size")
+    lacks = F.col("target_size") - F.col("actual_size")
+    return shares.join(largest, "source_name", "left").select(
         "source_name", "max_uses", F.col("samples").cast("long"), F.col("available_size").cast("long"), F.round("target_size", 3).alias("target_size"),
-        (near | (F.col("target_size") > F.col("max_uses") * F.col("available_size"))).alias("met"),
+        F.col("actual_size").cast("long"), capped.alias("capped"), F.coalesce(F.abs(lacks) <= F.col("half"), F.col("target_size") == 0).alias("met"),
     )
 
 
+def p4_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Targets and drawn sizes; met: within half of the source's largest sample, which is what whole samples can promise."""
+    return _targets(spark, sf_dir, mixing.TOTAL_SHARE)
+
+
 def p4_full_uses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Uses of every sample in a mixture of the whole size, in which samples repeat and sources reach their caps."""
     samples = mixing.mixture_samples(table(spark, sf_dir, "canonical_samples"))
@@ -88,22 +97,8 @@ def p4_full_uses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_full_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Targets of the mixture of the whole size, the sources their cap keeps below it, and by how much.
-
-    met: a source below its cap is within 1 % of its target, or within half of its largest sample, which is what whole
-    samples can promise a small source.  Caps of whole uses are reached exactly.
-    """
-    samples = mixing.mixture_samples(table(spark, sf_dir, "canonical_samples"))
-    shares = mixing.draw(samples, table(spark, sf_dir, "streaming_sources"), total_share=mixing.FULL_SHARE)[1]
-    largest = samples.groupBy("source_name").agg((F.max("size") / 2).alias("half"))
-    shares = shares.join(largest, "source_name", "left")
-    capped = F.col("target_size") > F.col("max_uses") * F.col("available_size")
-    lacks = F.col("target_size") - F.col("actual_size")
-    near = F.abs(lacks) <= F.greatest(0.01 * F.col("target_size"), F.lit(500.0), "half")
-    return shares.select(
-        "source_name", "max_uses", F.round("target_size", 3).alias("target_size"), capped.alias("capped"),
-        F.when(capped, F.round(lacks, 3)).otherwise(0.0).alias("shortfall"), (capped | near).alias("met"),
-    )
+    """Targets of the mixture of the whole size; capped sources stay below theirs."""
+    return _targets(spark, sf_dir, mixing.FULL_SHARE)
 
 
 def p5_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -143,46 +138,79 @@ SELECT profile, count(*)::BIGINT AS samples, sum(CASE WHEN size <= cap THEN 1 EL
 FROM known, caps GROUP BY profile
 """
 
-P4_TARGETS = f"""
-WITH {_known(mixing.MIXED_FIELDS)},
+# The whole draw: aims, certain sizes, Pareto order, cut and closing sample of every source.
+_DRAW = """
+WITH {known},
 names AS (
   SELECT uid, coalesce(min(nullif(lower(trim(source_name)), '')), nullif(lower(trim(split_part(uid, ':', 1))), '')) AS source_name
   FROM canonical_samples WHERE uid IS NOT NULL GROUP BY uid
 ),
-held AS (SELECT source_name, count(*) AS samples, sum(size) AS available_size FROM known JOIN names USING (uid) GROUP BY source_name),
+items AS MATERIALIZED (SELECT uid, source_name, size FROM known JOIN names USING (uid)),
+held AS (SELECT source_name, count(*) AS samples, sum(size)::BIGINT AS available_size, max(size) / 2 AS half FROM items GROUP BY source_name),
 both_ AS (
-  SELECT lower(trim(name)) AS source_name, weight, greatest(1, floor(ratio))::INT AS max_uses, coalesce(samples, 0) AS samples,
-    coalesce(available_size, 0) AS available_size
+  SELECT lower(trim(name)) AS source_name, weight, ratio, coalesce(samples, 0)::BIGINT AS samples, coalesce(available_size, 0)::BIGINT AS available_size, half,
+    CASE WHEN coalesce(available_size, 0) > 0 AND weight > 0 THEN weight ELSE 0 END AS usable
   FROM streaming_sources LEFT JOIN held ON lower(trim(name)) = source_name
-)
-SELECT source_name, max_uses, samples::BIGINT AS samples, available_size::BIGINT AS available_size,
-  round(CASE WHEN available_size > 0 THEN weight ELSE 0 END / (SELECT sum(weight) FROM both_ WHERE available_size > 0)
-    * (SELECT sum(size) * {mixing.TOTAL_SHARE}::DOUBLE FROM known), 3) AS target_size, true AS met
-FROM both_
-"""
-
-P4_FULL_TARGETS = f"""
-WITH {_known(mixing.MIXED_FIELDS)},
-names AS (
-  SELECT uid, coalesce(min(nullif(lower(trim(source_name)), '')), nullif(lower(trim(split_part(uid, ':', 1))), '')) AS source_name
-  FROM canonical_samples WHERE uid IS NOT NULL GROUP BY uid
 ),
-held AS (SELECT source_name, sum(size) AS available_size FROM known JOIN names USING (uid) GROUP BY source_name),
-both_ AS (
-  SELECT lower(trim(name)) AS source_name, weight, greatest(1, floor(ratio))::INT AS max_uses, coalesce(available_size, 0) AS available_size
-  FROM streaming_sources LEFT JOIN held ON lower(trim(name)) = source_name
+whole_ AS (
+  SELECT b.*, usable / (SELECT fsum(usable) FROM both_) AS target_share, (SELECT sum(size) FROM items)::DOUBLE * {share}::DOUBLE AS total FROM both_ b
+),
+targets AS (
+  SELECT *, greatest(1, floor(ratio))::INT AS max_uses, target_share * total AS target_size,
+    least(target_size, CASE WHEN ratio >= 1 THEN floor(ratio) * available_size ELSE greatest(ratio, 0) * available_size END) AS drawn,
+    CASE WHEN available_size > 0 THEN floor(drawn / available_size) ELSE 0 END AS whole, drawn - whole * available_size AS rest
+  FROM whole_
+),
+steps AS (
+  SELECT source_name, size, coalesce(sum(n * size) OVER (PARTITION BY source_name ORDER BY size DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE AS certain,
+    (rest - certain) / (sum(n * size * size) OVER (PARTITION BY source_name ORDER BY size))::DOUBLE AS c, rest
+  FROM (SELECT source_name, size, count(*) AS n FROM items WHERE size > 0 GROUP BY ALL) JOIN targets USING (source_name) WHERE rest > 0
 ),
-aims AS (
-  SELECT *, CASE WHEN available_size > 0 THEN weight ELSE 0 END / (SELECT sum(weight) FROM both_ WHERE available_size > 0)
-    * (SELECT sum(size) * {mixing.FULL_SHARE}::DOUBLE FROM known) AS target
-  FROM both_
+borders AS (SELECT source_name, max(size) AS border, arg_max(c, size) AS c, arg_max(rest - certain, size) AS gap FROM steps WHERE c * size < 1 GROUP BY source_name),
+ranked AS (
+  SELECT i.uid, i.source_name, i.size, coalesce(whole, 0) + CASE WHEN i.size > border THEN 1 ELSE 0 END AS base, gap, border, c,
+    ('0x' || substring(sha256('7:' || i.uid), 1, 13))::BIGINT / 4503599627370496.0 AS u,
+    CASE WHEN i.size > 0 AND i.size <= border THEN (u / (1 - u)) * ((1 - c * i.size) / (c * i.size)) END AS rank
+  FROM items i LEFT JOIN targets USING (source_name) LEFT JOIN borders USING (source_name)
+),
+placed AS (
+  SELECT *, CASE WHEN rank IS NOT NULL THEN sum(size) OVER (PARTITION BY source_name ORDER BY rank IS NULL, rank, uid ROWS UNBOUNDED PRECEDING) END AS upto FROM ranked
+),
+lefts AS (SELECT source_name, arg_min(gap - upto + size, upto) AS lack FROM placed WHERE upto > gap GROUP BY source_name),
+closing AS (
+  SELECT arg_min(uid, (abs(lack - size), rank, uid)) AS uid, true AS closes FROM placed JOIN lefts USING (source_name)
+  WHERE upto > gap AND abs(lack - size) < lack GROUP BY source_name
+),
+uses AS (
+  SELECT uid, source_name, size, (base + CASE WHEN upto <= gap THEN 1 ELSE 0 END + CASE WHEN closes THEN 1 ELSE 0 END)::INT AS uses
+  FROM placed LEFT JOIN closing USING (uid)
+),
+drawn AS (SELECT source_name, sum(uses)::BIGINT AS uses, sum(uses * size)::BIGINT AS actual_size FROM uses GROUP BY source_name),
+shares AS (
+  SELECT source_name, weight, max_uses, samples, available_size, target_share, target_size, coalesce(uses, 0) AS uses, coalesce(actual_size, 0) AS actual_size, half
+  FROM targets LEFT JOIN drawn USING (source_name)
 )
-SELECT source_name, max_uses, round(target, 3) AS target_size, target > max_uses * available_size AS capped,
-  CASE WHEN target > max_uses * available_size THEN round(target - max_uses * available_size, 3) ELSE 0 END AS shortfall, true AS met
-FROM aims
 """
 
 
+def _draw(share: float, select: str) -> str:
+    return _DRAW.format(known=_known(mixing.MIXED_FIELDS), share=share) + select
+
+
+_USES = "SELECT uid, source_name, size, uses FROM uses"
+_SHARES = """SELECT source_name, weight, max_uses, samples, available_size, round(target_share, 6) AS target_share, round(target_size, 6) AS target_size, uses, actual_size,
+  round(actual_size / (SELECT sum(actual_size) FROM shares), 6) AS actual_share FROM shares"""
+_TARGETS = """SELECT source_name, max_uses, samples, available_size, round(target_size, 3) AS target_size, actual_size, target_size > max_uses * available_size AS capped,
+  coalesce(abs(target_size - actual_size) <= half, target_size = 0) AS met FROM shares"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL of what SQL can state; the other queries are tested against brute force in ``tests/llm``."""
-    return {"p1_totals": P1_TOTALS, "p4_targets": P4_TARGETS, "p4_full_targets": P4_FULL_TARGETS}
+    return {
+        "p1_totals": P1_TOTALS,
+        "p4_uses": _draw(mixing.TOTAL_SHARE, _USES),
+        "p4_shares": _draw(mixing.TOTAL_SHARE, _SHARES),
+        "p4_targets": _draw(mixing.TOTAL_SHARE, _TARGETS),
+        "p4_full_uses": _draw(mixing.FULL_SHARE, _USES),
+        "p4_full_targets": _draw(mixing.FULL_SHARE, _TARGETS),
+    }
