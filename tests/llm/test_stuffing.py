@@ -68,7 +68,7 @@ def test_fit_is_that_of_all_ranks(spark):
     rng = random.Random(9)
     words = [f"w{int(rng.paretovariate(0.8)) % 400}" for _ in range(600)]
     spectrum = Counter(Counter(words).values())
-    parts = spark.createDataFrame([(1, 0, 0, "list", 600, [(f, c) for f, c in spectrum.items()])], "page bigint, part int, win int, kind string, n bigint, spectrum array<struct<f:bigint,c:bigint>>")
+    parts = spark.createDataFrame([(1, 0, 0, "list", 600, list(spectrum), list(spectrum.values()))], "page bigint, part int, win int, kind string, n bigint, f array<int>, c array<int>")
     got = stuffing.fitted(parts).first()
     f = np.array(sorted(Counter(words).values(), reverse=True))
     x, y = np.log(np.arange(1, len(f) + 1)), np.log(f)

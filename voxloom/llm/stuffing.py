@@ -100,20 +100,20 @@ _CODE = re.compile(r"\b[A-Z]{1,3}-?[0-9]{2,6}\b", re.IGNORECASE)
 _PRICE = re.compile(r"[0-9]+[.,][0-9][0-9](?![0-9])")
 _SENTENCES = re.compile(r"[.!?…]\s+|[。！？]\s*")
 _CLOSED = re.compile(r"[.!?…。！？][\"'”’»)\]*_]*$")
-_WORDS = re.compile(r"[^\W\d_]+")
 _TOKENS = re.compile(r"[^\W\d_]+|\d+|[^\w\s]|_")
+_NUMBER = re.compile(r"\d+")
 _WIDE = re.compile("[\\u3040-\\u30ff\\u3400-\\u9fff]")
 
 PARTS = (
     "doc_id {id}, page bigint, part int, win int, kind string, lang string, pairs boolean, chars bigint, link_chars bigint, n bigint, types bigint, bare boolean, "
-    "spectrum array<struct<f:bigint,c:bigint>>"
+    "f array<int>, c array<int>"
 )
 
 
 class _Line:
     """What one line is made of."""
 
-    __slots__ = ("chars", "kind", "line", "link_chars", "words")
+    __slots__ = ("chars", "kind", "line", "link_chars", "tokens", "words")
 
     def __init__(self, line: str):
         rest = _LINK.sub(" ", line) if any(m in line for m in _LINK_MARKS) else line
@@ -121,7 +121,12 @@ class _Line:
         said = _SENTENCES.split(rest)
         ends = len(said) - 1 + (1 if said[-1] and _CLOSED.search(rest.rstrip(" ")[-6:]) else 0)
         once = dict.fromkeys(said)
-        self.words = _WORDS.findall((rest if len(once) == len(said) else " ".join(once)).lower())
+        # words, marks and numbers (all one token) of the line with its links
+        self.tokens = _TOKENS.findall(_NUMBER.sub("0", line.lower()))
+        if len(once) == len(said) and not self.link_chars:
+            self.words = list(filter(str.isalpha, self.tokens))
+        else:
+            self.words = list(filter(str.isalpha, _TOKENS.findall(" ".join(once).lower())))
         n, digits = len(self.words), sum(map(rest.count, "0123456789"))
         hashes, symbols = rest.count("#"), sum(map(rest.count, "(){}[]=_<>\\"))
         sentence = ends > 0 and n <= 45 * ends
@@ -138,11 +143,6 @@ class _Line:
             self.kind = "sentence" if sentence else "list"
 
 
-def tokens_of(line: str) -> list[str]:
-    """Words, marks and numbers (all one token) of a line with its links."""
-    return ["0" if t[0].isdecimal() else t for t in _TOKENS.findall(line.lower())]
-
-
 def _pairs(words: list[str]) -> list[str] | None:
     """Pairs of characters of a list of wide characters without separators, else None."""
     run = "".join(words)
@@ -160,7 +160,7 @@ def _bare(kind: str, lang: str, words: list[str], pairs: bool) -> bool:
 
 
 def cut_page(text: str, lang: str) -> list[tuple]:
-    """Rows ``(part, win, kind, lang, pairs, chars, link_chars, n, types, bare, spectrum)`` of one page.
+    """Rows ``(part, win, kind, lang, pairs, chars, link_chars, n, types, bare, f, c)`` of one page, c words of frequency f.
 
     Kinds list and sentence carry word curves, link, tags and product token curves, other none.  Two kinds carry token
     curves without characters: prose (the sentence parts once more) and page (all of it).  A part of at least two windows
@@ -189,8 +189,8 @@ def cut_page(text: str, lang: str) -> list[tuple]:
         for win, begin, end, c, lc in cuts:
             some = counted[begin:end]
             counts = Counter(some)
-            spectrum = [{"f": f, "c": n} for f, n in Counter(counts.values()).items()]
-            out.append((part, win, kind, own, pairs, c, lc, len(some), len(counts), _bare(kind, own, some, pairs), spectrum))
+            spectrum = Counter(counts.values())
+            out.append((part, win, kind, own, pairs, c, lc, len(some), len(counts), _bare(kind, own, some, pairs), list(spectrum), list(spectrum.values())))
 
     for part, (kind, held) in enumerate(parts):
         chars, link_chars = sum(x.chars for x in held), sum(x.link_chars for x in held)
@@ -202,12 +202,12 @@ def cut_page(text: str, lang: str) -> list[tuple]:
             if lang in ("zh", "ja", "ru") and sum("a" <= w[0] <= "z" for w in words) > 0.7 * len(words):
                 own = "en"
             add(part, kind, own, words if pairs is None else pairs, chars, link_chars, pairs is not None)
-            tokens = [t for x in held for t in tokens_of(x.line)]
+            tokens = [t for x in held for t in x.tokens]
             if kind == "sentence":
-                once = tokens if len(held) == 1 else [t for line in dict.fromkeys(x.line for x in held) for t in tokens_of(line)]
+                once = tokens if len(held) == 1 else [t for x in {x.line: x for x in held}.values() for t in x.tokens]
                 add(part, "prose", own, once, 0, 0)
         else:
-            tokens = [t for x in held for t in tokens_of(x.line)]
+            tokens = [t for x in held for t in x.tokens]
             add(part, kind, lang, [] if kind == "other" else tokens, chars, link_chars)
         everything.extend(tokens)
     if lines:
@@ -223,8 +223,8 @@ def page_parts(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> Da
     pages = spread(docs.where(F.length(text_col) > 0).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), lang.alias("lang")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        types = [pa.int32(), pa.int32(), pa.string(), pa.string(), pa.bool_(), *[pa.int64()] * 4, pa.bool_(), pa.list_(pa.struct([("f", pa.int64()), ("c", pa.int64())]))]
-        names = ["part", "win", "kind", "lang", "pairs", "chars", "link_chars", "n", "types", "bare", "spectrum"]
+        types = [pa.int32(), pa.int32(), pa.string(), pa.string(), pa.bool_(), *[pa.int64()] * 4, pa.bool_(), pa.list_(pa.int32()), pa.list_(pa.int32())]
+        names = ["part", "win", "kind", "lang", "pairs", "chars", "link_chars", "n", "types", "bare", "f", "c"]
         for batch in batches:
             for start in range(0, batch.num_rows, 500):
                 some = batch.slice(start, 500)
@@ -258,7 +258,7 @@ def fitted(parts: DataFrame) -> DataFrame:
     small stock of words is repeated.  shares are cumulated over the first 1, 2, 4, ... ranks.
     """
     key = ("page", "part", "win", "kind")
-    runs = parts.where("n > 0").select(*key, F.inline("spectrum"))
+    runs = parts.where("n > 0").select(*key, F.inline(F.arrays_zip(F.col("f").cast("array<bigint>").alias("f"), F.col("c").cast("array<bigint>").alias("c"))).alias("f", "c"))
     before = F.coalesce(F.sum("c").over(Window.partitionBy(*key).orderBy(F.desc("f")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     runs = runs.withColumn("before", before)
     y, c = F.log("f"), F.col("c")
@@ -287,7 +287,7 @@ def curves(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
     parts = cut_lineage(page_parts(docs, id_col, text_col, lang_col))
     # a window has less than twice WINDOW words, a page any number; a whole part has no use for its class
     size_class = F.floor(F.log2(F.greatest("n", F.lit(1)))).cast("int")
-    made = parts.drop("spectrum").join(fitted(parts), ["page", "part", "win", "kind"], "left").withColumn("size_class", size_class)
+    made = parts.drop("f", "c").join(fitted(parts), ["page", "part", "win", "kind"], "left").withColumn("size_class", size_class)
     made = made.withColumn("ratio", F.col("types") / F.greatest(F.col("n"), F.lit(1)))
     made = cut_lineage(made)
     # one window of each part, so that a long page weighs no more than another; at most 677 language codes x 40 classes
