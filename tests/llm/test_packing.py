@@ -16,7 +16,7 @@ SAMPLES = f"uid string, ingested_at timestamp_ntz, lengths {LENGTHS}, size int,
 def test_plan(capacity, counts):
     counts = {s: n for s, n in counts.items() if s <= capacity}
     plan = packing.make_plan(counts, capacity)
-    load = np.zeros(plan.windows, np.int64)
+    load = np.zeros(plan.batches, np.int64)
     for size, number in counts.items():
         where = plan.place(np.full(number, size, np.int64), np.arange(number))
         np.add.at(load, where, size)
@@ -24,7 +24,57 @@ def test_plan(capacity, counts):
     total = sum(s * n for s, n in counts.items())
     big = sum(n for s, n in counts.items() if 2 * s > capacity)
     # first-fit decreasing bound
-    assert plan.windows <= 11 / 9 * max(big, -(-total // capacity)) * 1.25 + 1
+    assert plan.batches <= 11 / 9 * max(big, -(-total // capacity)) * 1.25 + 1
+
+
+def lengths_of(seed, number=30_000):
+    rng = np.random.default_rng(seed)
+    sizes, n = np.unique(np.clip(rng.lognormal(5.5, 1.0, number).astype(np.int64), 1, None), return_counts=True)
+    return dict(zip(sizes.tolist(), n.tolist()))
+
+
+def loads(plan, counts):
+    load, cost = np.zeros(plan.batches, np.int64), np.zeros(plan.batches)
+    for size, number in counts.items():
+        where = plan.place(np.full(number, size, np.int64), np.arange(number))
+        np.add.at(load, where, size)
+        np.add.at(cost, where, float(size) ** 2)
+    return load, cost
+
+
+def test_tiers_shape_the_plan_and_fill_it():
+    counts = {s: n for s, n in lengths_of(1).items() if s <= 2000}
+    total = sum(s * n for s, n in counts.items())
+    plans = [packing.make_plan(counts, 2000, tiers=tiers) for tiers in (packing.TIERS, (0.5, 0.25), ())]
+    runs = [tuple(map(tuple, (p.piece, p.first, p.each))) for p in plans]
+    assert len(set(runs)) == 3
+    load, _ = loads(plans[0], counts)
+    assert load.max() <= 2000 and total / (plans[0].batches * 2000) >= 0.999
+    # every tier has windows of its own context size, several of which make a batch
+    assert len(plans[0].window) > 100 and (plans[0].per > 1).any()
+    # and gaps of longer tiers are filled directly
+    assert plans[0].direct.any() and not plans[0].direct.all()
+
+
+def test_steps_cost_alike():
+    counts = {s: n for s, n in lengths_of(2).items() if s <= 2000}
+    plan = packing.make_plan(counts, 2000)
+    plan.deal(0, 2000 * 2000, 8)
+    _, cost = loads(plan, counts)
+    steps = plan.step(np.arange(plan.batches))
+    assert set(np.bincount(steps)) <= {7, 8}
+    full = np.bincount(steps)[steps] == 8
+    of_step = np.bincount(steps[full], cost[full])
+    of_step = of_step[of_step > 0]
+    assert of_step.max() / of_step.mean() < 1.03 < 2 < cost.max() / cost.mean()
+
+
+def test_lengths_beyond_two_to_the_23():
+    rng = np.random.default_rng(3)
+    sizes, n = np.unique(rng.integers(1, 10_000_000, 5000), return_counts=True)
+    counts = dict(zip(sizes.tolist(), n.tolist()))
+    load, _ = loads(plan := packing.make_plan(counts, 10_000_000), counts)
+    assert load.max() <= 10_000_000 and load.sum() == sum(s * k for s, k in counts.items()) and plan.batches <= 1.02 * load.sum() / 10_000_000
 
 
 def frame(spark, rows):

@@ -1,9 +1,11 @@
 """Filling fixed-capacity batches with items of varying length.
 
-Method: hierarchical multi-length packing.  Lengths are routed to context-size tiers (over 1/2, 1/4, 1/8 of the capacity,
-and the rest).  Tiers are packed from long to short: an item goes to the open window with the smallest gap that takes
-it, so gaps that long tiers leave are filled from shorter tiers before a new window opens.  Windows are then dealt to
-step groups in serpentine order of their fill, which evens out the load of the steps.
+Method: hierarchical multi-length packing.  Lengths are routed to context-size tiers: the capacity and its halves down to
+1/32.  Tiers are packed from long to short.  Items of a tier first fill the gaps that longer tiers left in batches (the
+smallest gap that takes them); what is left of the tier is packed alone, largest first, into windows of the tier's own
+context size; and the windows, by their load, are combined into batches of the capacity, whose pooled gaps wait for the
+shorter tiers.  Batches are then dealt to step groups in rows of descending cost, the sum of the squared lengths (what
+attention costs); each row runs over the steps in the direction that evens out what they already hold.
 
 The plan works on the *histogram* of lengths, never on the items: equal lengths are placed as a run, so planning costs the
 number of distinct lengths (bounded by the longest item), not of rows.  Items get a dense rank within their length by a
@@ -13,7 +15,7 @@ one to drop repeated deliveries, one to rank.  A length that a third of all rows
 
 from __future__ import annotations
 
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,8 +26,8 @@ from pyspark.sql import functions as F
 
 from voxloom.session import cut_lineage
 
-#: Tier borders as shares of the capacity.
-TIERS = (0.5, 0.25, 0.125)
+#: Context sizes of the tiers below the capacity, as shares of it.
+TIERS = (0.5, 0.25, 0.125, 0.0625, 0.03125)
 #: Batches of one training step.
 STEP_BATCHES = 8
 
@@ -34,87 +36,147 @@ STEP_BATCHES = 8
 class Plan:
     """Where the pieces of each length go, for one capacity.
 
-    Runs are sorted by (length, first rank): ranks from ``rank`` on fill windows from ``window`` on, ``each`` per window.
+    Pieces are numbered by (length, rank): ``start`` is the number of the first piece of each length.  The run that begins
+    with piece ``piece`` fills ``each`` pieces at a time into the containers from ``first`` on, batches if ``direct``, else
+    windows of a tier; windows from ``window`` on go into the batches from ``batch`` on, ``per`` at a time.
     """
 
-    capacity: int
     length: np.ndarray
-    rank: np.ndarray
-    window: np.ndarray
+    start: np.ndarray
+    piece: np.ndarray
+    first: np.ndarray
     each: np.ndarray
-    windows: int
-    fills: np.ndarray  # by range of windows: first window
-    position: np.ndarray  # place of that first window in the order of fill
-    steps: int
+    direct: np.ndarray
+    window: np.ndarray
+    batch: np.ndarray
+    per: np.ndarray
+    batches: int
+    costs: np.ndarray  # by range of equal batches: first batch
+    position: np.ndarray  # place of that first batch in the order of cost
+    cost: np.ndarray  # cost of one batch of the range
+    steps: int = 1
+    turned: np.ndarray | None = None  # by row of the order of cost: whether it runs over the steps from the last to the first
 
     def place(self, length: np.ndarray, rank: np.ndarray) -> np.ndarray:
-        wide = np.int64(1) << np.int64(40)
-        run = np.searchsorted(self.length * wide + self.rank, length * wide + rank, "right") - 1
-        return self.window[run] + (rank - self.rank[run]) // self.each[run]
-
-    def step(self, window: np.ndarray) -> np.ndarray:
-        at = np.searchsorted(self.fills, window, "right") - 1
-        row, column = np.divmod(self.position[at] + window - self.fills[at], max(1, self.steps))
-        return np.where(row % 2 == 0, column, self.steps - 1 - column)
-
-
-def make_plan(counts: dict[int, int], capacity: int, step_batches: int = STEP_BATCHES) -> Plan:
-    """Plan of ``counts`` pieces by length (1..capacity)."""
-    gaps: list[int] = []  # distinct gaps of open windows, ascending
-    open_: dict[int, list[tuple[int, int]]] = {}  # gap -> ranges (first window, number)
-    runs: list[tuple[int, int, int, int]] = []
-    windows = 0
-
-    def leave(gap: int, first: int, number: int) -> None:
+        number = self.start[np.searchsorted(self.length, length)] + rank
+        run = np.searchsorted(self.piece, number, "right") - 1
+        at = self.first[run] + (number - self.piece[run]) // self.each[run]
+        inside = ~self.direct[run]
+        window = at[inside]
+        move = np.searchsorted(self.window, window, "right") - 1
+        at[inside] = self.batch[move] + (window - self.window[move]) // self.per[move]
+        return at
+
+    def deal(self, full: int, cost: int, step_batches: int) -> None:
+        """Sets the step groups of all batches and of ``full`` more of the greatest cost, numbered after them."""
+        self.position = np.r_[self.position + full, 0].astype(np.int64)
+        self.costs = np.r_[self.costs, self.batches].astype(np.int64)
+        self.cost = np.r_[self.cost, cost].astype(np.float64)
+        total = self.batches + full
+        self.steps = max(1, -(-total // step_batches))
+        order = np.argsort(self.position, kind="stable") if full else np.argsort(self.position[:-1], kind="stable")
+        columns = np.unique(np.linspace(0, self.steps - 1, min(self.steps, 1025)).astype(np.int64))
+        held, turned = np.zeros(len(columns)), []
+        for row in range(-(-total // self.steps)):
+            adds = []
+            for place in (columns, self.steps - 1 - columns):
+                at = np.searchsorted(self.position[order], row * self.steps + place, "right") - 1
+                adds.append(np.where(row * self.steps + place < total, self.cost[order[at]], 0.0))
+            turned.append(int(np.ptp(held + adds[1]) < np.ptp(held + adds[0])))
+            held = held + adds[turned[-1]]
+        self.turned = np.array(turned or [0], bool)
+
+    def step(self, batch: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(self.costs, batch, "right") - 1
+        row, column = np.divmod(self.position[at] + batch - self.costs[at], self.steps)
+        return np.where(self.turned[row], self.steps - 1 - column, column)
+
+
+class _Pool:
+    """Ranges of equal containers (first, number, cost of one) by the room that is left in them."""
+
+    def __init__(self) -> None:
+        self.gaps: list[int] = []
+        self.held: dict[int, list[tuple[int, int, int]]] = {}
+
+    def add(self, gap: int, first: int, number: int, cost: int) -> None:
         if number > 0:
-            if gap not in open_:
-                insort(gaps, gap)
-                open_[gap] = []
-            open_[gap].append((first, number))
-
-    borders = [int(capacity * share) for share in TIERS] + [0]
-    high = capacity
-    for border in borders:
-        tier = sorted((s for s in counts if border < s <= high and counts[s] > 0), reverse=True)
-        high = border
-        for size in tier:
-            left, rank = counts[size], 0
-            while left:
-                at = bisect_left(gaps, size)
-                if at < len(gaps):
-                    gap = gaps[at]
-                    first, number = open_[gap].pop()
-                    if not open_[gap]:
-                        del open_[gap]
-                        gaps.pop(at)
-                else:
-                    gap, first = capacity, windows
-                    number = -(-left // (capacity // size))
-                    windows += number
-                each = gap // size
-                full = min(number, left // each)
-                if full:
-                    runs.append((size, rank, first, each))
-                    leave(gap - each * size, first, full)
-                    rank, left = rank + full * each, left - full * each
-                rest = number - full
-                if rest and left and left < each:
-                    runs.append((size, rank, first + full, left))
-                    leave(gap - left * size, first + full, 1)
-                    rank, left, full, rest = rank + left, 0, full + 1, rest - 1
-                leave(gap, first + full, rest)
-    ranges = sorted((gap, first, number) for gap, some in open_.items() for first, number in some)
-    fills, position, done = [], [], 0
-    for _, first, number in ranges:
-        fills.append(first)
-        position.append(done)
+            if gap not in self.held:
+                insort(self.gaps, gap)
+                self.held[gap] = []
+            self.held[gap].append((first, number, cost))
+
+    def best(self, size: int) -> tuple[int, int, int, int] | None:
+        """Takes out a range with the smallest gap that holds ``size``."""
+        at = bisect_left(self.gaps, size)
+        if at == len(self.gaps):
+            return None
+        gap = self.gaps[at]
+        first, number, cost = self.held[gap].pop()
+        if not self.held[gap]:
+            del self.held[gap]
+            self.gaps.pop(at)
+        return gap, first, number, cost
+
+    def ranges(self) -> list[tuple[int, int, int, int]]:
+        return [(gap, *some) for gap, held in self.held.items() for some in held]
+
+
+def _put(pools: list[_Pool], room: int, opened: int, size: int, number: int, cost: int) -> tuple[list[tuple[int, int, int, int]], int]:
+    """Places ``number`` things of one size: the first pool with a gap takes them, the last opens containers of ``room``.
+
+    Returns runs (thing, pool, first container, things in each) and the number of containers opened so far.
+    """
+    runs, done = [], 0
+    while done < number:
+        found = next(((no, got) for no, pool in enumerate(pools) if (got := pool.best(size))), None)
+        if found is None:
+            new = -(-(number - done) // (room // size))
+            found = len(pools) - 1, (room, opened, new, 0)
+            opened += new
+        no, (gap, first, held, before) = found
+        each = gap // size
+        full = min(held, (number - done) // each)
+        if full:
+            runs.append((done, no, first, each))
+            pools[no].add(gap - each * size, first, full, before + each * cost)
+            done += full * each
+        rest = number - done
+        if full < held and 0 < rest < each:
+            runs.append((done, no, first + full, rest))
+            pools[no].add(gap - rest * size, first + full, 1, before + rest * cost)
+            done, full = number, full + 1
+        pools[no].add(gap, first + full, held - full, before)
+    return runs, opened
+
+
+def make_plan(counts: dict[int, int], capacity: int, tiers: tuple[float, ...] = TIERS) -> Plan:
+    """Plan of ``counts`` pieces by length (1..capacity)."""
+    contexts = [capacity, *(max(1, int(capacity * share)) for share in tiers)]
+    length = sorted(s for s, n in counts.items() if n > 0)
+    start = np.cumsum([0, *(counts[s] for s in length)], dtype=np.int64)
+    base = dict(zip(length, start.tolist()))
+    batches, opened_batches, opened_windows = _Pool(), 0, 0
+    runs: list[tuple[int, int, int, bool]] = []
+    moves: list[tuple[int, int, int]] = []
+    for context, border in zip(contexts, [*contexts[1:], 0]):
+        own = _Pool()
+        for size in reversed(length[bisect_right(length, border) : bisect_right(length, context)]):
+            made, opened_windows = _put([batches, own], context, opened_windows, size, counts[size], size * size)
+            runs.extend((base[size] + rank, first, each, no == 0) for rank, no, first, each in made)
+        for gap, window, number, cost in sorted(own.ranges()):
+            made, opened_batches = _put([batches], capacity, opened_batches, context - gap, number, cost)
+            moves.extend((window + rank, batch, each) for rank, _, batch, each in made)
+    ranges, done = [], 0
+    for cost, first, number in sorted((-cost, first, number) for _, first, number, cost in batches.ranges()):
+        ranges.append((first, done, -cost))
         done += number
-    order = np.argsort(fills)
-    runs.sort()
-    columns = np.array(runs, np.int64).reshape(-1, 4).T
+    ranges.sort()
+    run_columns = np.array(sorted(runs), np.int64).reshape(-1, 4).T
     return Plan(
-        capacity, *columns, windows, np.array(fills, np.int64)[order], np.array(position, np.int64)[order], max(1, -(-windows // step_batches))
-    )
+        np.array(length, np.int64), start, *run_columns[:3], run_columns[3].astype(bool), *np.array(sorted(moves), np.int64).reshape(-1, 3).T, opened_batches,
+        np.array([r[0] for r in ranges], np.int64), np.array([r[1] for r in ranges], np.int64), np.array([r[2] for r in ranges], np.float64),
+    )
 
 
 def known_lengths(samples: DataFrame, fields: tuple[str, ...], uid_col: str = "uid", lengths_col: str = "lengths", extra: list[Column] | None = None) -> DataFrame:
@@ -154,7 +216,7 @@ def capacities(limits: DataFrame) -> dict[str, int]:
     return {r["profile"]: int(r["cap"]) for r in rows.groupBy("profile").agg(F.min("max_cost").alias("cap")).orderBy("profile").collect()}
 
 
-def pack(items: DataFrame, caps: dict[str, int], step_batches: int = STEP_BATCHES) -> DataFrame:
+def pack(items: DataFrame, caps: dict[str, int], step_batches: int = STEP_BATCHES, tiers: tuple[float, ...] = TIERS) -> DataFrame:
     """Batches of ``items (uid, size)`` for every capacity in ``caps``.
 
     ``(profile, uid, piece_no, piece_start, piece_size, batch_id, tier, step_no)``: one row per item, or per piece of an
@@ -182,16 +244,12 @@ def pack(items: DataFrame, caps: dict[str, int], step_batches: int = STEP_BATCHE
         for size, number in zip(rest.tolist(), numbers.tolist()):
             if size:
                 counts[size] = counts.get(size, 0) + number
-        plan = make_plan(counts, cap, step_batches)
+        plan = make_plan(counts, cap, tiers)
         whole = np.where(sizes > cap, sizes // cap, 0)
-        base = plan.windows + np.cumsum(whole * numbers) - whole * numbers
+        base = plan.batches + np.cumsum(whole * numbers) - whole * numbers
         full_batches = int((whole * numbers).sum())
-        plan.steps = max(1, -(-(plan.windows + full_batches) // step_batches))
-        # full pieces come first in the order of fill
-        plan.position = plan.position + full_batches
-        plan.fills = np.r_[plan.fills, plan.windows].astype(np.int64)
-        plan.position = np.r_[plan.position, 0].astype(np.int64)
-        plans.append((profile, cap, plan, offset, whole, base, plan.windows + full_batches))
+        plan.deal(full_batches, cap * cap, step_batches)
+        plans.append((profile, cap, plan, offset, whole, base, plan.batches + full_batches))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -216,7 +274,7 @@ def pack(items: DataFrame, caps: dict[str, int], step_batches: int = STEP_BATCHE
                 piece = np.r_[no, pieces[rest_row]]
                 piece_size = np.r_[np.full(len(row), cap, np.int64), last[rest_row]]
                 batch_id = np.r_[full_id, rest_id]
-                tier = np.sum([piece_size <= int(cap * share) for share in TIERS], axis=0)
+                tier = sum((piece_size <= max(1, int(cap * share)) for share in tiers), np.zeros(len(rows), np.int64))
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.full(len(rows), profile, object), pa.string()),

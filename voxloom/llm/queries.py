@@ -20,21 +20,19 @@ def p1_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What the batches hold, by profile: nothing may be lost, split within the capacity, or over it."""
+    """What the batches hold, by profile: samples, pieces, their size, the largest piece and the batches of full pieces."""
     batches = p1_batches(spark, sf_dir)
-    loads = batches.groupBy("profile", "batch_id").agg(
-        F.sum("piece_size").alias("load"), F.count(F.lit(1)).alias("pieces"), F.count(F.when(F.col("piece_no") == 0, 1)).alias("samples")
-    )
-    caps = table(spark, sf_dir, "batch_limits").select("profile", "max_cost")
+    caps = table(spark, sf_dir, "batch_limits").select("profile", F.floor("max_cost").alias("cap"))
+    full = F.count(F.when(F.col("piece_size") == F.col("cap"), 1))
     return (
-        loads.join(F.broadcast(caps), "profile")
+        batches.join(F.broadcast(caps), "profile")
         .groupBy("profile")
         .agg(
-            F.sum("samples").alias("samples"),
-            F.sum("pieces").alias("pieces"),
-            F.sum("load").alias("total_size"),
-            F.max(F.col("load") > F.col("max_cost")).alias("over_capacity"),
-            (F.count(F.lit(1)) <= F.ceil(F.sum("load") / F.floor(F.max("max_cost")) * 1.01) + 1).alias("near_least_batches"),
+            F.count(F.when(F.col("piece_no") == 0, 1)).alias("samples"),
+            F.count(F.lit(1)).alias("pieces"),
+            F.sum("piece_size").alias("total_size"),
+            F.max("piece_size").alias("largest_piece"),
+            full.alias("full_pieces"),
         )
     )
 
@@ -134,7 +132,7 @@ P1_TOTALS = f"""
 WITH {_known(packing.PACKED_FIELDS)},
 caps AS (SELECT profile, floor(max_cost)::BIGINT AS cap FROM batch_limits WHERE max_cost IS NOT NULL AND NOT isnan(max_cost) AND max_cost >= 1)
 SELECT profile, count(*)::BIGINT AS samples, sum(CASE WHEN size <= cap THEN 1 ELSE ceil(size / cap) END)::BIGINT AS pieces,
-  sum(size)::BIGINT AS total_size, false AS over_capacity, true AS near_least_batches
+  sum(size)::BIGINT AS total_size, max(least(size, cap))::BIGINT AS largest_piece, sum(size // cap)::BIGINT AS full_pieces
 FROM known, caps GROUP BY profile
 """
 
