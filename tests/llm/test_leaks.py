@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -51,35 +52,74 @@ def test_winnowing_marks_every_window(values, k, w):
         assert i + low in picked
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.integers(0, 10_000))
-def test_against_brute_force(seed):
-    rng = random.Random(seed)
-    vocabulary = [f"{a}{b}" for a in ("ka", "li", "mo", "nu") for b in ("", "ra", "tes", "vion")]
-    passages = [(i, " ".join(rng.choices(vocabulary, k=rng.randint(5, 16)))) for i in range(6)]
-    texts = []
-    for _ in range(30):
-        words = rng.choices(vocabulary, k=rng.randint(0, 30))
-        if rng.random() < 0.7:
-            source = rng.choice(passages)[1].split()
-            at = rng.randrange(len(source))
-            words[rng.randint(0, len(words)) :] = source[at : at + rng.randint(4, 12)]
-        texts.append(" ".join(words))
-    chars, starts = leaks.streams(pa.array(texts))
-    got = {p for group in leaks.build_items(passages) for p in leaks.find_in(chars, starts, group)}
+def brute(texts, passages, need=8):
     want = set()
-    for t, text in enumerate(texts):
+    for t, text in texts:
         squeezed = text.replace(" ", "")
         for i, passage in passages:
             words = passage.split()
-            want |= {(t, i) for a in range(len(words) - 7) if "".join(words[a : a + 8]) in squeezed}
-    assert got == want
+            if any("".join(words[a : a + need]) in squeezed for a in range(len(words) - need + 1)):
+                want.add((t, i))
+    return want
+
+
+def made_up(seed, passages, texts):
+    """Short and long words, so that passages of several span classes occur."""
+    rng = random.Random(seed)
+    short, long_ = list("abcdefgh"), [f"{a}{b}" for a in ("ka", "li", "mo", "nu") for b in ("", "ra", "tes", "vion", "brandel")]
+    said = [(i, " ".join(rng.choices(rng.choice((short, long_, short + long_)), k=rng.randint(5, 16)))) for i in range(passages)]
+    out = []
+    for t in range(texts):
+        words = rng.choices(long_ + short, k=rng.randint(0, 30))
+        if rng.random() < 0.7:
+            source = rng.choice(said)[1].split()
+            at = rng.randrange(len(source))
+            words[rng.randint(0, len(words)) :] = source[at : at + rng.randint(4, 12)]
+        out.append((t, " ".join(words)))
+    return said, out
 
 
-def test_blocks_lose_no_item(spark, monkeypatch):
-    rows = [(i, f"{QUESTION} number {chr(97 + i)}", None, None, None, None) for i in range(5)]
-    monkeypatch.setattr(leaks, "BLOCK_CHARS", 50)
-    assert {i for _, i in found(spark, [(1, QUESTION, None, None)], rows)} == set(range(5))
+@pytest.mark.parametrize("hot", [False, True])
+def test_against_brute_force(spark, monkeypatch, hot):
+    """One pass over the corpus finds every leak of every span class; with hot every print is salted."""
+    passages, texts = made_up(5, 60, 400)
+    passes = []
+    narrow = leaks.corpus_hits
+    monkeypatch.setattr(leaks, "corpus_hits", lambda *a: passes.append(a[1]) or narrow(*a))
+    if hot:
+        monkeypatch.setattr(leaks, "HOT_ROWS", 0)
+        monkeypatch.setattr(leaks, "HOT", 0.0)
+    want = brute(texts, passages)
+    assert found(spark, [(t, x, None, None) for t, x in texts], [(i, p, None, None, None, None) for i, p in passages]) == want and len(want) > 50
+    assert len(passes) == 1 and len(passes[0]) > 2
+
+
+def test_one_short_passage_leaves_the_others_alone(spark):
+    rows = spark.createDataFrame([(1, "a b c d e f g h"), (2, QUESTION)], "passage bigint, text string")
+    got = {r["passage"]: r for r in leaks.winnowed_passages(rows, 8, 12).collect()}
+    assert got[1]["span"] == 8 and got[2]["span"] == 16
+
+
+def test_filter_holds_all_and_little_else(spark):
+    rng = np.random.default_rng(1)
+    inside, outside = (rng.integers(0, 1 << 64, 4000, np.uint64) for _ in range(2))
+    frame = spark.createDataFrame([(int(v),) for v in inside.view(np.int64)], "print bigint")
+    held = leaks.print_filter(frame, 4000)
+    assert len(leaks.in_filter(held, inside)) == 4000 and len(leaks.in_filter(held, outside)) < 10
+
+
+def test_salted_join_is_a_join(spark):
+    many = spark.createDataFrame([(i % 7 if i % 3 else 99, i) for i in range(30_100)], "k int, v int")
+    few = spark.createDataFrame([(k, f"n{j}") for k in (*range(5), 99) for j in range(2)], "k int, name string")
+    got = sorted(tuple(r) for r in leaks.salted_join(many, few, "k").select("k", "v", "name").collect())
+    assert got == sorted(tuple(r) for r in many.join(few, "k").select("k", "v", "name").collect())
+
+
+@pytest.mark.parametrize("length", [50, 300, 100_000])
+def test_tags_of_any_length_do_not_count(spark, length):
+    words = QUESTION.split()
+    text = f"{' '.join(words[2:6])} <a title='{'long ' * (length // 5)}'>{' '.join(words[6:11])}</a>"
+    assert found(spark, [(1, text, None, None)], [(7, QUESTION, None, None, None, None)]) == {(1, 7)}
 
 
 def test_whole_table(spark, small):

@@ -3,12 +3,14 @@
 Method: winnowing.  Texts become streams of folded letters and digits (case, punctuation, markup tags, line breaks,
 spacing, accents as combining marks and invisible characters vanish).  Of every window of ``w`` consecutive k-gram
 hashes the smallest is a fingerprint, so two streams that share a span of ``k + w - 1`` characters share a fingerprint
-chosen from it.  ``k`` and ``w`` come from the shortest passage that must be found, which makes the guarantee hold for
-every case.  Document fingerprints are joined with the item fingerprints, and every hit is extended to the maximal
-common span, whose whole item words (or characters, for Chinese and Japanese items) are counted.
-
-The benchmark side is a stated query set: it is cut into blocks of bounded size, each block is shipped with the task
-closure and probed in one narrow pass over the corpus.  No corpus fingerprint is shuffled, collected or broadcast.
+chosen from it.  Every passage falls into a span class, the largest of ``SPANS`` not above its own shortest leak, and k and
+w follow from the class, so the guarantee holds for every case and a short passage costs the others nothing.
+
+The corpus is read once, whatever the number of items.  A narrow stage winnows it for every class that occurs, drops the
+fingerprints that are not in a Bloom filter of the item fingerprints (bounded in size; it only saves shuffle) and keeps
+the streams of documents that have any left.  The rest is joined with the item fingerprints on the fingerprint, prints
+that very many documents hold being salted, and every hit is extended to the maximal common span, whose whole item words
+(or characters, for Chinese and Japanese items) are counted.  Neither side passes through the driver.
 """
 
 from __future__ import annotations
@@ -16,7 +18,6 @@ from __future__ import annotations
 import sys
 import unicodedata
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -24,15 +25,20 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxloom.session import spread
+from voxloom.session import cut_lineage, spread
 
 #: Consecutive words of an item that make a leak; characters for items in scripts without spaces.
 MIN_WORDS, MIN_CHARS = 8, 12
 
-#: Characters of item passages probed in one pass.  More items mean more passes, never dropped items.
-BLOCK_CHARS = 2_000_000
+#: Span classes: characters that a fingerprint of the class covers at least.
+SPANS = (1, 2, 4, 8, 12, 16, 32, 64)
+#: Bits of the Bloom filter for each item fingerprint, at most ``FILTER_BITS`` in all (32 MB), and probes.
+PRINT_BITS, FILTER_BITS, PROBES = 32, 1 << 28, 8
+#: A key held by more than this share of all rows, and by this many, is joined in ``SALTS`` tasks.
+HOT, HOT_ROWS, SALTS = 1 / 1024, 10_000, 32
 
-_TAG = r"(?i)</?[a-z!|][^<>]{0,200}>|&[a-z]{2,8};|&#[0-9]{1,7};"
+# The longest name of a character reference has 31 letters.
+_TAG = r"(?i)</?[a-z!|][^<>]*>|&[a-z][a-z0-9]{1,30};|&#x?[0-9a-f]+;"
 
 
 def _fold_table() -> np.ndarray:
@@ -118,22 +124,6 @@ def winnow(hashes: np.ndarray, w: int) -> np.ndarray:
     return np.flatnonzero(picked)
 
 
-@dataclass
-class Items:
-    """Passages of a block of evaluation items, winnowed with one (k, w)."""
-
-    k: int
-    w: int
-    chars: np.ndarray  # folded characters of all passages
-    starts: np.ndarray  # start of each passage, and the end
-    word_ends: np.ndarray  # words (or characters) complete before each character border
-    word_starts: np.ndarray  # words begun before each character border
-    item: np.ndarray  # item index of each passage
-    need: int  # whole words, or characters, that make a leak
-    prints: np.ndarray  # sorted fingerprints
-    places: np.ndarray  # their positions in chars
-
-
 def _has_han(text: str) -> bool:
     letters = [c for c in text if unicodedata.category(c)[0] == "L"]
     wide = sum(0x3040 <= ord(c) <= 0x30FF or 0x3400 <= ord(c) <= 0x9FFF or ord(c) >= 0x20000 for c in letters)
@@ -150,105 +140,145 @@ def _words(text: str) -> list[int]:
     return [int(np.count_nonzero(table[[ord(c) for c in word]])) for word in regex.findall(r"[\p{L}\p{N}]+", text)]
 
 
-def build_items(passages: list[tuple[int, str]], min_words: int = MIN_WORDS, min_chars: int = MIN_CHARS) -> list[Items]:
-    """Winnowed passages by unit: words for scripts with spaces, characters for Chinese and Japanese.
+def grams_of(span: int) -> tuple[int, int]:
+    """(k, w) of a span class: k + w - 1 = span."""
+    k = (3 * span + 3) // 4
+    return k, span - k + 1
+
+
+def prints_of(chars: np.ndarray, span: int) -> np.ndarray:
+    """Hashes of all k-grams of a span class; the class is part of the hash."""
+    return gram_hashes(chars, grams_of(span)[0]) ^ np.uint64(span * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
+
+
+_PASSAGE = "passage bigint, need int, span int, stream string, units array<int>, prints array<bigint>, places array<int>"
 
-    Passages shorter than the least span can leak nothing and are left out.
+
+def winnowed_passages(passages: DataFrame, min_words: int, min_chars: int) -> DataFrame:
+    """Streams, units (words, or characters of scripts without spaces) and fingerprints of ``passages (passage, text)``.
+
+    Passages with fewer units than make a leak can leak nothing and are left out.
     """
-    out = []
-    for wide in (False, True):
-        group = [(i, t) for i, t in passages if t and _has_han(t) == wide]
-        chosen, shortest = [], 64
-        for index, text in group:
-            units = _words(text)
-            if wide:
-                units = [1] * sum(units)
-            need = min_chars if wide else min_words
-            if len(units) >= need:
-                span = np.convolve(units, np.ones(need, int), "valid").min()
-                shortest = min(shortest, int(span))
-                chosen.append((index, text, units))
-        if not chosen:
-            continue
-        k = max(4, (shortest + 1) // 2)
-        w = shortest - k + 1
-        chars, starts = streams(pa.array([t for _, t, _ in chosen]))
-        ends, begun = np.zeros(len(chars) + 1, np.int64), np.zeros(len(chars) + 1, np.int64)
-        base = 0
-        for at, (_, _, units) in zip(starts[:-1], chosen):
-            edges = at + np.concatenate([[0], np.cumsum(units)])
-            ends[edges[1:]] = base + np.arange(1, len(units) + 1)
-            begun[edges[:-1]] = base + np.arange(len(units))
-            base += len(units)
-        prints, places = [], []
-        for a, b in zip(starts[:-1], starts[1:]):
-            hashes = gram_hashes(chars[a:b], k)
-            at = winnow(hashes, w)
-            prints.append(hashes[at])
-            places.append(at + a)
-        prints, places = np.concatenate(prints), np.concatenate(places)
-        order = np.argsort(prints, kind="stable")
-        # border b: words complete up to b (for an end), first word that starts at or after b (for a start)
-        complete = np.maximum.accumulate(ends)
-        first = np.full(len(chars) + 1, base, np.int64)
-        is_start = np.zeros(len(chars) + 1, bool)
-        base = 0
-        for at, (_, _, units) in zip(starts[:-1], chosen):
-            edges = at + np.concatenate([[0], np.cumsum(units)])[:-1]
-            is_start[edges] = True
-            first[edges] = base + np.arange(len(units))
-            base += len(units)
-        first = np.minimum.accumulate(np.where(is_start, first, base)[::-1])[::-1]
-        out.append(
-            Items(k, w, chars, starts, complete, first, np.array([i for i, _, _ in chosen]), min_chars if wide else min_words, prints[order], places[order])
-        )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for passage, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                units, wide = _words(text), _has_han(text)
+                units = [1] * sum(units) if wide else units
+                need = min_chars if wide else min_words
+                if len(units) >= need:
+                    shortest = int(np.convolve(units, np.ones(need, int), "valid").min())
+                    span = max(s for s in SPANS if s <= shortest)
+                    chars, _ = streams(pa.array([text]))
+                    hashes = prints_of(chars, span)
+                    at = winnow(hashes, grams_of(span)[1])
+                    rows.append((passage, need, span, _text(chars), units, hashes[at].view(np.int64).tolist(), at.tolist()))
+            columns = list(zip(*rows)) or [[]] * 7
+            types = [pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int32())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["passage", "need", "span", "stream", "units", "prints", "places"])
+
+    return passages.select("passage", "text").mapInArrow(run, _PASSAGE)
+
+
+def _text(chars: np.ndarray) -> str:
+    return chars.astype("<u4").tobytes().decode("utf-32-le")
+
+
+def _chars(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le"), np.uint32)
+
+
+def print_filter(prints: DataFrame, number: int) -> np.ndarray:
+    """Bytes of a Bloom filter of ``prints (print)``: partial bitmaps are merged in the cluster, ``FILTER_BITS`` at most arrive."""
+    bits = 1 << 15
+    while bits < min(FILTER_BITS, PRINT_BITS * number):
+        bits *= 2
+    low, high = F.col("print").bitwiseAND(0xFFFFFFFF), F.shiftrightunsigned("print", 32).bitwiseOR(F.lit(1))
+    at = F.explode(F.array(*[(low + high * i).bitwiseAND(bits - 1) for i in range(PROBES)]))
+    cells = prints.select(at.alias("at")).groupBy(F.shiftright("at", 15).alias("cell")).agg(F.bitmap_construct_agg(F.col("at").bitwiseAND(32767)).alias("bits"))
+    out = np.zeros(bits // 8, np.uint8)
+    for cell in cells.collect():
+        out[cell["cell"] * 4096 : (cell["cell"] + 1) * 4096] = np.frombuffer(cell["bits"], np.uint8)
     return out
 
 
-def find_in(chars: np.ndarray, starts: np.ndarray, items: Items) -> list[tuple[int, int]]:
-    """(text number, item index) of every leak in a batch of streams."""
-    hashes = gram_hashes(chars, items.k)
+def in_filter(filter_: np.ndarray, prints: np.ndarray) -> np.ndarray:
+    """Positions of the prints that the filter may hold."""
+    mask = np.uint64(8 * len(filter_) - 1)
+    at = np.arange(len(prints))
+    for i in range(PROBES):
+        some = prints[at]
+        bit = ((some & np.uint64(0xFFFFFFFF)) + (some >> np.uint64(32) | np.uint64(1)) * np.uint64(i)) & mask
+        at = at[(filter_[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1 == 1]
+    return at
+
+
+def hits_in(chars: np.ndarray, starts: np.ndarray, span: int, filter_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place, print) of the fingerprints of a batch of streams that the filter may hold."""
+    k, w = grams_of(span)
+    hashes = prints_of(chars, span)
     if not len(hashes):
-        return []
-    # a cheap bitmap first: most k-grams occur in no passage, so they need not be winnowed out one by one
-    bits = np.zeros(1 << 20, bool)
-    bits[(items.prints & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
+        return np.empty(0, np.int64), hashes
     # runs that cross the border of two texts are no k-grams; the largest hash never wins a window
-    crossing = starts[1:-1, None] - np.arange(1, items.k)[None, :]
+    crossing = starts[1:-1, None] - np.arange(1, k)[None, :]
     crossing = np.unique(crossing[(crossing >= 0) & (crossing < len(hashes))])
     hashes[crossing] = np.uint64(0xFFFFFFFFFFFFFFFF)
-    maybe = np.flatnonzero(bits[(hashes & np.uint64((1 << 20) - 1)).astype(np.int64)])
-    slot = np.searchsorted(items.prints, hashes[maybe])
-    slot[slot == len(items.prints)] = 0
-    maybe = maybe[items.prints[slot] == hashes[maybe]]
+    # most k-grams occur in no passage, so only those around possible hits are winnowed
+    maybe = in_filter(filter_, hashes)
     if not len(maybe):
-        return []
-    # both sides keep only winnowed positions: a hit counts if it is the least of some window of its own text
+        return maybe, hashes[maybe]
     picked = np.zeros(len(hashes), bool)
-    near = np.unique((maybe[:, None] + np.arange(-(items.w - 1), items.w)[None, :]).ravel())
+    near = np.unique((maybe[:, None] + np.arange(-(w - 1), w)[None, :]).ravel())
     near = near[(near >= 0) & (near < len(hashes))]
     breaks = np.flatnonzero(np.diff(near) > 1) + 1
     for run in np.split(near, breaks):
-        picked[run[0] + winnow(hashes[run[0] : run[-1] + 1], min(items.w, len(run)))] = True
+        picked[run[0] + winnow(hashes[run[0] : run[-1] + 1], min(w, len(run)))] = True
     hits = maybe[picked[maybe]]
-    low = np.searchsorted(items.prints, hashes[hits], "left")
-    high = np.searchsorted(items.prints, hashes[hits], "right")
-    text_of = np.searchsorted(starts, hits, "right") - 1
-    found, spans = set(), {}
-    for at, a, b, text in zip(hits.tolist(), low.tolist(), high.tolist(), text_of.tolist()):
-        for place in items.places[a:b].tolist():
-            passage = int(np.searchsorted(items.starts, place, "right") - 1)
-            item = int(items.item[passage])
-            if (text, item) in found:
-                continue
-            diagonal = (text, place - at)
-            if spans.get(diagonal, -1) >= at:  # inside a span already extended
-                continue
-            left, right = _extend(chars, int(starts[text]), int(starts[text + 1]), at, items.chars, int(items.starts[passage]), int(items.starts[passage + 1]), place)
-            spans[diagonal] = at + right
-            if items.word_ends[place + right] - items.word_starts[place - left] >= items.need:
-                found.add((text, item))
-    return sorted(found)
+    return hits, hashes[hits]
+
+
+def corpus_hits(docs: DataFrame, spans: list[int], filter_: np.ndarray) -> DataFrame:
+    """``(row, doc_id, stream, prints, places)`` of the documents of ``docs (row, doc_id, text)`` with possible hits."""
+    shared = docs.sparkSession.sparkContext.broadcast(filter_)
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 2000):
+                part = batch.slice(start, 2000)
+                chars, starts = streams(part.column(2))
+                some = [hits_in(chars, starts, span, shared.value) for span in spans]
+                place, found = np.concatenate([p for p, _ in some]), np.concatenate([h for _, h in some])
+                text = np.searchsorted(starts, place, "right") - 1
+                order = np.argsort(text, kind="stable")
+                text, place, found = text[order], place[order], found[order]
+                kept, first = np.unique(text, return_index=True)
+                offsets = pa.array(np.r_[first, len(text)].astype(np.int32))
+                rows = pa.array(kept)
+                held = [_text(chars[starts[i] : starts[i + 1]]) for i in kept.tolist()]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        part.column(0).take(rows),
+                        part.column(1).take(rows),
+                        pa.array(held, pa.string()),
+                        pa.ListArray.from_arrays(offsets, pa.array(found.view(np.int64))),
+                        pa.ListArray.from_arrays(offsets, pa.array((place - starts[text]).astype(np.int32))),
+                    ],
+                    names=["row", "doc_id", "stream", "prints", "places"],
+                )
+
+    return docs.select("row", "doc_id", "text").mapInArrow(run, f"row bigint, doc_id {id_type}, stream string, prints array<bigint>, places array<int>")
+
+
+def salted_join(many: DataFrame, few: DataFrame, key: str) -> DataFrame:
+    """Inner join on ``key``; keys with more than the share ``HOT`` of the rows of ``many`` (at most 1 / HOT) go to ``SALTS`` tasks."""
+    hot = many.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max(HOT_ROWS, int(HOT * many.count()))).select(key, F.lit(SALTS).alias("salts"))
+    hot = F.broadcast(cut_lineage(hot))
+    salts = F.coalesce("salts", F.lit(1))
+    left = many.join(hot, key, "left").withColumn("salt", F.pmod(F.xxhash64(*many.columns), salts).cast("int")).drop("salts")
+    right = few.join(hot, key, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("salts")
+    return left.join(right, [key, "salt"]).drop("salt")
 
 
 def _extend(a: np.ndarray, a_low: int, a_high: int, i: int, b: np.ndarray, b_low: int, b_high: int, j: int) -> tuple[int, int]:
@@ -261,18 +291,31 @@ def _extend(a: np.ndarray, a_low: int, a_high: int, i: int, b: np.ndarray, b_low
     return left, int(differ[0]) if len(differ) else room
 
 
-def passages_of(items: DataFrame, fields: list[str], index_col: str) -> Iterator[list[tuple[int, str]]]:
-    """Blocks of (index, passage).  The rows stream to the driver one partition at a time: the query set, not the corpus."""
-    block, held = [], 0
-    rows = items.select(F.col(index_col).cast("long").alias("i"), F.explode(F.array(*[F.col(f).cast("string") for f in fields])).alias("t"))
-    for row in rows.where("i is not null and length(t) > 0").distinct().orderBy("i", "t").toLocalIterator():
-        block.append((row["i"], row["t"]))
-        held += len(row["t"])
-        if held >= BLOCK_CHARS:
-            yield block
-            block, held = [], 0
-    if block:
-        yield block
+def extended(candidates: DataFrame) -> DataFrame:
+    """``(doc_id, passage)`` of the candidates whose hits extend to a span of enough whole units.
+
+    Columns: doc_id, stream, passage, need, item_stream, units, hits (array of (place, item_place)).
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for i, (stream, need, item, units, hits) in enumerate(zip(*(batch.column(c).to_pylist() for c in (1, 3, 4, 5, 6)))):
+                a, b, edges, ends = _chars(stream), _chars(item), np.r_[0, np.cumsum(units)], {}
+                for hit in sorted(hits, key=lambda h: h["place"]):
+                    at, place = hit["place"], hit["item_place"]
+                    if ends.get(place - at, -1) >= at:  # inside a span already extended
+                        continue
+                    left, right = _extend(a, 0, len(a), at, b, 0, len(b), place)
+                    ends[place - at] = at + right
+                    if np.searchsorted(edges, place + right, "right") - 1 - np.searchsorted(edges, place - left, "left") >= need:
+                        keep.append(i)
+                        break
+            rows = pa.array(keep, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(2).take(rows)], names=["doc_id", "passage"])
+
+    columns = ("doc_id", "stream", "passage", "need", "item_stream", "units", "hits")
+    return candidates.select(*columns).mapInArrow(run, f"doc_id {candidates.schema['doc_id'].dataType.simpleString()}, passage bigint")
 
 
 def leaks(
@@ -292,25 +335,23 @@ def leaks(
     """
     spark = docs.sparkSession
     id_type = docs.schema[id_col].dataType.simpleString()
-    schema = f"doc_id {id_type}, item_index bigint"
-    source = spread(docs.select(id_col, text_col).where(F.length(text_col) >= min(min_words, min_chars)))
-    result = None
-    for block in passages_of(items, list(fields), index_col):
-        built = build_items(block, min_words, min_chars)
-        if not built:
-            continue
-
-        def run(batches: Iterator[pa.RecordBatch], built: list[Items] = built) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for start in range(0, batch.num_rows, 2000):
-                    part = batch.slice(start, 2000)
-                    chars, starts = streams(part.column(1))
-                    pairs = sorted({p for group in built for p in find_in(chars, starts, group)})
-                    ids = part.column(0).take(pa.array([t for t, _ in pairs], pa.int64()))
-                    yield pa.RecordBatch.from_arrays([ids, pa.array([i for _, i in pairs], pa.int64())], names=["doc_id", "item_index"])
-
-        one = source.mapInArrow(run, schema)
-        result = one if result is None else result.unionByName(one)
-    if result is None:
-        return spark.createDataFrame([], schema)
-    return result.distinct()
+    texts = items.select(F.col(index_col).cast("long").alias("item_index"), F.explode(F.array(*[F.col(f).cast("string") for f in fields])).alias("text"))
+    texts = texts.where("item_index is not null and length(text) > 0").distinct()
+    # equal passages of several items are searched once
+    passages = cut_lineage(texts.select("text").distinct().withColumn("passage", F.monotonically_increasing_id()))
+    built = cut_lineage(winnowed_passages(passages, min_words, min_chars))
+    # at most as many rows as there are span classes
+    spans = {r["span"]: r["n"] for r in built.groupBy("span").agg(F.sum(F.size("prints")).alias("n")).collect()}
+    if not spans:
+        return spark.createDataFrame([], f"doc_id {id_type}, item_index bigint")
+    prints = built.select("passage", F.inline(F.arrays_zip("prints", "places")).alias("print", "item_place"))
+    filter_ = print_filter(prints, sum(spans.values()))
+    source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where(F.length("text") >= min(min_words, min_chars))
+    source = spread(source).withColumn("row", F.monotonically_increasing_id())
+    corpus = cut_lineage(corpus_hits(source, sorted(spans), filter_))
+    hits = corpus.select("row", F.inline(F.arrays_zip("prints", "places")).alias("print", "place"))
+    met = salted_join(hits, prints, "print").groupBy("row", "passage").agg(F.collect_set(F.struct("place", "item_place")).alias("hits"))
+    met = salted_join(cut_lineage(met), built.select("passage", "need", F.col("stream").alias("item_stream"), "units"), "passage")
+    found = extended(met.join(corpus.select("row", "doc_id", "stream"), "row")).distinct()
+    named = cut_lineage(salted_join(texts, passages, "text").select("passage", "item_index"))
+    return found.join(named, "passage").select("doc_id", "item_index").distinct()
