@@ -88,7 +88,6 @@ def test_against_brute_force(spark, monkeypatch, hot):
     monkeypatch.setattr(leaks, "corpus_hits", lambda *a: passes.append(a[1]) or narrow(*a))
     if hot:
         monkeypatch.setattr(leaks, "HOT_ROWS", 0)
-        monkeypatch.setattr(leaks, "HOT", 0.0)
     want = brute(texts, passages)
     assert found(spark, [(t, x, None, None) for t, x in texts], [(i, p, None, None, None, None) for i, p in passages]) == want and len(want) > 50
     assert len(passes) == 1 and len(passes[0]) > 2
@@ -108,7 +107,8 @@ def test_filter_holds_all_and_little_else(spark):
     assert len(leaks.in_filter(held, inside)) == 4000 and len(leaks.in_filter(held, outside)) < 10
 
 
-def test_salted_join_is_a_join(spark):
+def test_salted_join_is_a_join(spark, monkeypatch):
+    monkeypatch.setattr(leaks, "HOT_ROWS", 5000)
     many = spark.createDataFrame([(i % 7 if i % 3 else 99, i) for i in range(30_100)], "k int, v int")
     few = spark.createDataFrame([(k, f"n{j}") for k in (*range(5), 99) for j in range(2)], "k int, name string")
     got = sorted(tuple(r) for r in leaks.salted_join(many, few, "k").select("k", "v", "name").collect())

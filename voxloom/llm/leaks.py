@@ -34,8 +34,10 @@ MIN_WORDS, MIN_CHARS = 8, 12
 SPANS = (1, 2, 4, 8, 12, 16, 32, 64)
 #: Bits of the Bloom filter for each item fingerprint, at most ``FILTER_BITS`` in all (32 MB), and probes.
 PRINT_BITS, FILTER_BITS, PROBES = 32, 1 << 28, 8
-#: A key held by more than this share of all rows, and by this many, is joined in ``SALTS`` tasks.
-HOT, HOT_ROWS, SALTS = 1 / 1024, 10_000, 32
+#: Rows beyond which a key is hot, the hot keys that are joined in several tasks, and the tasks of each.
+HOT_ROWS, HOT_KEYS, SALTS = 100_000, 1024, 32
+#: Tasks over which the documents of one passage are spread.
+COPIES = 8
 
 # The longest name of a character reference has 31 letters.
 _TAG = r"(?i)</?[a-z!|][^<>]*>|&[a-z][a-z0-9]{1,30};|&#x?[0-9a-f]+;"
@@ -151,7 +153,7 @@ def prints_of(chars: np.ndarray, span: int) -> np.ndarray:
     return gram_hashes(chars, grams_of(span)[0]) ^ np.uint64(span * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
 
 
-_PASSAGE = "passage bigint, need int, span int, stream string, units array<int>, prints array<bigint>, places array<int>"
+_PASSAGE = "passage bigint, text string, need int, span int, stream string, units array<int>, prints array<bigint>, places array<int>"
 
 
 def winnowed_passages(passages: DataFrame, min_words: int, min_chars: int) -> DataFrame:
@@ -173,10 +175,10 @@ def winnowed_passages(passages: DataFrame, min_words: int, min_chars: int) -> Da
                     chars, _ = streams(pa.array([text]))
                     hashes = prints_of(chars, span)
                     at = winnow(hashes, grams_of(span)[1])
-                    rows.append((passage, need, span, _text(chars), units, hashes[at].view(np.int64).tolist(), at.tolist()))
-            columns = list(zip(*rows)) or [[]] * 7
-            types = [pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int32())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["passage", "need", "span", "stream", "units", "prints", "places"])
+                    rows.append((passage, text, need, span, _text(chars), units, hashes[at].view(np.int64).tolist(), at.tolist()))
+            columns = list(zip(*rows)) or [[]] * 8
+            types = [pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int32())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["passage", "text", "need", "span", "stream", "units", "prints", "places"])
 
     return passages.select("passage", "text").mapInArrow(run, _PASSAGE)
 
@@ -272,15 +274,28 @@ def corpus_hits(docs: DataFrame, spans: list[int], filter_: np.ndarray) -> DataF
 
 
 def salted_join(many: DataFrame, few: DataFrame, key: str) -> DataFrame:
-    """Inner join on ``key``; keys with more than the share ``HOT`` of the rows of ``many`` (at most 1 / HOT) go to ``SALTS`` tasks."""
-    hot = many.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max(HOT_ROWS, int(HOT * many.count()))).select(key, F.lit(SALTS).alias("salts"))
-    hot = F.broadcast(cut_lineage(hot))
+    """Inner join on ``key``; the hottest keys of ``many`` (more than ``HOT_ROWS`` rows, the first ``HOT_KEYS`` of them) go to ``SALTS`` tasks.
+
+    Any other key has at most ``HOT_ROWS`` rows or fewer than 1 / ``HOT_KEYS`` of all.
+    """
+    counts = many.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT_ROWS)
+    hot = [(r[key],) for r in counts.orderBy(F.desc("n")).limit(HOT_KEYS).collect()]
+    if not hot:
+        return many.join(few, key)
+    hot = F.broadcast(many.sparkSession.createDataFrame(hot, many.select(key).schema).withColumn("salts", F.lit(SALTS)))
     salts = F.coalesce("salts", F.lit(1))
     left = many.join(hot, key, "left").withColumn("salt", F.pmod(F.xxhash64(*many.columns), salts).cast("int")).drop("salts")
     right = few.join(hot, key, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("salts")
     return left.join(right, [key, "salt"]).drop("salt")
 
 
+def spread_join(many: DataFrame, few: DataFrame, key: str, by: str) -> DataFrame:
+    """Inner join on ``key`` in which every key is spread over ``COPIES`` tasks by a hash of ``by``; ``few`` is the query side."""
+    left = many.withColumn("salt", F.pmod(F.xxhash64(by), F.lit(COPIES)).cast("int"))
+    right = few.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(COPIES - 1))))
+    return left.join(right, [key, "salt"]).drop("salt")
+
+
 def _extend(a: np.ndarray, a_low: int, a_high: int, i: int, b: np.ndarray, b_low: int, b_high: int, j: int) -> tuple[int, int]:
     """Characters equal to the left of, and from, positions i and j."""
     room = min(i - a_low, j - b_low)
@@ -338,7 +353,7 @@ def leaks(
     texts = items.select(F.col(index_col).cast("long").alias("item_index"), F.explode(F.array(*[F.col(f).cast("string") for f in fields])).alias("text"))
     texts = texts.where("item_index is not null and length(text) > 0").distinct()
     # equal passages of several items are searched once
-    passages = cut_lineage(texts.select("text").distinct().withColumn("passage", F.monotonically_increasing_id()))
+    passages = texts.select("text").distinct().withColumn("passage", F.monotonically_increasing_id())
     built = cut_lineage(winnowed_passages(passages, min_words, min_chars))
     # at most as many rows as there are span classes
     spans = {r["span"]: r["n"] for r in built.groupBy("span").agg(F.sum(F.size("prints")).alias("n")).collect()}
@@ -351,7 +366,7 @@ def leaks(
     corpus = cut_lineage(corpus_hits(source, sorted(spans), filter_))
     hits = corpus.select("row", F.inline(F.arrays_zip("prints", "places")).alias("print", "place"))
     met = salted_join(hits, prints, "print").groupBy("row", "passage").agg(F.collect_set(F.struct("place", "item_place")).alias("hits"))
-    met = salted_join(cut_lineage(met), built.select("passage", "need", F.col("stream").alias("item_stream"), "units"), "passage")
+    met = spread_join(met, built.select("passage", "need", F.col("stream").alias("item_stream"), "units"), "passage", "row")
     found = extended(met.join(corpus.select("row", "doc_id", "stream"), "row")).distinct()
-    named = cut_lineage(salted_join(texts, passages, "text").select("passage", "item_index"))
-    return found.join(named, "passage").select("doc_id", "item_index").distinct()
+    named = spread_join(texts, built.select("text", "passage"), "text", "item_index").select("passage", "item_index")
+    return spread_join(found, named, "passage", "doc_id").select("doc_id", "item_index").distinct()
