@@ -90,3 +90,46 @@ def test_short_wide_sentences(spark):
         (f"{english} 你好。 {english}", ["en"]),
     ):
         assert [f[2] for f in language.stretches(fit, text)] == want
+
+
+@pytest.mark.parametrize("said", ["안녕하세요 오늘은 날씨가 참 좋네요 내일 다시 만나요", "Καλημέρα σας θέλω να μάθω τι ώρα φεύγει το τρένο"])
+def test_no_evidence_no_language(model, said):
+    assert [(f[2], f[3]) for f in language.stretches(model, said)] == [(None, 0.0)]
+    mixed = language.stretches(model, f"{SENTENCES['en'][0]} {SENTENCES['en'][1]}")
+    assert [f[2] for f in mixed] == ["en"] and mixed[0][3] > 0.9
+
+
+def test_no_evidence_is_no_case(spark, model):
+    rows = chats(spark, [(1, "안녕하세요 오늘은 날씨가 참 좋네요 내일 다시 만나요 그럼 이만", "en", "gpt"), (2, "안녕하세요 오늘은 날씨가 참 좋네요 내일 다시 만나요 그럼 이만", None, "gpt")])
+    labelled = language.label_rows(rows, model, "row_id", language.normal_label(F.col("lang")), language.spoken_text("messages"))
+    assert {(r["row_id"], r["lang"], r["confidence"]) for r in labelled.collect()} == {(1, None, 0.0), (2, None, 0.0)}
+    assert language.mislabelled(labelled).count() == 0
+
+
+def test_confidence_is_the_share_of_right_answers(spark):
+    """Fragments of rows that took no part in the fit: accuracy lies within 0.05 of confidence in the bins that
+    hold most of them, within 0.1 in the rare middle ones, and within 0.02 on the whole."""
+    rows = spark.read.parquet("/root/testdata/sf0.01/tts.parquet")
+    labelled = rows.select(language.normal_label(F.col("lang")).alias("lang"), language.spoken_text("messages").alias("text")).where("lang is not null and length(text) > 60").distinct()
+    pairs = sorted((r["lang"], r["text"]) for r in labelled.collect())
+    # copies with the same beginning stay on one side
+    train, held = [p for i, p in enumerate(pairs) if i // 40 % 2], [p for i, p in enumerate(pairs) if not i // 40 % 2]
+    fitted = language.fit_clean(train)
+    bins = {}
+    for lang, text in held:
+        for _, unit in language.units_of(text):
+            words = language.words_of(unit)
+            if not words or fitted.total(words).argmax() != fitted.languages.index(lang):
+                continue  # the label does not hold for this sentence
+            for number in language.FRAGMENTS:
+                if len(words) < number:
+                    break
+                total = fitted.total(words[:number])
+                chance = fitted.confidence(total, sum(map(len, words[:number])), int(total.argmax()))
+                bins.setdefault(min(4, int(chance * 5)), []).append((chance, fitted.languages[total.argmax()] == lang))
+    total, off = sum(map(len, bins.values())), 0.0
+    for some in bins.values():
+        gap = abs(sum(c for c, _ in some) / len(some) - sum(r for _, r in some) / len(some))
+        off += gap * len(some) / total
+        assert gap <= (0.05 if len(some) > 0.1 * total else 0.1 if len(some) >= 200 else 0.2), (gap, len(some), total)
+    assert off <= 0.02 and len(bins) >= 3, off

@@ -8,13 +8,17 @@ more than names that speaks clearly for its language is entered for ``SHORT_SWIT
 stretch before it holds such a sentence too.
 
 The classifier is fitted on a bounded sample of labelled rows (``ROWS_PER_LANGUAGE`` of each language, chosen by hash of
-the row id) and cleaned once: sentences that the first fit places elsewhere leave the second fit.  Scoring covers every
-row in one narrow pass; the model, bounded by the sample, travels with the tasks.
+the row id) and cleaned once: sentences that a fit on one half of them places elsewhere leave the second fit.  The
+confidence comes from the softmax of the scores over ``a * letters ** b``; a and b are those under which fragments of 1 to
+12 words from the other half are most likely, and the share of right answers among fragments of a like softmax is the
+confidence.  Text of which no more than
+``EVIDENCE`` of the letters lie in words the model has evidence for (another script) gets a null language and confidence 0.
+
+Scoring covers every row in one narrow pass; the model, bounded by the sample, travels with the tasks.
 """
 
 from __future__ import annotations
 
-import math
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -42,6 +46,10 @@ SHORT_WORDS, SHORT_WIDE = 2, 5
 MOST = 5.0
 #: Least letters of a text that gets a language.
 MIN_LETTERS = 20
+#: Share of letters in words with evidence, at or below which a stretch has no language.
+EVIDENCE = 0.5
+#: Words of the fragments that measure confidence, and how many of each length and language.
+FRAGMENTS, FRAGMENTS_EACH = (1, 2, 3, 5, 8, 12), 300
 #: A word is known if training saw it this often; rarer ones are left to the n-grams.
 MIN_WORD_COUNT = 3
 NGRAM = 5
@@ -101,6 +109,8 @@ class Model:
     words: dict[str, np.ndarray] = field(default_factory=dict)
     grams: dict[str, np.ndarray] = field(default_factory=dict)
     unseen: np.ndarray | None = None
+    temper: tuple[float, float] = (0.4, 0.5)
+    levels: tuple[tuple[float, ...], tuple[float, ...]] = ((0.0, 1.0), (0.0, 1.0))
     memory: dict[str, np.ndarray] = field(default_factory=dict)
 
     def __getstate__(self) -> dict:
@@ -126,7 +136,8 @@ class Model:
             for n in range(min(NGRAM, len(padded) - at), 0, -1):
                 score = self.grams.get(padded[at : at + n])
                 if score is not None:
-                    total = total + score
+                    if padded[at : at + n] != "_":  # the border of a word alone says nothing
+                        total = total + score
                     break
             else:
                 n, total = 1, total + self.unseen
@@ -149,6 +160,19 @@ class Model:
     def unit(self, text: str) -> np.ndarray:
         return self.total(words_of(text))
 
+    def evidence(self, words: list[str]) -> float:
+        """Share of the letters that lie in words which speak for one language more than for another."""
+        return sum(len(w) for w in words if self.word(w).any()) / max(1, sum(map(len, words)))
+
+    def confidence(self, total: np.ndarray, letters: int, own: int) -> float:
+        """Share of right answers among fragments that spoke as clearly for their language."""
+        return float(np.interp(self.chance(total, letters)[own], *self.levels))
+
+    def chance(self, total: np.ndarray, letters: int) -> np.ndarray:
+        a, b = self.temper
+        scaled = np.exp((total - total.max()) / (a * max(1, letters) ** b))
+        return scaled / scaled.sum()
+
 
 def fit(samples: list[tuple[str, str]], languages: tuple[str, ...] = LANGUAGES) -> Model:
     """A model of (language, text) pairs."""
@@ -190,16 +214,63 @@ def fit(samples: list[tuple[str, str]], languages: tuple[str, ...] = LANGUAGES)
     return model
 
 
+def measure(model: Model, samples: list[tuple[str, str]]) -> None:
+    """Sets temper, the (a, b) under which fragments of sentences the model did not see are most likely, and levels."""
+    sentences: dict[str, list[list[str]]] = defaultdict(list)
+    for lang, text in samples:
+        for _, unit in units_of(text):
+            words = words_of(unit)
+            # other sentences have a wrong label or stand in another language
+            if words and not any(map(_WIDE.search, words)) and model.total(words).argmax() == model.languages.index(lang):
+                sentences[lang].append(words)
+    totals, letters, truth = [], [], []
+    for lang, some in sentences.items():
+        for number in FRAGMENTS:
+            long_enough = [words[:number] for words in some if len(words) >= number]
+            for part in long_enough[:: max(1, len(long_enough) // FRAGMENTS_EACH)]:
+                totals.append(model.total(part))
+                letters.append(sum(map(len, part)))
+                truth.append(model.languages.index(lang))
+    if len(truth) < FRAGMENTS_EACH:
+        return
+    scores, n, own = np.array(totals), np.array(letters, float), np.array(truth)
+    scores -= scores.max(axis=1, keepdims=True)
+
+    def loss(a: float, b: float) -> float:
+        scaled = scores / (a * n**b)[:, None]
+        return float((np.log(np.exp(scaled).sum(axis=1)) - scaled[np.arange(len(own)), own]).mean())
+
+    grid = [(a, b) for a in np.geomspace(0.1, 10, 41) for b in np.linspace(-1, 1, 9)]
+    model.temper = min(grid, key=lambda at: loss(*at))
+    best = scores.argmax(axis=1)
+    chance = np.array([model.chance(t, k)[i] for t, k, i in zip(scores, letters, best)])
+    order = np.argsort(chance, kind="stable")
+    some = [part for part in np.array_split(order, min(20, len(order) // 50)) if len(part)]
+    shown = [float(chance[part].mean()) for part in some]
+    right = np.maximum.accumulate([float((best[part] == own[part]).mean()) for part in some])
+    model.levels = ((0.0, *shown, 1.0), (0.0, *right.tolist(), max(1.0 - 1 / len(order), float(right[-1]))))
+
+
 def fit_clean(samples: list[tuple[str, str]], languages: tuple[str, ...] = LANGUAGES) -> Model:
-    """Fit, drop the sentences that the fit places in another language (wrong labels, mixed texts), fit again."""
-    first = fit(samples, languages)
+    """Fit on half of the rows of each language, measure confidence on the rest, drop the sentences of all rows that the fit
+    places in another language (wrong labels, mixed texts), fit again.
+
+    The halves are taken in the order of the texts, so that copies with the same beginning are not split between them.
+    """
+    by_lang: dict[str, list[tuple[str, str]]] = defaultdict(list)
+    for sample in sorted(samples):
+        by_lang[sample[0]].append(sample)
+    first = fit([s for some in by_lang.values() for s in some[: (len(some) + 1) // 2]], languages)
+    measure(first, [s for some in by_lang.values() for s in some[(len(some) + 1) // 2 :]])
     kept = []
     for lang, text in samples:
         for _, unit in units_of(text):
             score = first.unit(unit)
             if len(words_of(unit)) and score.argmax() == languages.index(lang):
                 kept.append((lang, unit))
-    return fit(kept or samples, languages)
+    model = fit(kept or samples, languages)
+    model.temper, model.levels = first.temper, first.levels
+    return model
 
 
 def training_rows(rows: DataFrame, id_col: str, label: Column, text: Column, bound: int = ROWS_PER_LANGUAGE) -> list[tuple[str, str]]:
@@ -266,11 +337,13 @@ def stretches(model: Model, text: str) -> list[tuple[int, int, str, float]]:
     for i in range(1, len(path) + 1):
         if i == len(path) or path[i] != path[begin]:
             total = scores[begin:i].sum(axis=0)
-            count = sum(map(len, words[begin:i]))
-            tempered = (total - total.max()) / max(1.0, math.sqrt(count))
-            chance = float(np.exp(tempered[path[begin]]) / np.exp(tempered).sum())
+            count = sum(len(w) for some in words[begin:i] for w in some)
             end = units[i][0] if i < len(units) else len(text)
-            out.append((units[begin][0], end, model.languages[path[begin]], chance))
+            # scores near zero are looked at more closely: words of another script speak for no language
+            if total.min() > -0.5 * sum(map(len, words[begin:i])) and model.evidence([w for some in words[begin:i] for w in some]) <= EVIDENCE:
+                out.append((units[begin][0], end, None, 0.0))
+            else:
+                out.append((units[begin][0], end, model.languages[path[begin]], model.confidence(total, count, path[begin])))
             begin = i
     return out
 
