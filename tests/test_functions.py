@@ -149,3 +149,15 @@ def test_sample_rates(spark):
 
     rows = spark.createDataFrame([(16000, None, None, True), (None, 0, 22050, False), (None, None, None, True), (None, None, None, False)], "a int, b int, c int, f boolean")
     assert [r[0] for r in rows.select(resolved_sample_rate(F.col("a"), F.col("b"), F.col("c"), F.col("f"))).collect()] == [24000, 22050, 24000, 16000]
+
+
+def test_code_lines_end_at_any_space(spark):
+    made = spark.createDataFrame(
+        [(1, "a {x} b;\t\r\n{ y; }\r\n z {w};\u00a0\nplain"), (2, "import \u53d8\u91cf"), (3, "\u4e2dint a\n\u4e2dint b\n\u4e2dint c"), (4, "int a\nint b\nint c")], "i int, t string"
+    ).select("i", text.contains_code(F.col("t")).alias("code"))
+    assert {r["i"]: r["code"] for r in made.collect()} == {1: True, 2: True, 3: False, 4: True}
+
+
+def test_sentence_capitals():
+    assert text.capitalize_sentences("one. two!  three? \u00e4 b.c d") == "One. Two!  Three? \u00e4 b.c d"
+    assert text.capitalize_sentences("") == "" and text.spell_numbers("the 1980S and 1905") == "the nineteen eighties and nineteen oh five"

@@ -201,7 +201,38 @@ def test_judge_retries(spark):
         return rows.withColumn("judge_result", F.when(F.col("index") % 2 == 0, "4"))
 
     rows = spark.range(4).withColumnRenamed("id", "index")
-    assert sorted(r["index"] for r in inference.judge_with_retries(rows, judge).collect()) == [0, 2]
+    made = {r["index"]: (r["judge_result"], r["score"]) for r in inference.judge_with_retries(rows, judge).collect()}
+    assert made == {0: ("4", 4.0), 1: (None, None), 2: ("4", 4.0), 3: (None, None)}
+
+
+def test_a_slow_request_gives_an_error_in_its_place():
+    import time
+
+    def engine(request):
+        time.sleep(request["wait"])
+        return {"text": request["name"]}
+
+    made = inference.timed(engine, 0.3, at_once=3)([{"wait": 0.0, "name": "a"}, {"wait": 1.0, "name": "b"}, {"wait": 0.05, "name": "c"}])
+    assert [m.get("text") for m in made] == ["a", None, "c"] and made[1]["error"].startswith("TimeoutError")
+
+
+def test_word_edits():
+    import random as rnd
+
+    from voxloom.functions.text import word_edits
+
+    def plain(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            before, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (x != y))
+        return row[-1]
+
+    rng = rnd.Random(1)
+    for _ in range(200):
+        a, b = (rng.choices("abcd", k=rng.randint(0, 9)) for _ in range(2))
+        assert word_edits(" ".join(a), " ".join(b)) == plain(a, b)
 
 
 def test_wer(spark):

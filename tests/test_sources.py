@@ -36,6 +36,18 @@ def test_tar_source(spark, tmp_path):
     assert seconds == 1.0
 
 
+def test_truncated_shard_gives_no_sound_half_sample(spark, tmp_path):
+    whole = shard(tmp_path / "w.tar", [("a.json", b"{}"), ("a.audio.wav", b"1" * 700), ("b.json", b"{}"), ("b.audio.wav", b"2" * 5000), ("c.json", b"{}")])
+    cut = tmp_path / "cut.tar"
+    cut.write_bytes(open(whole, "rb").read()[: 512 * 8])  # ends inside b.audio.wav
+    rows = tar.read_shards(spark, [str(cut)]).orderBy("place").collect()
+    assert [(r["key"], r["error"] is None) for r in rows] == [("a", True), ("b", False)]
+    assert sorted(rows[0]["members"]) == ["audio.wav", "json"] and sorted(rows[1]["members"]) == ["json"]
+    assert tar.read_shards(spark, [f"file://{whole}"]).count() == 3
+    missing = tar.read_shards(spark, [str(tmp_path / "none.tar")]).collect()
+    assert len(missing) == 1 and missing[0]["key"] is None and missing[0]["error"]
+
+
 def test_manifest(tmp_path):
     (tmp_path / "m.json").write_text(json.dumps({"shards": ["a.tar", {"url": "b", "path": "/x/b.tar"}, {"url": "c", "disabled": True}]}))
     made = manifest.load_manifest(str(tmp_path / "m.json"))

@@ -34,9 +34,9 @@ ASR_REQUESTS = (
     r"Transcribe the English audio into text without any punctuation marks\.",
 )
 PERSONA = (
-    r"Your Name: Omni\nYour Gender: (?:female|undefined) \n\nRespond in a (?:text-audio|text-speech) interleaved manner\. ",
-    r"Your Name: Omni\nYour Gender: female \n\nRespond in a text-only manner\. ",
-    r"Your Name: Omni\nYour Gender: female \n\n",
+    r"Your Name: Omni\nYour Gender: (?:female|undefined) \n\nRespond in a (?:text-audio|text-speech) interleaved manner\. "
+    r"|Your Name: Omni\nYour Gender: female \n\nRespond in a text-only manner\. "
+    r"|Your Name: Omni\nYour Gender: female \n\n"
 )
 ASSISTANT_PERSONA = r"you are a speech AI assistant chatting with the user with both text and voice\. "
 TEXT_ONLY_PERSONA = "Your Name: Omni\nYour Gender: female \n\nRespond in a text-only manner."
@@ -68,10 +68,9 @@ def canonical_messages(messages: Column) -> Column:
 
 def message_error(messages: Column) -> Column:
     """First defect of a message list: no_messages, unsupported_role or content_not_text; null if it is sound."""
-    sound = F.lit(True)
     bad_role = F.exists(messages, lambda m: ~F.coalesce(canonical_role(m["role"]).isin(*ROLES), F.lit(False)))
     bad_content = F.exists(messages, lambda m: m["content"].isNull())
-    return F.when(messages.isNull() | (F.size(messages) == 0), "no_messages").when(bad_role, "unsupported_role").when(bad_content, "content_not_text").when(~sound, "")
+    return F.when(messages.isNull() | (F.size(messages) == 0), "no_messages").when(bad_role, "unsupported_role").when(bad_content, "content_not_text")
 
 
 def fallback_messages(text: Column, transcript: Column, task: Column) -> Column:
@@ -160,7 +159,7 @@ def first_turn(messages: Column) -> Column:
 
 def rewrite_content(content: Column, role: Column) -> Column:
     """Persona texts removed, prompt variants unified, audio tags replaced (user) or removed (others)."""
-    text = F.regexp_replace(content, "|".join(PERSONA), "")
+    text = F.regexp_replace(content, PERSONA, "")
     text = F.regexp_replace(text, "(?i)" + ASSISTANT_PERSONA, "")
     text = F.regexp_replace(text, "(?i)" + "|".join((ASR_REQUESTS[0], ASR_REQUESTS[2], ASR_REQUESTS[1])), ASR_PROMPT)
     text = F.regexp_replace(text, "(?i)" + TTS_PROMPT + "|" + READ_PROMPT, TTS_PROMPT)

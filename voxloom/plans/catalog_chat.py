@@ -95,7 +95,7 @@ def duration_filter(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "canonical_samples").select("uid", filters.binding_error(F.col("bindings"), F.col("assets")).alias("error"))
 
 
-_CODE = quote(text.CODE_REGEX)
+_CODE, _BARE = quote(text.CODE_REGEX), f"regexp_replace(l, '{quote(text.OUTER_SPACE)}', '', 'g')"
 
 
 @query(f"""
@@ -103,8 +103,8 @@ WITH c AS (SELECT doc_id, text, length(text) - length(replace(text, ';', '')) +
     + (length(text) - length(replace(text, '()', ''))) // 2 AS marks FROM documents)
 SELECT doc_id, coalesce(length(text) > 0 AND (regexp_matches(text, '{_CODE}')
   OR (marks > 0.02 * length(text) AND marks >= 3 AND ((contains(text, '{{') AND contains(text, '}}')) OR (contains(text, ';') AND contains(text, '('))))
-  OR len(list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '(?i){text.CODE_WORDS}')
-    OR (ends_with(trim(l), ';') AND contains(l, '{{')) OR (ends_with(trim(l), '}}') AND contains(l, ';')))) >= 3), false) AS has_code
+  OR len(list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '{quote(text.CODE_WORD_REGEX)}')
+    OR (ends_with({_BARE}, ';') AND contains(l, '{{')) OR (ends_with({_BARE}, '}}') AND contains(l, ';')))) >= 3), false) AS has_code
 FROM c""")
 def code_filter(spark: SparkSession, d: str) -> DataFrame:
     return spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", text.contains_code(F.col("text")).alias("has_code"))
@@ -212,7 +212,7 @@ def first_turn_pair(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""
-WITH {_TURNS}, a AS (SELECT row_id, pos, m.role AS role, regexp_replace(regexp_replace(regexp_replace(regexp_replace(m.content, '{"|".join(chat.PERSONA)}', '', 'g'),
+WITH {_TURNS}, a AS (SELECT row_id, pos, m.role AS role, regexp_replace(regexp_replace(regexp_replace(regexp_replace(m.content, '{chat.PERSONA}', '', 'g'),
     '(?i){chat.ASSISTANT_PERSONA}', '', 'g'), '(?i){"|".join((chat.ASR_REQUESTS[0], chat.ASR_REQUESTS[2], chat.ASR_REQUESTS[1]))}', '{chat.ASR_PROMPT}', 'g'),
     '(?i){chat.TTS_PROMPT}|{chat.READ_PROMPT}', '{chat.TTS_PROMPT}', 'g') AS c FROM turns)
 SELECT row_id, pos, md5(CASE WHEN role IN ('user', 'human') THEN replace(c, '<|audio|>', '{chat.AUDIO_START}{chat.AUDIO_END}') ELSE replace(c, '<|audio|>', '') END) AS digest FROM a""")

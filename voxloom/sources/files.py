@@ -5,7 +5,8 @@ from __future__ import annotations
 import json
 import os
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import PySparkException
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from voxloom.functions.lengths import row_estimate
@@ -130,14 +131,23 @@ def write_jsonl(rows: DataFrame, path: str, overwrite: bool = False) -> None:
 
 
 def write_results(rows: DataFrame, path: str, fail_fast: bool = False) -> dict[str, int]:
-    """Rows with a null ``error`` below ``path/traces``, the rest below ``path/errors``; returns the counts."""
+    """Rows with a null ``error`` below ``path/traces``, the rest below ``path/errors``; returns the counts.
+
+    One pass: the rows are evaluated once, and the counts are observed while they are written.  ``fail_fast`` stops at the
+    first row with an error, which the rows themselves raise.
+    """
+    error = F.col("error")
     if fail_fast:
-        bad = rows.where("error is not null").select("error").head(1)
-        if bad:
-            raise RuntimeError(bad[0]["error"])
-    rows.withColumn("status", F.when(F.col("error").isNull(), "traces").otherwise("errors")).write.mode("overwrite").partitionBy("status").json(path)
-    counts = rows.groupBy(F.col("error").isNull().alias("ok")).agg(F.count(F.lit(1)).alias("n")).collect()
-    return {"traces": sum(r["n"] for r in counts if r["ok"]), "errors": sum(r["n"] for r in counts if not r["ok"])}
+        rows = rows.withColumn("error", F.when(error.isNotNull(), F.raise_error(error).cast("string")))
+    seen = Observation()
+    watched = rows.observe(seen, F.count_if(error.isNull()).alias("traces"), F.count_if(error.isNotNull()).alias("errors"))
+    try:
+        watched.withColumn("status", F.when(error.isNull(), "traces").otherwise("errors")).write.mode("overwrite").partitionBy("status").json(path)
+    except PySparkException as failed:
+        if fail_fast:
+            raise RuntimeError(str(failed).partition("\n")[0]) from failed
+        raise
+    return {name: int(seen.get[name]) for name in ("traces", "errors")}
 
 
 def write_quarantine(rows: DataFrame, path: str) -> None:

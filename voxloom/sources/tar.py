@@ -4,8 +4,10 @@
     spark.read.format("voxloom_tar").option("shards", json.dumps([...])).load()
 
 Options: ``shards`` (JSON list of paths, or of {url, path}), ``source``, ``include_audio`` (false reads sizes only).
-Members of a key must lie together; a key that comes back later starts a new row, which ``broken_runs`` reports.  An
-unreadable entry ends its shard with a row whose error is set, so the rest of the job goes on.
+Members of a key must lie together; a key that comes back later starts a new row, which ``broken_runs`` reports.  Of a suffix
+that occurs twice within a key the first member counts and ``duplicates`` names it.  Where a shard breaks off, the key
+that was being read gives a row with the members read so far and the error, so no half-read sample passes for a sound
+one; the rest of the job goes on.  Paths may be local or urls of any file system pyarrow knows, and http(s) urls.
 """
 
 from __future__ import annotations
@@ -14,7 +16,9 @@ import json
 import re
 import tarfile
 from collections.abc import Iterator
+from typing import IO
 
+import pyarrow as pa
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 # Fixed value: a member path is a key up to the first dot of its file name, then the suffix.
@@ -24,43 +28,67 @@ SCHEMA = (
 )
 
 
+#: Most rows and bytes of members in one Arrow batch (a single larger sample is a batch of its own).
+BATCH_ROWS, BATCH_BYTES = 256, 64 << 20
+_ARROW = pa.schema(
+    [
+        ("source", pa.string()), ("url", pa.string()), ("key", pa.string()), ("place", pa.int64()), ("members", pa.map_(pa.string(), pa.binary())),
+        ("sizes", pa.map_(pa.string(), pa.int64())), ("duplicates", pa.list_(pa.string())), ("error", pa.string()),
+    ]
+)
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    columns = [list(c) for c in zip(*rows)]
+    columns[4:6] = [[list(m.items()) for m in columns[i]] for i in (4, 5)]
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _ARROW)], schema=_ARROW)
+
+
 class ShardPartition(InputPartition):
     def __init__(self, url: str, path: str):
         super().__init__((url, path))
         self.url, self.path = url, path
 
 
-def physical_samples(source: str | None, url: str, path: str, include_audio: bool = True) -> Iterator[tuple]:
-    """Rows of one shard in order."""
-    key, members, sizes, twice, place, error = None, {}, {}, [], 0, None
+def open_shard(path: str) -> IO[bytes]:
+    """A readable stream of a local path or url."""
+    if path.startswith(("http://", "https://")):
+        from urllib.request import urlopen
 
-    def row() -> tuple:
-        return (source, url, key, place, members, sizes, twice, None)
+        return urlopen(path)  # noqa: S310
+    if "://" in path or path.startswith("file:"):
+        from pyarrow.fs import FileSystem
 
+        system, place = FileSystem.from_uri(path)
+        return system.open_input_stream(place)
+    return open(path, "rb")
+
+
+def physical_samples(source: str | None, url: str, path: str, include_audio: bool = True) -> Iterator[tuple]:
+    """Rows of one shard in order."""
+    key, members, sizes, twice, place = None, {}, {}, [], 0
+    broken: str | None = None
     try:
-        with tarfile.open(path, "r|*") as shard:
+        with open_shard(path) as stream, tarfile.open(fileobj=stream, mode="r|*") as shard:
             for entry in shard:
                 match = MEMBER.match(entry.name) if entry.isfile() else None
                 if not match:
                     continue
                 if match[1] != key:
                     if key is not None:
-                        yield row()
+                        yield (source, url, key, place, members, sizes, twice, None)
                         place += 1
                     key, members, sizes, twice = match[1], {}, {}, []
                 if match[2] in sizes:
                     twice.append(match[2])
                     continue
-                sizes[match[2]] = entry.size
                 if include_audio or match[2].endswith("json"):
                     members[match[2]] = shard.extractfile(entry).read()
-    except (tarfile.TarError, OSError, EOFError) as broken:
-        error = f"{type(broken).__name__}: {broken}"
-    if key is not None:
-        yield row()
-        place += 1
-    if error:
-        yield (source, url, None, place, {}, {}, [], error[:4096])
+                sizes[match[2]] = entry.size
+    except (tarfile.TarError, OSError, EOFError, pa.ArrowException) as error:
+        broken = f"{type(error).__name__}: {error}"[:4096]
+    if key is not None or broken:
+        yield (source, url, key, place, members, sizes, twice, broken)
 
 
 class TarReader(DataSourceReader):
@@ -72,8 +100,16 @@ class TarReader(DataSourceReader):
     def partitions(self) -> list[ShardPartition]:
         return [ShardPartition(*s) for s in self.shards]
 
-    def read(self, partition: ShardPartition) -> Iterator[tuple]:
-        yield from physical_samples(self.source, partition.url, partition.path, self.include_audio)
+    def read(self, partition: ShardPartition) -> Iterator[pa.RecordBatch]:
+        rows, held = [], 0
+        for row in physical_samples(self.source, partition.url, partition.path, self.include_audio):
+            rows.append(row)
+            held += sum(map(len, row[4].values()))
+            if len(rows) >= BATCH_ROWS or held >= BATCH_BYTES:
+                yield _batch(rows)
+                rows, held = [], 0
+        if rows:
+            yield _batch(rows)
 
 
 class TarSource(DataSource):
