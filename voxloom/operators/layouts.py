@@ -71,10 +71,10 @@ def resolve_layout(members: Column, forced: Column | None = None) -> Column:
 
 
 def audit_layout(members: Column) -> Column:
-    """Layout by clues (any question or response member; any audio member or task sidecar), for precise reports."""
+    """Layout by clues (a json, question or response member; a task sidecar or audio member), for precise reports."""
     keys = F.map_keys(members)
-    pair = F.exists(keys, lambda k: k.rlike(r"(?i)^(question|response)\."))
-    shared = F.exists(keys, lambda k: k.rlike(rf"(?i)^audio\.({_AUDIO})$|^({'|'.join(TASKS)})\.json$"))
+    pair = F.exists(keys, lambda k: (k == "json") | k.startswith("question.") | k.startswith("response."))
+    shared = F.exists(keys, lambda k: k.startswith("audio.") | k.isin(*[f"{t}.json" for t in TASKS if t != "s2s"]))
     return F.when(pair & shared, "ambiguous").when(pair, "s2s_pair").when(shared, "shared_audio_tasks").otherwise("unknown")
 
 

@@ -9,7 +9,7 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import BinaryType, DoubleType
 
 
 def wav_seconds(data: bytes | None) -> float | None:
@@ -42,3 +42,12 @@ def audio_seconds(data: Column, other: Callable[[bytes], float | None] | None =
         return batch.map(one).astype("float64")
 
     return F.pandas_udf(measure, DoubleType())(data)
+
+
+def silence(frames: Column, rate: Column) -> Column:
+    """WAV bytes of silent mono samples."""
+
+    def make(number: pd.Series, hertz: pd.Series) -> pd.Series:
+        return pd.Series([wav_bytes(b"\0\0" * int(n), int(r)) for n, r in zip(number, hertz)], dtype=object)
+
+    return F.pandas_udf(make, BinaryType())(frames, rate)

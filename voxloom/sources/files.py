@@ -97,11 +97,20 @@ def read_corpus_parquet(spark: SparkSession, path: str) -> DataFrame | None:
     return rows if {"generated_text", "generated_wav"} <= set(rows.columns) else None
 
 
+def listed(spark: SparkSession, path: str) -> list[str] | None:
+    """Names of the files directly below a path of any file system (the file itself); None if there is nothing."""
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    system = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return [s.getPath().getName() for s in system.listStatus(place)] if system.exists(place) else None
+
+
 def load_any(spark: SparkSession, path: str) -> DataFrame | None:
     """Parquet, JSON array or JSONL by name; None for a path that does not exist (a warning upstream, no error)."""
-    if "://" not in path and not os.path.exists(path):
+    names = listed(spark, path)
+    if names is None:
         return None
-    if path.endswith(".parquet") or (os.path.isdir(path) and any(n.endswith(".parquet") for _, _, names in os.walk(path) for n in names)):
+    if path.endswith(".parquet") or any(n.endswith(".parquet") for n in names):
         return spark.read.option("recursiveFileLookup", True).parquet(path)
     return read_chat_jsonl(spark, path, multi_line=path.endswith(".json"))
 
@@ -114,7 +123,9 @@ def sidecar_path(path: str) -> str:
 def prefer_sidecar(path: str, budget: int | None) -> str:
     """The file with measured durations if a token budget needs them and it exists."""
     side = sidecar_path(path)
-    return side if budget is not None and os.path.exists(side) else path
+    session = SparkSession.getActiveSession()
+    there = listed(session, side) is not None if session else os.path.exists(side)
+    return side if budget is not None and there else path
 
 
 def with_estimates(rows: DataFrame, durations: Column) -> DataFrame:

@@ -6,6 +6,8 @@ import json
 import os
 import re
 
+from voxloom.sources.tar import open_shard
+
 
 def expand_braces(pattern: str) -> list[str]:
     """``a-{000..002}.tar`` and ``{x,y}`` expanded, from left to right; numbers keep their width."""
@@ -38,8 +40,8 @@ def load_manifest(path: str) -> list[dict[str, str]]:
 
     Relative paths are taken from the manifest's folder; remote urls stay.  Empty manifests and repeated urls are errors.
     """
-    with open(path, encoding="utf-8") as file:
-        content = file.read()
+    with open_shard(path) as file:
+        content = file.read().decode("utf-8")
     if path.endswith(".jsonl"):
         entries = [json.loads(line) for line in content.splitlines() if line.strip()]
     elif path.endswith(".json"):
@@ -48,7 +50,7 @@ def load_manifest(path: str) -> list[dict[str, str]]:
     else:
         entries = [line.split("#", 1)[0].strip() for line in content.splitlines()]
         entries = [line for line in entries if line]
-    base, out = os.path.dirname(os.path.abspath(path)), []
+    base, out = os.path.dirname(path) if ":" in path else os.path.dirname(os.path.abspath(path)), []
     for entry in entries:
         entry = {"url": entry} if isinstance(entry, str) else entry
         if entry.get("disabled"):

@@ -12,6 +12,7 @@ one; the rest of the job goes on.  Paths may be local or urls of any file system
 
 from __future__ import annotations
 
+import io
 import json
 import re
 import tarfile
@@ -59,7 +60,7 @@ def open_shard(path: str) -> IO[bytes]:
     if "://" in path or path.startswith("file:"):
         from pyarrow.fs import FileSystem
 
-        system, place = FileSystem.from_uri(path)
+        system, place = FileSystem.from_uri(path.replace("file:/", "file:///", 1) if path.startswith("file:/") and not path.startswith("file://") else path)
         return system.open_input_stream(place)
     return open(path, "rb")
 
@@ -129,3 +130,73 @@ def read_shards(spark, shards: list, source: str | None = None, include_audio: b
     spark.dataSource.register(TarSource)
     reader = spark.read.format("voxloom_tar").option("shards", json.dumps(shards)).option("include_audio", str(include_audio).lower())
     return (reader.option("source", source) if source else reader).load()
+
+
+def read_members(spark, shards: list):
+    """``(shard, place, name, size, text)``: every regular member of tar shards in order; text of json members only.
+
+    A shard that breaks off ends with a row whose name is null and whose text is the error.
+    """
+    listed = [(s, s) if isinstance(s, str) else (s["url"], s.get("path") or s["url"]) for s in shards]
+    rows = spark.createDataFrame(listed, "url string, path string")
+
+    def run(batches):
+        for batch in batches:
+            for url, path in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                held = []
+                try:
+                    with open_shard(path) as stream, tarfile.open(fileobj=stream, mode="r|*") as shard:
+                        for entry in shard:
+                            if entry.isfile():
+                                text = shard.extractfile(entry).read().decode("utf-8", "replace") if entry.name.endswith("json") else None
+                                held.append((url, len(held), entry.name, entry.size, text))
+                except (tarfile.TarError, OSError, EOFError, pa.ArrowException) as error:
+                    held.append((url, len(held), None, None, f"{type(error).__name__}: {error}"[:4096]))
+                columns = list(zip(*held)) or [[]] * 5
+                types = (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["shard", "place", "name", "size", "text"])
+
+    return rows.repartition(max(1, len(listed))).mapInArrow(run, "shard string, place bigint, name string, size bigint, text string")
+
+
+def write_shards(members, folder: str) -> list[dict[str, str]]:
+    """Tar shards of ``members (shard, name, data)`` in a shared folder, members in the order of their names.
+
+    Each shard is written by one task as a stream.  Returns ``[{url, path}]``, one entry per shard.
+    """
+    from pyspark.sql import functions as F
+
+    def run(batches):
+        open_name, out, made = None, None, []
+
+        def close():
+            if out:
+                out[0].close()
+                out[1].close()
+
+        for batch in batches:
+            for shard, name, data in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                if shard != open_name:
+                    close()
+                    path = f"{folder}/{shard.replace('/', '_')}"
+                    stream = open_sink(path)
+                    open_name, out = shard, (tarfile.open(fileobj=stream, mode="w|"), stream)
+                    made.append((shard, path))
+                info = tarfile.TarInfo(name)
+                info.size = len(data or b"")
+                out[0].addfile(info, io.BytesIO(data or b""))
+        close()
+        yield pa.RecordBatch.from_arrays([pa.array([m[i] for m in made], pa.string()) for i in (0, 1)], names=["url", "path"])
+
+    placed = members.select("shard", "name", F.col("data").cast("binary")).where("shard is not null and name is not null")
+    placed = placed.repartition("shard").sortWithinPartitions("shard", "name").mapInArrow(run, "url string, path string")
+    return [r.asDict() for r in placed.collect()]
+
+
+def open_sink(path: str):
+    """A stream that replaces the file at a local path or url."""
+    from pyarrow.fs import FileSystem
+
+    system, place = FileSystem.from_uri(path.replace("file:/", "file:///", 1) if path.startswith("file:/") and not path.startswith("file://") else path)
+    system.create_dir(place.rpartition("/")[0], recursive=True)
+    return system.open_output_stream(place)
