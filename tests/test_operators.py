@@ -259,3 +259,31 @@ def test_seeded_choice_does_not_depend_on_partitions(spark):
     b = [r[0] for r in sampling.seeded_order(rows.coalesce(1), "id", 3).orderBy("position").collect()]
     assert a == b and a != sorted(a)
     random.shuffle(a)
+
+
+def test_refill_keeps_batches_full_while_the_cost_allows():
+    limits = BatchLimits(max_cost=100, max_samples=3)
+    assert batching.fold_refill([(10,)] * 7, [True] * 7, limits) == [0, 0, 0, 1, 1, 1, 2]
+    # the second row fails: the fourth takes its place, and the next batch begins with the fifth
+    assert batching.fold_refill([(10,)] * 7, [True, False, *[True] * 5], limits) == [0, None, 0, 0, 1, 1, 1]
+    # a replacement that would cost too much waits for the next batch
+    assert batching.fold_refill([(10,), (10,), (10,), (60,), (10,)], [True, False, True, True, True], limits) == [0, None, 0, 1, 2]
+    # replacements may fail too
+    assert batching.fold_refill([(10,)] * 6, [False, True, True, False, True, True], limits) == [None, 0, 0, None, 0, 1]
+    assert batching.fold_refill([], [], limits) == []
+    with pytest.raises(RuntimeError):
+        batching.fold_refill([(1,)] * 9, [False] * 9, limits, most_errors=5)
+
+
+def test_audit_of_odd_shards(spark):
+    from voxloom.operators import audit
+
+    rows = [
+        ("a", 0, "k1.json", 2, "{}"), ("a", 1, "k1.question.wav", 5, None), ("a", 2, "k1.response.wav", 0, None), ("a", 3, "k2.audio.mp3", 5, None), ("a", 4, "k2.asr.json", 3, "{x"),
+        ("a", 5, "k1.json", 2, "{}"), ("a", 6, "noname", 1, None), ("b", 0, "k.audio.wav", 1, None), ("b", 1, "k.audio.wav", 1, None), ("c", 0, None, None, "ReadError: x"),
+    ]
+    made = audit.report(audit.audited(spark.createDataFrame(rows, "shard string, place bigint, name string, size bigint, text string")))
+    assert made["summary"] == {"shards": 3, "members": 9, "member_bytes": 20, "physical_samples": 4, "logical_samples": 2, "errors": 7} and not made["ok"]
+    assert made["error_types"] == {"DuplicateMember": 1, "EmptyMember": 1, "InvalidMemberName": 1, "MetadataDecode": 1, "MissingMember": 1, "NonContiguousKey": 1, "UnreadableShard": 1}
+    assert made["layouts"] == {"s2s_pair": 2, "shared_audio_tasks": 1} and made["tasks"] == {"asr": 1, "s2s": 1} and made["audio_codecs"] == {"mp3": 1, "wav": 4}
+    assert [(e["shard"], e["error"]) for e in made["error_examples"]][0] == ("a", "EmptyMember")

@@ -157,6 +157,30 @@ def first_turn(messages: Column) -> Column:
     return F.when(user_found, F.slice(messages, user, length))
 
 
+def kept_audios(messages: Column, audios: Column) -> Column:
+    """The audio paths of the messages that ``first_turn`` keeps: one for each message with a tag; null without a turn.
+
+    Every tagged message before the turn takes one path from the front; paths that are missing are not made up.
+    """
+    roles = F.transform(messages, lambda m: canonical_role(m["role"]))
+    user = F.array_position(roles, "user").cast("int")
+
+    def tagged(some: Column) -> Column:
+        return F.size(F.filter(some, lambda m: F.coalesce(m["content"].contains(AUDIO_TAG), F.lit(False))))
+
+    turn = first_turn(messages)
+    before = tagged(F.slice(messages, 1, F.greatest(user - 1, F.lit(0))))
+    paths = F.coalesce(audios, F.array().cast("array<string>"))
+    return F.when(turn.isNotNull(), F.slice(paths, before + 1, tagged(turn)))
+
+
+def audio_paths_error(messages: Column, audios: Column) -> Column:
+    """Whether messages with a tag and audio paths pair up: tag_count where their numbers differ, path_missing for a null path."""
+    tags = F.size(F.filter(messages, lambda m: F.coalesce(m["content"].contains(AUDIO_TAG), F.lit(False))))
+    paths = F.coalesce(audios, F.array().cast("array<string>"))
+    return F.when(F.greatest(tags, F.lit(0)) != F.size(paths), "tag_count").when(F.exists(paths, lambda p: p.isNull()), "path_missing")
+
+
 def rewrite_content(content: Column, role: Column) -> Column:
     """Persona texts removed, prompt variants unified, audio tags replaced (user) or removed (others)."""
     text = F.regexp_replace(content, PERSONA, "")

@@ -187,3 +187,78 @@ def top_k(rows: DataFrame, group: str, weight: str, key: str, k: int) -> DataFra
     return rows.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+
+
+class BlockFold:
+    """Blocks of at most ``rows`` rows and ``size`` bytes; a larger row is a block of its own."""
+
+    def __init__(self, rows: int, size: int | None):
+        self.rows, self.size, self.number, self.held, self.total = rows, size, -1, rows, 0
+
+    def place(self, cost: tuple) -> int:
+        over = self.size is not None and self.total + cost[0] > self.size
+        if self.held >= self.rows or over:
+            self.number, self.held, self.total = self.number + 1, 0, 0
+        self.held, self.total = self.held + 1, self.total + cost[0]
+        return self.number
+
+
+def bounded_shuffle(rows: DataFrame, groups: list[str], order: list[str], key: str, size: str, max_rows: int, max_bytes: int | None, seed: int) -> DataFrame:
+    """Adds batch and place: rows shuffled by hash inside blocks that a buffer of so many rows and bytes can hold.
+
+    A row larger than the buffer passes alone in its place.
+    """
+    if max_rows < 1 or (max_bytes is not None and max_bytes < 1):
+        raise ValueError("the bounds of a shuffle must be positive")
+    blocks = fold_rows(rows, groups, order, [size], lambda: BlockFold(max_rows, max_bytes))
+    place = F.row_number().over(Window.partitionBy(*groups, "batch").orderBy(seeded(F.col(key), seed), key)) - 1
+    return blocks.withColumn("place", place)
+
+
+def fold_refill(costs: list[tuple], sound: list[bool], limits: BatchLimits, most_errors: int = 32) -> list[int | None]:
+    """Batch of every row of a queue whose rows may fail to decode; None for failed rows.
+
+    A batch is formed as if all rows were sound.  A row that fails is replaced by the next of the queue, as long as the
+    padded cost allows it; then the next batch is formed from what is left.
+    """
+    out: list[int | None] = [None] * len(costs)
+    at, number, errors = 0, 0, 0
+
+    def cost(some: list[int]) -> int:
+        return len(some) * sum(max(costs[i][f] for i in some) for f in range(len(costs[0])))
+
+    while at < len(costs):
+        fold, begin = GreedyFold(limits), at
+        while at < len(costs) and fold.place(costs[at]) in (0, None):
+            at += 1
+        target, kept, queue = at - begin, [], list(range(begin, at))
+        while len(kept) < target:
+            if queue:
+                i = queue.pop(0)
+            elif at < len(costs) and (limits.max_cost is None or cost([*kept, at]) <= limits.max_cost):
+                i, at = at, at + 1
+            else:
+                break
+            errors = 0 if sound[i] else errors + 1
+            if errors >= most_errors:
+                raise RuntimeError("too many rows in a row could not be decoded")
+            if sound[i]:
+                kept.append(i)
+                out[i] = number
+        number += bool(kept)
+    return out
+
+
+def refilled_batches(rows: DataFrame, groups: list[str], order: list[str], fields: list[str], sound: str, limits: BatchLimits) -> DataFrame:
+    """Adds batch: see ``fold_refill``; groups are pools of bounded size, rows that could not be decoded leave."""
+    import pandas as pd
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields) + ", batch int"
+
+    def fold(pool: pd.DataFrame) -> pd.DataFrame:
+        pool = pool.sort_values(order, kind="stable")
+        placed = fold_refill(list(pool[fields].astype("int64").itertuples(index=False, name=None)), pool[sound].tolist(), limits)
+        pool = pool.assign(batch=pd.array(placed, dtype="Int32"))
+        return pool[pool["batch"].notna()].astype({"batch": "int32"})
+
+    return rows.groupBy(*groups).applyInPandas(fold, schema)

@@ -22,6 +22,13 @@ def binding_error(bindings: Column, assets: Column) -> Column:
     return F.try_element_at(F.filter(found, lambda e: e.isNotNull()), F.lit(1))
 
 
+def unknown_asset(bindings: Column, assets: Column) -> Column:
+    """The asset that the first binding (by message and tag) names and the row does not hold; null if all are there."""
+    ordered = F.array_sort(F.transform(bindings, lambda b: F.struct(b["message_index"].alias("m"), b["tag_index_in_message"].alias("t"), b["asset_id"].alias("asset_id"))))
+    held = F.coalesce(F.map_keys(assets), F.array().cast("array<string>"))
+    return F.try_element_at(F.filter(ordered, lambda b: ~F.array_contains(held, b["asset_id"])), F.lit(1))["asset_id"]
+
+
 def quality_error(messages: Column, case_dir: Column, strategy: Column, turns: Column) -> Column:
     """First reason to reject a row: duplex policy, then code or CJK in an assistant message."""
     return F.coalesce(duplex_error(case_dir, strategy, turns), content_error(messages))

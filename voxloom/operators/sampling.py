@@ -5,7 +5,7 @@ Every choice comes from a hash of an identifier, so it does not depend on partit
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxloom.functions.chat import TASKS
@@ -136,3 +136,34 @@ def consumer_plan(shards: DataFrame, url: str, mode: str, consumers: int, seed:
     slots = shards.sparkSession.range(consumers * draws).select((F.col("id") % consumers).cast("int").alias("consumer"), F.floor(F.col("id") / consumers).alias("slot"))
     key = F.concat_ws(":", F.lit(epoch).cast("string"), "consumer", "slot")
     return slots.withColumn("position", F.floor(seeded(key, seed) * n)).join(placed, "position").select("consumer", "slot", "url")
+
+
+def window_shuffle(rows: DataFrame, groups: list[str], order: list[str], key: str, size: int, seed: int) -> DataFrame:
+    """Adds place: rows in ``order``, shuffled by hash inside every window of ``size`` positions of their group."""
+    placed = with_group_position(rows, groups, *order).withColumn("__window", F.floor(F.col("position") / size)).drop("position")
+    shuffled = placed.withColumn("__u", seeded(F.col(key), seed))
+    # windows are bounded, so a window function over one of them is too
+    inside = F.row_number().over(Window.partitionBy(*groups, "__window").orderBy("__u", key)) - 1
+    return shuffled.withColumn("place", F.col("__window") * size + inside).drop("__window", "__u")
+
+
+def next_token(rows: DataFrame, group: str, key: str, logit: str, temperature: float = 1.0, k: int = 0, p: float = 1.0, seed: int = 0, greedy: bool = False) -> DataFrame:
+    """``(group, key)``: one key drawn for each group from its logits, or the likeliest one.
+
+    Logits are divided by the temperature, cut to the k largest (ties with the k-th stay), then to the likeliest keys up to and
+    with the one that crosses the share p; the draw compares a hash of the group with the cumulated shares.
+    """
+    own = F.col(logit) / temperature if temperature > 0 and temperature != 1.0 else F.col(logit).cast("double")
+    per = Window.partitionBy(group)
+    ordered = per.orderBy(F.desc("__l"), key)
+    rows = rows.select(group, key, own.alias("__l"))
+    if k > 0:
+        rows = rows.withColumn("__r", F.rank().over(per.orderBy(F.desc("__l")))).where(F.col("__r") <= k).drop("__r")
+    if greedy:
+        return rows.withColumn("__r", F.row_number().over(ordered)).where("__r = 1").select(group, key)
+    rows = rows.withColumn("__w", F.exp(F.col("__l") - F.max("__l").over(per)))
+    before = F.coalesce(F.sum("__w").over(ordered.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    rows = rows.withColumn("__before", before).withColumn("__all", F.sum("__w").over(per))
+    rows = rows.where(F.col("__before") <= p * F.col("__all")) if p < 1.0 else rows
+    aim = seeded(F.col(group), seed) * F.sum("__w").over(per)
+    return rows.withColumn("__hit", F.col("__before") <= aim).where("__hit").groupBy(group).agg(F.max_by(key, "__before").alias(key))

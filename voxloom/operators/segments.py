@@ -147,3 +147,18 @@ def history_of(messages: Column, separator: str = "\n") -> Column:
     """For a message array: an array with the joined contents before each message, without any shuffle."""
     contents = F.transform(messages, lambda m: F.coalesce(m["content"], F.lit("")))
     return F.transform(messages, lambda m, i: F.concat_ws(separator, F.slice(contents, F.lit(1), i)))
+
+
+def shifted(labels: Column, ignore: int = -100) -> Column:
+    """Labels of the next position; the last position has none and gets ``ignore``."""
+    return F.when(F.size(labels) > 0, F.concat(F.slice(labels, 2, F.size(labels)), F.array(F.lit(ignore)))).otherwise(labels)
+
+
+def target_spans(packed: DataFrame, offset: str = "offset", length: str = "length") -> DataFrame:
+    """Adds first_target and targets: which of the shifted losses of its batch a packed sample owns.
+
+    Loss t of a batch is that of token t + 1, so it belongs to the sample of that token: the first sample of a batch owns
+    one loss less than it has tokens, and every other one begins with the loss of the token before it.
+    """
+    begins = F.col(offset) == 0
+    return packed.withColumn("first_target", F.greatest(F.col(offset) - 1, F.lit(0))).withColumn("targets", F.greatest(F.col(length) - F.when(begins, 1).otherwise(0), F.lit(0)))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from voxloom.plans import catalog_batches, catalog_chat, catalog_eval, catalog_frames, catalog_rows, catalog_sources, catalog_streams  # noqa: F401
+from voxloom.plans import catalog_batches, catalog_chat, catalog_eval, catalog_frames, catalog_rows, catalog_sources, catalog_streams, catalog_tokens  # noqa: F401
 from voxloom.plans.registry import ORACLES, QUERIES, Query
 
 
