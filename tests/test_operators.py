@@ -287,3 +287,12 @@ def test_audit_of_odd_shards(spark):
     assert made["error_types"] == {"DuplicateMember": 1, "EmptyMember": 1, "InvalidMemberName": 1, "MetadataDecode": 1, "MissingMember": 1, "NonContiguousKey": 1, "UnreadableShard": 1}
     assert made["layouts"] == {"s2s_pair": 2, "shared_audio_tasks": 1} and made["tasks"] == {"asr": 1, "s2s": 1} and made["audio_codecs"] == {"mp3": 1, "wav": 4}
     assert [(e["shard"], e["error"]) for e in made["error_examples"]][0] == ("a", "EmptyMember")
+
+
+def test_pooled_segments_of_odd_vectors(spark):
+    rows = [("a", 0, 0, [1.0, 2.0]), ("a", 1, 0, [3.0, None]), ("a", 2, 1, [5.0, 7.0]), (None, 0, 0, [1.0, 1.0]), ("b", 0, 0, None), ("c", 0, 0, [1.0]), ("c", 1, 0, [1.0, 4.0])]
+    frames = spark.createDataFrame(rows, "seq_id string, t int, segment int, vec array<double>").repartition(3)
+    made = {(r["seq_id"], r["segment"]): (r["sums"], r["frames"]) for r in segments.segment_sums(frames).collect()}
+    assert made == {("a", 0): ([4.0, 2.0], 2), ("a", 1): ([5.0, 7.0], 1), (None, 0): ([1.0, 1.0], 1), ("c", 0): ([2.0, 4.0], 2)}
+    assert {r["seq_id"]: r["vec"] for r in segments.pooled_vectors(frames.where("seq_id = 'c'")).collect()} == {"c": [1.0, 2.0]}
+    assert segments.segment_sums(frames.limit(0)).count() == 0

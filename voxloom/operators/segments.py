@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,11 +16,15 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def adjacent_similarity(frames: DataFrame, seq: str = "seq_id", t: str = "t", vec: str = "vec") -> DataFrame:
-    """Adds sim: cosine with the frame before, rounded to 6 places; null for the first frame, 0 where a norm is 0."""
-    before = F.lag(vec).over(Window.partitionBy(seq).orderBy(t))
-    norm = F.sqrt(dot(F.col(vec), F.col(vec)) * dot(F.col("__before"), F.col("__before")))
-    sim = F.coalesce(dot(F.col(vec), F.col("__before")) / F.nullif(norm, F.lit(0.0)), F.lit(0.0))
-    return frames.withColumn("__before", before).withColumn("sim", F.when(F.col("__before").isNotNull(), F.round(sim, 6))).drop("__before")
+    """Adds sim: cosine with the frame before, rounded to 6 places; null for the first frame, 0 where a norm is 0.
+
+    The norm of a frame is computed once and travels with it to the next one.
+    """
+    own = frames.withColumn("__own", F.struct(F.col(vec).alias("v"), dot(F.col(vec), F.col(vec)).alias("n")))
+    own = own.withColumn("__before", F.lag("__own").over(Window.partitionBy(seq).orderBy(t)))
+    norm = F.sqrt(F.col("__own.n") * F.col("__before.n"))
+    sim = F.coalesce(dot(F.col(vec), F.col("__before.v")) / F.nullif(norm, F.lit(0.0)), F.lit(0.0))
+    return own.withColumn("sim", F.when(F.col("__before").isNotNull(), F.round(sim, 6))).drop("__own", "__before")
 
 
 def _flag(cond: Column) -> Column:
@@ -69,16 +78,58 @@ def segment_frames(frames: DataFrame, value: float, base: float, uniform: bool =
     return threshold_segments(adjacent_similarity(frames), value)
 
 
+def segment_sums(frames: DataFrame, seq: str = "seq_id", vec: str = "vec") -> DataFrame:
+    """``(seq, segment, sums, frames)``: sum of the vectors of every segment.
+
+    Arrow batches are summed where they are, one row for each segment in them, so no frame is ever spread over its
+    dimensions; what is left of a segment are the few batches it lies in.
+    """
+    kind = frames.schema[seq].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = batch.filter(batch.column(2).is_valid())
+            if not held.num_rows:
+                continue
+            codes = pc.fill_null(held.column(0).dictionary_encode().indices, -1).to_numpy(zero_copy_only=False).astype(np.int64)
+            segment = held.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
+            _, first, group, number = np.unique(codes * (segment.max() + 1) + segment, return_index=True, return_inverse=True, return_counts=True)
+            order = np.argsort(group, kind="stable")
+            vectors = held.column(2)
+            widths = pc.list_value_length(vectors).to_numpy(zero_copy_only=False)
+            if (widths == widths[0]).all():
+                flat = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(widths), -1)
+                sums = np.add.reduceat(np.nan_to_num(flat[order]), np.cumsum(number) - number, axis=0)
+                made = pa.ListArray.from_arrays(pa.array(np.arange(len(number) + 1, dtype=np.int32) * sums.shape[1]), pa.array(sums.ravel()))
+            else:
+                made = pa.array([_uneven(vectors.take(pa.array(rows))) for rows in np.split(order, np.cumsum(number)[:-1])], pa.list_(pa.float64()))
+            rows = pa.array(first)
+            yield pa.RecordBatch.from_arrays([held.column(0).take(rows), held.column(1).take(rows), made, pa.array(number, pa.int64())], names=[seq, "segment", "sums", "frames"])
+
+    parts = frames.select(seq, F.col("segment").cast("int").alias("segment"), F.col(vec).cast("array<double>").alias("__v"))
+    parts = parts.mapInArrow(run, f"`{seq}` {kind}, segment int, sums array<double>, frames bigint")
+    added = F.aggregate(F.collect_list("sums"), F.array().cast("array<double>"), lambda a, b: F.zip_with(a, b, lambda x, y: F.coalesce(x, F.lit(0.0)) + F.coalesce(y, F.lit(0.0))))
+    return parts.groupBy(seq, "segment").agg(added.alias("sums"), F.sum("frames").alias("frames"))
+
+
+def _uneven(vectors: pa.Array) -> np.ndarray:
+    """Sum of vectors of different widths: missing dimensions count nothing."""
+    some = [np.array(v, np.float64) for v in vectors.to_pylist()]
+    out = np.zeros(max(map(len, some)))
+    for v in some:
+        out[: len(v)] += np.nan_to_num(v)
+    return out
+
+
 def pool_segments(frames: DataFrame, seq: str = "seq_id", vec: str = "vec") -> DataFrame:
     """``(seq, segment, dim, mean, frames)``: mean of every dimension of every segment."""
-    long = frames.select(seq, "segment", F.posexplode(vec).alias("dim", "x"))
-    return long.groupBy(seq, "segment", "dim").agg(F.avg(F.col("x").cast("double")).alias("mean"), F.count(F.lit(1)).alias("frames"))
+    made = segment_sums(frames, seq, vec)
+    return made.select(seq, "segment", F.posexplode("sums").alias("dim", "x"), "frames").select(seq, "segment", "dim", (F.col("x") / F.col("frames")).alias("mean"), "frames")
 
 
 def pooled_vectors(frames: DataFrame, seq: str = "seq_id", vec: str = "vec") -> DataFrame:
-    """``(seq, segment, vec)``: pooled vectors in order of their dimensions."""
-    parts = pool_segments(frames, seq, vec).groupBy(seq, "segment").agg(F.sort_array(F.collect_list(F.struct("dim", "mean"))).alias("p"))
-    return parts.select(seq, "segment", F.transform("p", lambda x: x["mean"]).alias(vec))
+    """``(seq, segment, vec)``: pooled vectors."""
+    return segment_sums(frames, seq, vec).select(seq, "segment", F.transform("sums", lambda x: x / F.col("frames")).alias(vec))
 
 
 def segment_sizes(frames: DataFrame, seq: str = "seq_id") -> DataFrame:

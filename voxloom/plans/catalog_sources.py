@@ -321,11 +321,11 @@ _SOUNDS = """SELECT uid, e.key AS asset, (e.value.num_frames % 4000)::INT AS fra
 WHERE e.value.num_frames >= 0 AND e.value.sample_rate > 0"""
 
 
-@query(f"SELECT uid, asset, frames, round(max(CASE WHEN frames % 5 = 0 THEN NULL ELSE frames / rate END), 6) AS seconds, count(*) AS n FROM ({_SOUNDS}) GROUP BY ALL")
+@query(f"SELECT uid, asset, frames, round(max(CASE WHEN frames % 5 = 0 THEN NULL ELSE frames / rate END), 9) AS seconds, count(*) AS n FROM ({_SOUNDS}) GROUP BY ALL")
 def wav_durations(spark: SparkSession, d: str) -> DataFrame:
     """Durations from WAV headers; bytes that are no WAV have none."""
     rows = table(spark, d, "canonical_samples").select("uid", F.to_json("assets").alias("same"), "assets").dropDuplicates(["uid", "same"]).select("uid", F.explode("assets").alias("asset", "a"))
     rows = rows.where("a.num_frames >= 0 and a.sample_rate > 0").select("uid", "asset", (F.col("a.num_frames") % 4000).cast("int").alias("frames"), F.col("a.sample_rate").alias("rate"))
     sound = F.when(F.col("frames") % 5 == 0, F.lit("no sound").cast("binary")).otherwise(audio.silence(F.col("frames"), F.col("rate")))
     timed = rows.withColumn("seconds", audio.audio_seconds(sound))
-    return timed.groupBy("uid", "asset", "frames").agg(F.round(F.max("seconds"), 6).alias("seconds"), F.count(F.lit(1)).alias("n"))
+    return timed.groupBy("uid", "asset", "frames").agg(F.round(F.max("seconds"), 9).alias("seconds"), F.count(F.lit(1)).alias("n"))

@@ -6,16 +6,18 @@ import json
 import os
 
 from pyspark.errors import PySparkException
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from voxloom.functions.lengths import row_estimate
 from voxloom.functions.text import safe_stem
-from voxloom.operators.ranking import with_position
 from voxloom.operators.setops import duplicates
+from voxloom.session import cut_lineage
 
 MESSAGES = "array<struct<role:string,content:string>>"
 CHAT_SCHEMA = f"messages {MESSAGES}, audios array<string>, audio_durations array<double>, audio_tokens array<bigint>, num_tokens_est bigint"
+#: File splits whose line counts may be broadcast (about 100 bytes each).
+MOST_SPLITS = 200_000
 AUDIO = "struct<path:string,bytes:binary,array:array<float>,sampling_rate:int>"
 
 
@@ -29,9 +31,19 @@ def read_chat_jsonl(spark: SparkSession, path: str, extra: str = "", multi_line:
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """``(line_no, value)``: lines of text files numbered from 0 in file order, blank lines included."""
+    """``(line_no, value)``: lines of text files numbered from 0 in file order, blank lines included.
+
+    Lines are counted by split first; a line's number is the lines of earlier splits and its place in its own, so no text
+    moves.  The splits (one row each) are broadcast while there are at most ``MOST_SPLITS``, else joined.
+    """
     lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("__f"), F.col("_metadata.file_block_start").alias("__b"), F.monotonically_increasing_id().alias("__i"))
-    return with_position(lines, "__f", "__b", "__i", name="line_no").select("line_no", "value")
+    splits = lines.groupBy("__f", "__b").agg(F.count(F.lit(1)).alias("__n"), F.min("__i").alias("__first"))
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("__f", "__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    splits = cut_lineage(splits.select("__f", "__b", "__first", before.alias("__before")))
+    if splits.count() <= MOST_SPLITS:
+        splits = F.broadcast(splits)
+    numbered = lines.join(splits, ["__f", "__b"])
+    return numbered.select((F.col("__before") + F.col("__i") - F.col("__first")).alias("line_no"), "value")
 
 
 def read_requests(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
