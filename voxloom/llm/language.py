@@ -112,9 +112,33 @@ class Model:
     temper: tuple[float, float] = (0.4, 0.5)
     levels: tuple[tuple[float, ...], tuple[float, ...]] = ((0.0, 1.0), (0.0, 1.0))
     memory: dict[str, np.ndarray] = field(default_factory=dict)
+    ids: dict[str, int] = field(default_factory=dict)
+    table: np.ndarray | None = None
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"memory": {}}
+        return self.__dict__ | {"memory": {}, "ids": {}, "table": None}
+
+    def units(self, words: list[list[str]]) -> np.ndarray:
+        """Scores of many units at once, one row each: words become rows of a table, which are summed by unit."""
+        flat = [w for some in words for w in some]
+        if self.table is None or len(self.ids) > 200_000:
+            self.ids, self.table = {}, np.zeros((1 << 12, len(self.languages)))
+        known = self.ids.get
+        at = np.array([known(w, -1) for w in flat], np.int64)
+        for i in np.flatnonzero(at < 0).tolist():
+            word = flat[i]
+            place = known(word, -1)
+            if place < 0:
+                place = self.ids[word] = len(self.ids)
+                if place == len(self.table):
+                    self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+                self.table[place] = self.word(word)
+            at[i] = place
+        lengths = np.array([len(some) for some in words], np.int64)
+        out = np.zeros((len(words), len(self.languages)))
+        if len(flat):
+            out[lengths > 0] = np.add.reduceat(self.table[at], (np.cumsum(lengths) - lengths)[lengths > 0], axis=0)
+        return out
 
     def word(self, word: str) -> np.ndarray:
         score = self.memory.get(word)
@@ -177,40 +201,38 @@ class Model:
 def fit(samples: list[tuple[str, str]], languages: tuple[str, ...] = LANGUAGES) -> Model:
     """A model of (language, text) pairs."""
     place = {lang: i for i, lang in enumerate(languages)}
-    words: dict[str, Counter] = defaultdict(Counter)
-    grams: dict[str, Counter] = defaultdict(Counter)
+    seen = [Counter() for _ in languages]
     for lang, text in samples:
-        for word in words_of(text):
-            words[word][place[lang]] += 1
-    for word, counts in words.items():
-        padded = f"_{word}_"
-        for n in range(1, NGRAM + 1):
-            for i in range(len(padded) - n + 1):
-                for lang, count in counts.items():
-                    grams[padded[i : i + n]][lang] += count
+        seen[place[lang]].update(words_of(text))
+    words = {word: i for i, word in enumerate(dict.fromkeys(word for some in seen for word in some))}
+    counts = np.zeros((len(words), len(languages)))
+    for lang, some in enumerate(seen):
+        counts[[words[word] for word in some], lang] = list(some.values())
     model = Model(languages)
-    size = len(languages)
-
-    def scores(table: dict[str, Counter], least: int, alpha: float) -> dict[str, np.ndarray]:
-        totals = np.zeros(size)
-        for counts in table.values():
-            for lang, count in counts.items():
-                totals[lang] += count
-        totals = np.maximum(totals, 1) + alpha * len(table)
-        out = {}
-        for key, counts in table.items():
-            if sum(counts.values()) >= least:
-                row = np.full(size, alpha)
-                for lang, count in counts.items():
-                    row[lang] += count
-                row = np.log(row / totals)
-                out[key] = row - row.max()  # only differences between languages count
-        return out
 
-    model.words = scores(words, MIN_WORD_COUNT, 0.5)
+    def scores(keys: list[str], table: np.ndarray, least: int, alpha: float = 0.5) -> dict[str, np.ndarray]:
+        totals = np.maximum(table.sum(axis=0), 1) + alpha * len(table)
+        often = np.flatnonzero(table.sum(axis=1) >= least)
+        rows = np.log((table[often] + alpha) / totals)
+        rows -= rows.max(axis=1, keepdims=True)  # only differences between languages count
+        return dict(zip([keys[i] for i in often.tolist()], rows))
+
+    model.words = scores(list(words), counts, MIN_WORD_COUNT)
     for n in range(1, NGRAM + 1):
-        model.grams.update(scores({g: c for g, c in grams.items() if len(g) == n}, 3, 0.5))
-    model.unseen = np.zeros(size)
+        number: dict[str, int] = {}
+        grams, owners = [], []
+        for word, i in words.items():
+            padded = f"_{word}_"
+            some = [number.setdefault(padded[j : j + n], len(number)) for j in range(len(padded) - n + 1)]
+            grams += some
+            owners += [i] * len(some)
+        if grams:
+            at = np.array(grams)
+            order = np.argsort(at, kind="stable")
+            first = np.flatnonzero(np.r_[True, np.diff(at[order]) > 0])
+            table = np.add.reduceat(counts[np.array(owners)[order]], first, axis=0)
+            model.grams.update(scores(list(number), table, 3))
+    model.unseen = np.zeros(len(languages))
     return model
 
 
@@ -296,14 +318,34 @@ def sentence_words(model: Model, before: str, unit: str, words: list[str]) -> fl
     return 0.0
 
 
-def stretches(model: Model, text: str) -> list[tuple[int, int, str, float]]:
+def stretches(model: Model, text: str) -> list[tuple[int, int, str | None, float]]:
     """(start, end, language, confidence) of each one-language stretch; empty for texts of too few letters."""
-    units = units_of(text)
-    words = [words_of(unit) for _, unit in units]
-    letters = sum(len(w) for some in words for w in some)
-    if letters < 4 * MIN_LETTERS and len(_LETTER.findall(text)) < MIN_LETTERS:  # marks are no letters
-        return []
-    scores = np.array([model.total(some) for some in words])
+    return all_stretches(model, [text])[0]
+
+
+def all_stretches(model: Model, texts: list[str]) -> list[list[tuple[int, int, str | None, float]]]:
+    """``stretches`` of many texts, whose words are scored together."""
+    cut, words = [], []
+    for text in texts:
+        units = units_of(text)
+        some = [words_of(unit) for _, unit in units]
+        letters = sum(len(w) for unit in some for w in unit)
+        if letters < 4 * MIN_LETTERS and len(_LETTER.findall(text)) < MIN_LETTERS:  # marks are no letters
+            units, some = [], []
+        cut.append((text, units, some))
+        words += some
+    scores, out, begin = model.units(words), [], 0
+    for text, units, some in cut:
+        out.append(_parsed(model, text, units, some, scores[begin : begin + len(units)]) if units else [])
+        begin += len(units)
+    return out
+
+
+def _path(model: Model, units: list[tuple[int, str]], words: list[list[str]], scores: np.ndarray) -> list[int]:
+    """The language of every unit."""
+    whole = int(scores.sum(axis=0).argmax())
+    if (scores[:, whole] >= scores.max(axis=1)).all():
+        return [whole] * len(units)  # one language is best throughout, so no change can gain
     best, back = scores[0], []
     # firm[a, b]: the stretch in a that ends here holds a complete sentence that speaks for a and against b
     firm, states = np.zeros((len(best), len(best)), bool), np.arange(len(best))
@@ -333,6 +375,11 @@ def stretches(model: Model, text: str) -> list[tuple[int, int, str, float]]:
     for step in reversed(back):
         path.append(int(step[path[-1]]))
     path.reverse()
+    return path
+
+
+def _parsed(model: Model, text: str, units: list[tuple[int, str]], words: list[list[str]], scores: np.ndarray) -> list[tuple[int, int, str | None, float]]:
+    path = _path(model, units, words, scores)
     out, begin = [], 0
     for i in range(1, len(path) + 1):
         if i == len(path) or path[i] != path[begin]:
@@ -360,8 +407,10 @@ def label_rows(rows: DataFrame, model: Model, id_col: str, label: Column, text:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             take, out = [], []
-            for i, (text, label) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
-                found = stretches(model, text or "") or [(0, len(text or ""), None, 0.0)]
+            texts = [text or "" for text in batch.column(1).to_pylist()]
+            parsed = [found for start in range(0, len(texts), 200) for found in all_stretches(model, texts[start : start + 200])]
+            for i, (text, label, found) in enumerate(zip(texts, batch.column(2).to_pylist(), parsed)):
+                found = found or [(0, len(text), None, 0.0)]
                 for no, (start, end, lang, chance) in enumerate(found):
                     take.append(i)
                     out.append((no, lang, chance, start, end - start, label, len(found)))
