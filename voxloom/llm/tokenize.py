@@ -178,9 +178,14 @@ def encode_corpus(
     null row ids pass through, one output row for each input row; other columns are not read.
     """
     id_type = docs.schema[id_col].dataType.simpleString()
+    shipped = os.path.isfile(vocabulary)
+    if shipped:  # the executors get the driver's file; a path that only they know is read where it is
+        docs.sparkSession.sparkContext.addFile(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = encoder(vocabulary, pattern)
+        from pyspark import SparkFiles
+
+        model = encoder(SparkFiles.get(os.path.basename(vocabulary)) if shipped else vocabulary, pattern)
         for batch in batches:
             for start in range(0, batch.num_rows, 1000):
                 part = batch.slice(start, 1000)
