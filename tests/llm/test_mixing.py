@@ -107,7 +107,7 @@ def test_the_whole_size_is_registered(spark, small):
     assert all(r["uses"] <= most.get(r["source_name"], 0) for r in uses) and max(r["uses"] for r in uses) > 1
 
 
-@pytest.mark.parametrize("name", ["p4_uses", "p4_shares", "p4_targets", "p4_full_uses", "p4_full_targets", "p1_totals"])
+@pytest.mark.parametrize("name", ["p4_uses", "p4_shares", "p4_targets", "p4_full_uses", "p4_full_targets", "p1_totals", "p2_found", "p2_groups"])
 def test_draw_agrees_with_sql(spark, small, name):
     import os
 

@@ -202,10 +202,38 @@ _TARGETS = """SELECT source_name, max_uses, samples, available_size, round(targe
   coalesce(abs(target_size - actual_size) <= half, target_size = 0) AS met FROM shares"""
 
 
+# Similar texts without sketches: sets of runs, candidates by their rarest runs (a pair of similarity 0.7 shares one of them),
+# exact similarity of every candidate.
+_ALIKE = r"""
+WITH said AS (
+  SELECT row_id, trim(replace(array_to_string(list_transform(list_filter(messages, lambda m: lower(trim(m.role)) IN ('assistant', 'gpt') AND m.content IS NOT NULL), lambda m: m.content), chr(10)), '<|audio|>', '')) AS t FROM tts WHERE messages IS NOT NULL
+),
+rows_ AS (SELECT DISTINCT row_id, n FROM (SELECT row_id, regexp_replace(lower(t), '[^\p{L}\p{N}]+', '', 'g') AS n FROM said) WHERE length(n) >= 40),
+texts AS MATERIALIZED (SELECT row_number() OVER (ORDER BY n) AS k, n, list_distinct(list_transform(range(1, length(n) - 2), lambda i: substring(n, i, 4))) AS s FROM (SELECT DISTINCT n FROM rows_)),
+held AS (SELECT k, len(s) AS c, unnest(s) AS g FROM texts),
+df AS (SELECT g, count(*) AS d FROM held GROUP BY g),
+pre AS MATERIALIZED (SELECT k, g, c FROM (SELECT k, c, g, row_number() OVER (PARTITION BY k ORDER BY d, g) AS r FROM held JOIN df USING (g)) WHERE r <= c - ceil(0.7 * c) + 1),
+cand AS (SELECT DISTINCT a.k AS a, b.k AS b FROM pre a JOIN pre b ON a.g = b.g AND a.k < b.k AND least(a.c, b.c) >= 0.7 * greatest(a.c, b.c)),
+scored AS (SELECT a, b, len(list_intersect(x.s, y.s)) AS i, len(x.s) + len(y.s) AS u FROM cand JOIN texts x ON x.k = a JOIN texts y ON y.k = b),
+links AS MATERIALIZED (SELECT a, b FROM scored WHERE i::DOUBLE / (u - i) >= 0.7),
+ids AS MATERIALIZED (SELECT k, row_id FROM rows_ JOIN texts USING (n))
+"""
+_PAIRS = """SELECT least(x.row_id, y.row_id) AS row_id_a, greatest(x.row_id, y.row_id) AS row_id_b FROM links JOIN ids x ON x.k = a JOIN ids y ON y.k = b
+UNION ALL SELECT x.row_id, y.row_id FROM ids x JOIN ids y ON x.k = y.k AND x.row_id < y.row_id"""
+_CLASSES = """,
+both_ AS MATERIALIZED (SELECT a AS u, b AS v FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT k AS u, k AS v FROM texts UNION SELECT reach.u, both_.v FROM reach JOIN both_ ON both_.u = reach.v),
+class AS (SELECT u AS k, min(v) AS root FROM reach GROUP BY u),
+least_ AS (SELECT root, min(row_id) AS group_id FROM class JOIN ids USING (k) GROUP BY root)
+SELECT row_id, group_id, coalesce(d.links, 0)::BIGINT AS links FROM ids JOIN class USING (k) JOIN least_ USING (root) LEFT JOIN (SELECT u AS k, count(*) AS links FROM both_ GROUP BY u) d USING (k)"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL of what SQL can state; the other queries are tested against brute force in ``tests/llm``."""
     return {
         "p1_totals": P1_TOTALS,
+        "p2_found": _ALIKE + _PAIRS,
+        "p2_groups": _ALIKE.replace("WITH said", "WITH RECURSIVE said") + _CLASSES,
         "p4_uses": _draw(mixing.TOTAL_SHARE, _USES),
         "p4_shares": _draw(mixing.TOTAL_SHARE, _SHARES),
         "p4_targets": _draw(mixing.TOTAL_SHARE, _TARGETS),
