@@ -32,7 +32,11 @@ def stream_first_deliveries(spark: SparkSession, d: str) -> DataFrame:
     return pipeline.run_to_table(rows.select("user_id", "event_type"), spark)
 
 
-@query()
+@query("""WITH RECURSIVE o AS (SELECT event_type, event_id::VARCHAR AS uid, length(props)::BIGINT AS c, row_number() OVER (PARTITION BY event_type ORDER BY event_id::VARCHAR) AS rn FROM events),
+f AS (SELECT event_type, rn, uid, c AS widest, 1 AS held, 0 AS batch FROM o WHERE rn = 1 UNION ALL
+  SELECT o.event_type, o.rn, o.uid, CASE WHEN s.fresh THEN o.c ELSE greatest(f.widest, o.c) END, CASE WHEN s.fresh THEN 1 ELSE f.held + 1 END, CASE WHEN s.fresh THEN f.batch + 1 ELSE f.batch END
+  FROM f JOIN o ON o.event_type = f.event_type AND o.rn = f.rn + 1, LATERAL (SELECT f.held >= 16 OR (f.held + 1) * greatest(f.widest, o.c) > 200 AS fresh) s)
+SELECT event_type, batch::BIGINT AS batch, uid FROM f WHERE batch < (SELECT max(g.batch) FROM f g WHERE g.event_type = f.event_type)""")
 def stream_batches(spark: SparkSession, d: str) -> DataFrame:
     """Closed batches of a live stream with one open batch per event type in the state."""
     rows = _events(spark, d).select("event_type", F.col("event_id").cast("string").alias("uid"), F.length("props").cast("bigint").alias("cost"))

@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import io
 import json
+import os
 import re
 import tarfile
 from collections.abc import Iterator
@@ -57,12 +58,17 @@ def open_shard(path: str) -> IO[bytes]:
         from urllib.request import urlopen
 
         return urlopen(path)  # noqa: S310
-    if "://" in path or path.startswith("file:"):
-        from pyarrow.fs import FileSystem
+    system, place = file_system(path)
+    return system.open_input_stream(place)
 
-        system, place = FileSystem.from_uri(path.replace("file:/", "file:///", 1) if path.startswith("file:/") and not path.startswith("file://") else path)
-        return system.open_input_stream(place)
-    return open(path, "rb")
+
+def file_system(path: str):
+    """(file system, path in it) of a local path or url."""
+    from pyarrow.fs import FileSystem
+
+    if path.startswith("file:/") and not path.startswith("file://"):
+        path = path.replace("file:/", "file:///", 1)
+    return FileSystem.from_uri(path if "://" in path else os.path.abspath(path))
 
 
 def physical_samples(source: str | None, url: str, path: str, include_audio: bool = True) -> Iterator[tuple]:
@@ -195,8 +201,6 @@ def write_shards(members, folder: str) -> list[dict[str, str]]:
 
 def open_sink(path: str):
     """A stream that replaces the file at a local path or url."""
-    from pyarrow.fs import FileSystem
-
-    system, place = FileSystem.from_uri(path.replace("file:/", "file:///", 1) if path.startswith("file:/") and not path.startswith("file://") else path)
+    system, place = file_system(path)
     system.create_dir(place.rpartition("/")[0], recursive=True)
     return system.open_output_stream(place)

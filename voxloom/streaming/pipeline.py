@@ -7,7 +7,6 @@ signature of its configuration: a changed configuration may not resume an old ch
 from __future__ import annotations
 
 import json
-import os
 import uuid
 from collections.abc import Iterator
 
@@ -19,6 +18,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from voxloom.operators.batching import fold_greedy
 from voxloom.plans.config import BatchLimits, StreamConfig
 from voxloom.session import ensure_checkpoint_dir
+from voxloom.sources.tar import file_system, open_sink
 
 
 def read_stream(spark: SparkSession, folder: str, glob: str, schema: str) -> DataFrame:
@@ -94,27 +94,25 @@ def run_to_table(stream: DataFrame, spark: SparkSession, mode: str = "append") -
 
 
 class Cursor:
-    """Checkpoint folder bound to the signature of a configuration."""
+    """Checkpoint folder, local or on a shared store, bound to the signature of a configuration."""
 
     def __init__(self, folder: str, config: StreamConfig):
-        self.folder, self.config = folder, config
-        self.file = os.path.join(folder, "signature.json")
+        self.folder, self.config = folder.rstrip("/"), config
+        self.file = f"{self.folder}/signature.json"
 
     def open(self) -> str:
         """The checkpoint location; an error if it belongs to another configuration or topology."""
-        os.makedirs(self.folder, exist_ok=True)
         mine = {"signature": self.config.signature(), "world_size": self.config.world_size, "workers": self.config.workers}
-        if os.path.exists(self.file):
-            with open(self.file, encoding="utf-8") as file:
-                if json.load(file) != mine:
+        system, place = file_system(self.file)
+        if system.get_file_info(place).is_file:
+            with system.open_input_stream(place) as file:
+                if json.loads(file.read()) != mine:
                     raise ValueError("the checkpoint belongs to another configuration")
         else:
-            with open(f"{self.file}.part", "w", encoding="utf-8") as file:
-                json.dump(mine, file)
-                file.flush()
-                os.fsync(file.fileno())
-            os.replace(f"{self.file}.part", self.file)
-        return os.path.join(self.folder, "checkpoint")
+            with open_sink(f"{self.file}.part") as file:
+                file.write(json.dumps(mine).encode())
+            system.move(f"{place}.part", place)
+        return f"{self.folder}/checkpoint"
 
 
 def observed(rows: DataFrame, name: str) -> DataFrame:
