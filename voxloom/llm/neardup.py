@@ -276,9 +276,9 @@ def candidate_pairs(prints: DataFrame, tile: int = TILE, radius: int = RADIUS) -
     small = met.where(F.col("members") <= tile).select("node", F.lit(0).cast("long").alias("pair"), F.lit(0).alias("side"), *columns)
     tiled = _tiled(met.where(F.col("members") > tile).withColumn("tiles", F.ceil(F.col("members") / tile).cast("int")))
     if hot:
-        # at most MASKS / HOT entries
-        tiles = F.create_map(*[F.lit(x) for node, n in hot.items() for x in (node, -(-n // tile))])
-        placed = sketches.select(F.explode("hot").alias("node"), *columns).withColumn("tiles", F.element_at(tiles, F.col("node")).cast("int"))
+        # at most MASKS / HOT rows
+        tiles = prints.sparkSession.createDataFrame([(node, -(-n // tile)) for node, n in hot.items()], "node bigint, tiles int")
+        placed = sketches.select(F.explode("hot").alias("node"), *columns).join(F.broadcast(tiles), "node")
         tiled = tiled.unionByName(_tiled(placed))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
