@@ -113,3 +113,21 @@ def test_stream_split(spark, tmp_path):
 def test_wav():
     assert audio.wav_seconds(audio.wav_bytes(b"\0\0" * 800, 8000)) == 0.1
     assert audio.wav_seconds(b"x") is None and audio.wav_seconds(None) is None
+
+
+def test_config_file_and_quotas(tmp_path, monkeypatch):
+    from voxloom.plans.config import load_config
+
+    monkeypatch.setenv("VOX_ROOT", "/data")
+    (tmp_path / "c.json").write_text('{"root": "$VOX_ROOT/x", "n": 3}')
+    assert load_config(str(tmp_path / "c.json")) == {"root": "/data/x", "n": 3}
+    (tmp_path / "c.json").write_text("[1]")
+    with pytest.raises(ValueError):
+        load_config(str(tmp_path / "c.json"))
+    yaml = pytest.importorskip("yaml")
+    (tmp_path / "c.yaml").write_text(yaml.safe_dump({"root": "${VOX_ROOT}"}))
+    assert load_config(str(tmp_path / "c.yaml")) == {"root": "/data"}
+    config = StreamConfig((SourceConfig("a"),), BatchLimits(max_samples=1), mode="resampled", fixed_batches=5, world_size=2)
+    config.check_quotas([3, 2])
+    with pytest.raises(RuntimeError):
+        config.check_quotas([3, 1])

@@ -96,6 +96,14 @@ class StreamConfig:
         each, more = divmod(self.fixed_batches or 0, consumers)
         return [each + (i < more) for i in range(consumers)]
 
+    def check_quotas(self, made: list[int]) -> None:
+        """Fails if a consumer's stream ended before its quota of batches: ``made`` batches by consumer."""
+        if self.fixed_batches is None:
+            return
+        short = [(i, n, q) for i, (n, q) in enumerate(zip(made, self.quotas())) if n < q]
+        if short or len(made) != self.world_size * self.workers:
+            raise RuntimeError("a stream ended before its quota: " + ", ".join(f"consumer {i} gave {n} of {q}" for i, n, q in short))
+
     def signature(self) -> str:
         """Fingerprint of everything that decides the order of the stream."""
         return hashlib.sha256(json.dumps(asdict(self), sort_keys=True, default=str).encode()).hexdigest()
@@ -106,6 +114,21 @@ def expand_env(text: str) -> str:
     return os.path.expandvars(text)
 
 
+def load_config(path: str) -> dict:
+    """A YAML or JSON mapping with ``$VAR`` expanded; YAML needs PyYAML, which is imported only then."""
+    with open(path, encoding="utf-8") as file:
+        content = expand_env(file.read())
+    if path.endswith(".json"):
+        values = json.loads(content)
+    else:
+        import yaml
+
+        values = yaml.safe_load(content)
+    if not isinstance(values, dict):
+        raise ValueError(f"{path}: a configuration is a mapping")
+    return values
+
+
 def reject_unknown(values: dict, known: set[str]) -> None:
     unknown = sorted(set(values) - known)
     if unknown:
