@@ -131,3 +131,19 @@ def test_config_file_and_quotas(tmp_path, monkeypatch):
     config.check_quotas([3, 2])
     with pytest.raises(RuntimeError):
         config.check_quotas([3, 1])
+
+
+def test_an_idle_key_emits_its_open_batch(spark, tmp_path):
+    import time
+
+    spark.createDataFrame([("a", f"u{i}", 10) for i in range(5)], "k string, uid string, cost bigint").write.parquet(str(tmp_path / "in"))
+    rows = pipeline.read_stream(spark, str(tmp_path / "in"), "*.parquet", "k string, uid string, cost bigint")
+    made = pipeline.live_batches(rows, "k", "uid", ["cost"], BatchLimits(max_samples=3), idle_ms=500)
+    running = made.writeStream.format("memory").queryName("idle_batches").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(processingTime="300 milliseconds").start()
+    try:
+        until = time.time() + 40
+        while time.time() < until and spark.table("idle_batches").count() < 5:
+            time.sleep(0.3)
+    finally:
+        running.stop()
+    assert sorted((r["batch"], r["uid"]) for r in spark.table("idle_batches").collect()) == [(0, "u0"), (0, "u1"), (0, "u2"), (1, "u3"), (1, "u4")]

@@ -27,8 +27,8 @@ def stream_hourly_counts(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT DISTINCT user_id, event_type FROM events")
 def stream_first_deliveries(spark: SparkSession, d: str) -> DataFrame:
-    """One delivery of every (user, type) within a watermark that outlasts the data."""
-    rows = pipeline.first_deliveries(_events(spark, d), "ts", "36500 days", "user_id", "event_type")
+    """One delivery of every (user, type); the state of a key is dropped 30 days behind the newest event."""
+    rows = pipeline.first_deliveries(_events(spark, d), "ts", "30 days", "user_id", "event_type")
     return pipeline.run_to_table(rows.select("user_id", "event_type"), spark)
 
 

@@ -60,15 +60,23 @@ def split_stream(rows: DataFrame, error: Column, kept_path: str, bad_path: str,
     rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start().awaitTermination()
 
 
-def live_batches(rows: DataFrame, key: str, uid: str, fields: list[str], limits: BatchLimits) -> DataFrame:
+def live_batches(rows: DataFrame, key: str, uid: str, fields: list[str], limits: BatchLimits, idle_ms: int | None = None) -> DataFrame:
     """Greedy batches of a live stream: state per key is the open batch only, closed batches are emitted.
 
-    A batch that is still open when the stream ends stays in the state and is emitted when more rows arrive.
+    With ``idle_ms`` a key that got no rows for so long emits its open batch and leaves the state; a later row of it begins
+    anew with number 0.  Spark then runs empty micro-batches for ever, so a trigger that ends with the data needs
+    None, under which the last batch of a key stays in the state.  Rows are ordered by uid within a micro-batch, so the batches of a stream depend on
+    how it arrives; a batch number is unique within a key as long as the key stays alive.
     """
     schema = f"`{key}` string, batch bigint, uid string"
     state_schema = "number bigint, uids array<string>, costs array<array<bigint>>"
 
     def fold(group: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            number, uids, _ = state.get
+            state.remove()
+            yield pd.DataFrame([(group[0], number, u) for u in uids], columns=[key, "batch", "uid"])
+            return
         number, uids, costs = state.get if state.exists else (0, [], [])
         uids, costs = list(uids), [tuple(c) for c in costs]
         for frame in frames:
@@ -80,9 +88,11 @@ def live_batches(rows: DataFrame, key: str, uid: str, fields: list[str], limits:
         out = [(group[0], number + p, u) for p, u in zip(places, uids) if p is not None and p < last]
         rest = [(u, list(c)) for p, u, c in zip(places, uids, costs) if p == last]
         state.update((number + last, [u for u, _ in rest], [c for _, c in rest]))
+        if idle_ms is not None:
+            state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame(out, columns=[key, "batch", "uid"])
 
-    return rows.groupBy(key).applyInPandasWithState(fold, schema, state_schema, "append", GroupStateTimeout.NoTimeout)
+    return rows.groupBy(key).applyInPandasWithState(fold, schema, state_schema, "append", GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def run_to_table(stream: DataFrame, spark: SparkSession, mode: str = "append") -> DataFrame:
