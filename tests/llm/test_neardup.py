@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -172,3 +173,51 @@ def test_index_search_is_exact(seed, radius):
     bits = lambda i, j: bin(int(high[i] ^ high[j])).count("1") + bin(int(low[i] ^ low[j])).count("1")
     want = {(i, j) for i in range(n) for j in range(i + 1, n) if group[i] == group[j] and bits(i, j) <= radius}
     assert got == want
+
+
+def test_large_nodes_take_bounded_memory():
+    """Three nodes of 2,048 members without near pairs, six million pairs to look at, and one whose members are all near."""
+    rng = np.random.default_rng(6)
+    group = np.repeat(np.arange(4), [2048, 2048, 2048, 200])
+    prints = rng.integers(0, 1 << 63, (len(group), 2), dtype=np.uint64)
+    prints[-200:] = prints[-1]
+    ranks = neardup.gray_rank(prints[:, 0].copy(), prints[:, 1].copy())
+    order = np.lexsort((ranks[1], ranks[0], group))
+    high, low = prints[order, 0], prints[order, 1]
+    tracemalloc.start()
+    a, b = neardup.search(group, np.zeros(len(group), np.int64), high, low, 20)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(a) == 200 * 199 // 2 and (a >= 3 * 2048).all() and peak < 16e6
+
+
+def test_chance_neighbours_are_not_candidates(spark):
+    """Fields of which only the upper compared bits agree leave a pair within the radius; the other bits tell it apart."""
+    rng = np.random.default_rng(9)
+    prints = rng.integers(0, 256, (3, neardup.FIELDS), np.uint8)
+    prints[1] = prints[0]
+    prints[1, neardup.KEPT :] ^= 0b1100
+    prints[2] = prints[0]
+    prints[2, -20:] ^= 0b0100
+    frame = spark.createDataFrame([(i, p.tobytes()) for i, p in enumerate(prints)], "key bigint, print binary")
+    entries = neardup.entries_of(np.arange(3), prints)
+    assert neardup.differing_fields(entries, np.array([0, 0, 1]), np.array([1, 2, 2])).tolist() == [92, 20, 92]
+    assert {(r["a"], r["b"]) for r in neardup.candidate_pairs(frame).collect()} == {(0, 1), (0, 2), (1, 2)}
+    assert {(r["a"], r["b"]) for r in neardup.candidate_pairs(frame, fields=neardup.FIELD_RADIUS).collect()} == {(0, 2)}
+
+
+def test_passes_and_large_nodes_change_nothing(spark, monkeypatch):
+    """Six passes over the masks, many buckets and a node that is hot by its members alone."""
+    rng = np.random.default_rng(5)
+    prints = rng.integers(0, 256, (5000, neardup.FIELDS), np.uint8)
+    prints[:1500, 4 : 8] = 7
+    prints[2000:2400] = prints[2400:2800]
+    frame = spark.createDataFrame([(i, p.tobytes()) for i, p in enumerate(prints)], "key bigint, print binary").repartition(3)
+    want = {(r["a"], r["b"]) for r in neardup.candidate_pairs(frame, tile=200).collect()}
+    monkeypatch.setattr(neardup, "PASS_TEXTS", 500)
+    monkeypatch.setattr(neardup, "BUCKET", 700)
+    monkeypatch.setattr(neardup, "HOT_MEMBERS", 600)
+    monkeypatch.setattr(neardup, "HOT", 1.0)
+    monkeypatch.setattr(neardup, "TILE", 100)
+    assert list(neardup.hot_nodes(frame)) == [(1 << 32) | 0x07070707]
+    assert {(r["a"], r["b"]) for r in neardup.candidate_pairs(frame, tile=200).collect()} == want >= {(i, i + 400) for i in range(2000, 2400)}

@@ -6,28 +6,35 @@ i-th permutation of its character runs, so two fields are equal with chance J an
 *Upper nodes* of the index are masked bit patterns of that fingerprint: mask b keeps the 32 bits of block b (a block
 permutation brings them to the front), and fingerprints that agree under a mask share its node.  There are as many masks
 as recall needs: with 24, two texts of similarity 0.7 meet below some node with chance 0.9986 (0.9999 at 0.75).  Below
-its node a fingerprint is sorted by the Gray rank of its first bit plane; runs of 8, 64 and 512 neighbours become lower
+its node a fingerprint is sorted by the Gray rank of its first bit plane; runs of 32 and 512 neighbours become lower
 nodes that hold the bits on which all members agree.  Differences accumulate on the way down: two nodes whose agreed bits
-already differ in more than ``RADIUS`` places are pruned with everything below.  What survives is checked exactly.
-
-Hot nodes are known before anything moves: every chunk of the corpus names the nodes that hold more than the share
-``HOT`` of it, and the sums of these counts find every node that holds more than twice that share of all texts (at most
-``MASKS / HOT`` of them, a proven bound).  Their members go straight to tiles that meet pairwise in tasks of their own.  No
-other node holds more than ``2 * HOT`` of the texts; those beyond ``TILE`` members are tiled after their exchange.
+already differ in more than ``RADIUS`` places are pruned with everything below.  Members are compared in blocks of ``BLOCK``
+pairs, so the memory of a task does not follow the size of its nodes.  A pair within the radius is a candidate if at most
+``FIELD_RADIUS`` fields differ in their lower four bits: unrelated texts of one vocabulary meet in numbers that grow with the
+square of the corpus, and no such pair may reach the exact check, which reads texts.
+
+Members travel packed, four bits of each field with them, in buckets of whole nodes.  The masks are taken in passes; the
+shuffle files of a pass are removed at its end.
+
+Hot nodes are known before anything moves: every chunk of the corpus names the nodes that hold more than a share of it
+(``HOT``, less in a corpus where that would be over ``HOT_MEMBERS``), and the sums of these counts find every node that holds
+more than twice that share of all texts (at most ``MASKS`` / share of them, a proven bound).  Their members go straight to
+tiles that meet pairwise in tasks of their own.
 Equal texts are one member; copies come back by a join at the end.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxloom.llm.language import spoken_text
-from voxloom.session import cut_lineage
+from voxloom.session import cut_lineage, cut_lineage_and_shuffles
 
 #: Characters in a run, least characters of a text, least shared part of the runs.
 SHINGLE, MIN_CHARS, SIMILARITY = 4, 40, 0.7
@@ -38,13 +45,20 @@ FIELDS = MASKS * KEPT
 #: Bits of the 128 compared below a node (first plane, and the second of 32 fields) that may differ: at similarity 0.7 the
 #: mean is 18.4 with deviation 4.4.
 RADIUS = 36
-#: Members of a node that one task compares with each other.
+#: Fields of a candidate whose lower four bits may differ: at similarity 0.7 the mean is 27 with deviation 4.4, at 0.3 it is 63.
+FIELD_RADIUS = 46
+#: Rows of a lowest node, and pairs of rows looked at in one step (arrays of that many words).
+LEAF, BLOCK = 32, 1 << 16
+#: Members of a hot node that one task compares with each other, or with as many of another tile.
 TILE = 2048
+#: Passes over the masks, one more for every so many texts; texts whose members are packed together, members of a bucket.
+PASSES, PASS_TEXTS, PACKED, BUCKET = 6, 100_000, 1 << 15, 1 << 16
 #: Share of a chunk of ``CHUNK`` texts from which a node is counted as a candidate for a hot one.
 HOT, CHUNK = 1 / 512, 2048
+#: Members above which a node is hot whatever its share.
+HOT_MEMBERS = 16_384
 #: Share of all rows from which the copies of one text are paired in tiles.
 COPIES = 1 / 4096
-_FAN = 8
 
 
 def normal_form(text: Column) -> Column:
@@ -141,32 +155,50 @@ def _prints(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, FIELDS)
 
 
+def _gathered(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Table]:
+    """Tables of about ``rows`` rows, the last one smaller."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= rows:
+            yield pa.Table.from_batches(held)
+            held = []
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def hot_nodes(prints: DataFrame) -> dict[int, int]:
-    """Nodes that hold more than ``2 * HOT`` of all texts (and perhaps some that hold more than ``HOT``), with at least
-    as many members as they have.
+    """Nodes that hold more than twice the share ``HOT`` of all texts, or more than ``2 * HOT_MEMBERS`` (and perhaps some that
+    hold more than half of that), with at least as many members as they have.
 
-    A node that holds the share 2 * HOT of all is counted in the chunks where it holds more than HOT; the others add at
-    most HOT, so the sum reaches HOT of all.  At most ``MASKS / HOT`` nodes can.
+    A node that holds twice the share is counted in the chunks where it holds more than the share; the others add at
+    most the share, so the sum reaches the share of all.  At most ``MASKS / share`` nodes can.
     """
+    total = prints.count()
+    if total <= TILE:
+        return {}
+    share = min(HOT, HOT_MEMBERS / total)
+    chunk = max(CHUNK, int(4 / share))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for start in range(0, batch.num_rows, CHUNK):
-                part = batch.slice(start, CHUNK)
-                node, n = np.unique(masked(_prints(part.column(1))), return_counts=True)
-                often = n > HOT * part.num_rows
+        for table in _gathered(batches, chunk):
+            rows = _prints(table.column(1))
+            for start in range(0, len(rows), chunk):
+                part = rows[start : start + chunk]
+                node, n = np.unique(masked(part), return_counts=True)
+                often = n > share * len(part)
                 yield pa.RecordBatch.from_arrays([pa.array(node[often]), pa.array(n[often], pa.int64())], names=["node", "n"])
 
-    total = prints.count()
-    if total <= TILE:
-        return {}
-    found = prints.mapInArrow(run, "node bigint, n bigint").groupBy("node").agg(F.sum("n").alias("n")).where(F.col("n") >= HOT * total)
-    found = found.where(F.col("n") + HOT * total > TILE)
-    return {r["node"]: r["n"] + int(HOT * total) + 1 for r in found.collect()}
+    found = prints.mapInArrow(run, "node bigint, n bigint").groupBy("node").agg(F.sum("n").alias("n")).where(F.col("n") >= share * total)
+    found = found.where(F.col("n") + share * total > TILE)
+    return {r["node"]: r["n"] + int(share * total) + 1 for r in found.collect()}
 
 
 def sketches_of(prints: DataFrame, hot: dict[int, int]) -> DataFrame:
-    """``(key, rank_high, rank_low, nodes, hot)``: Gray rank of the compared bits, the nodes, and those known to be hot."""
+    """``(key, rank_high, rank_low, nodes, hot)``: Gray rank of the compared bits, the nodes, and those known to be hot.
+
+    A view of the index for inspection; ``candidate_pairs`` sends the same members packed.
+    """
     known = np.array(sorted(hot), np.int64)
 
     def lists(rows: np.ndarray, values: np.ndarray, n: int) -> pa.Array:
@@ -198,123 +230,217 @@ _ONES = np.array([bin(i).count("1") for i in range(1 << 16)], np.uint8)
 
 
 def _popcount(x: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(x) if hasattr(np, "bitwise_count") else _ONES[x.view(np.uint16).reshape(len(x), 4)].sum(axis=1)
+    return np.bitwise_count(x) if hasattr(np, "bitwise_count") else _ONES[x.view(np.uint16).reshape(*x.shape, 4)].sum(axis=-1, dtype=np.uint8)
 
 
-def search(group: np.ndarray, side: np.ndarray, high: np.ndarray, low: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows of the same group within ``radius`` bits; rows come sorted by group and Gray rank.
+def _near(high: np.ndarray, low: np.ndarray, radius: int) -> np.ndarray:
+    """Whether differences of two words hold at most ``radius`` bits."""
+    return _popcount(high) + _popcount(low) <= radius
+
+
+def _agreed(high: np.ndarray, low: np.ndarray, heads: np.ndarray) -> np.ndarray:
+    """For runs of rows from each head to the next: agreed bits and their values, as (high, agreed high, low, agreed low)."""
+    both = [(np.bitwise_and.reduceat(x, heads), ~(np.bitwise_or.reduceat(x, heads) ^ np.bitwise_and.reduceat(x, heads))) for x in (high, low)]
+    return np.stack([*both[0], *both[1]])
+
+
+def _unpruned(nodes: np.ndarray, a: np.ndarray, b: np.ndarray, radius: int) -> np.ndarray:
+    p, q = nodes[:, a], nodes[:, b]
+    return _near((p[0] ^ q[0]) & p[1] & q[1], (p[2] ^ q[2]) & p[3] & q[3], radius)
+
+
+def _large_group(high: np.ndarray, low: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs within one group, a < b: nodes of 512 rows, those of ``LEAF`` rows below the pairs that are not pruned, then rows."""
+    n, fan = len(high), 512 // LEAF
+    leaves, tops = (_agreed(high, low, np.arange(0, n, width)) for width in (LEAF, 512))
+    a, b = np.triu_indices(tops.shape[1])
+    keep = _unpruned(tops, a, b, radius)
+    a, b = a[keep], b[keep]
+    i, j = (x.ravel() for x in np.indices((fan, fan)))
+    inside = np.arange(LEAF)
+    for start in range(0, len(a), 64):
+        x, y = ((t[start : start + 64, None] * fan + k).ravel() for t, k in ((a, i), (b, j)))
+        there = (x <= y) & (y < leaves.shape[1])
+        x, y = x[there], y[there]
+        there = _unpruned(leaves, x, y, radius)
+        x, y = x[there] * LEAF, y[there] * LEAF
+        step = max(1, BLOCK // LEAF**2)
+        for at in range(0, len(x), step):
+            p, q = (np.minimum(t[at : at + step, None] + inside, n - 1) for t in (x, y))  # the last leaf may be short
+            m, r, c = np.nonzero(_near(high[p][:, :, None] ^ high[q][:, None, :], low[p][:, :, None] ^ low[q][:, None, :], radius))
+            p, q = x[at + m] + r, y[at + m] + c
+            keep = (p < q) & (q < n)
+            if keep.any():
+                yield p[keep], q[keep]
+
+
+def searched(group: np.ndarray, side: np.ndarray, high: np.ndarray, low: np.ndarray, radius: int = RADIUS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """``search`` in pieces: at most about ``BLOCK`` pairs are looked at, held and given at once, whatever the groups' sizes."""
+
+    def met(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        keep = (side[a] == 0) | (side[a] != side[b])
+        return a[keep], b[keep]
 
-    ``side`` is 0 for the only tile of a group, else 1 or 2 for the two tiles that meet; rows of the same side of a
-    two-tile group are not compared.  The levels hold, for runs of 8, 64, 512 and all rows of a group, the bits on which
-    the run agrees; the pair list descends level by level and loses what has accumulated too many differences.
-    """
     n = len(group)
     if n < 2:
-        z = np.empty(0, np.int64)
-        return z, z
+        return
     starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
-    position = np.arange(n) - np.repeat(starts, np.diff(np.r_[starts, n]))
-    levels = []  # from the rows upwards: first row of each node, agreed bits
-    first = np.arange(n)
-    agreed = np.full((n, 2), ~np.uint64(0), np.uint64)
-    value = np.stack([high, low], axis=1)
-    levels.append((first, agreed, value))
-    width = _FAN
-    while len(first) > len(starts):
-        heads = np.flatnonzero((position[first] % width == 0))
-        union = np.bitwise_or.reduceat(value, heads)
-        both = np.bitwise_and.reduceat(value, heads)
-        agreed = np.bitwise_and.reduceat(agreed, heads) & ~(union ^ both)
-        first, value = first[heads], both
-        levels.append((first, agreed, value))
-        width = width * _FAN if width < 512 else 1 << 62
-    a = b = np.arange(len(first))
-    for depth in range(len(levels) - 1, -1, -1):
-        first, agreed, value = levels[depth]
-        shared = agreed[a] & agreed[b]
-        differ = (value[a] ^ value[b]) & shared
-        keep = _popcount(differ[:, 0]).astype(np.int64) + _popcount(differ[:, 1]) <= radius
-        a, b = a[keep], b[keep]
-        if depth == 0:
-            break
-        below = levels[depth - 1][0]
-        low_child = np.searchsorted(below, first)
-        high_child = np.searchsorted(below, np.r_[first[1:], n])
-        a_count, b_count = high_child[a] - low_child[a], high_child[b] - low_child[b]
-        total = a_count * b_count
-        pair = np.repeat(np.arange(len(a)), total)
-        within = np.arange(total.sum()) - np.repeat(np.cumsum(total) - total, total)
-        left = low_child[a[pair]] + within // b_count[pair]
-        right = low_child[b[pair]] + within % b_count[pair]
-        ordered = left <= right
-        a, b = left[ordered], right[ordered]
-    keep = (a < b) & ((side[a] == 0) | (side[a] != side[b]))
-    return a[keep], b[keep]
-
-
-def _tiled(entries: DataFrame) -> DataFrame:
-    """Sends the members of nodes to the pairs of tiles in which they meet: tile i meets tile j >= i in task i * tiles + j."""
-    inside = entries.withColumn("mine", F.pmod(F.xxhash64("key"), F.col("tiles")).cast("int"))
-    meeting = inside.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    low_tile, high_tile = F.least("mine", "other"), F.greatest("mine", "other")
-    side = F.when(F.col("mine") == F.col("other"), 0).when(F.col("mine") < F.col("other"), 1).otherwise(2)
-    pair = low_tile.cast("long") * F.col("tiles") + high_tile + 1
-    return meeting.select("node", pair.alias("pair"), side.alias("side"), "rank_high", "rank_low", "key")
-
-
-def candidate_pairs(prints: DataFrame, tile: int = TILE, radius: int = RADIUS) -> DataFrame:
-    """``(a, b)``, a < b: keys of fingerprints that meet below some node within ``radius`` bits.
-
-    One exchange brings the members of a node together; members without a partner leave right behind it.  Members of hot
-    nodes do not take part in it: they go to their tiles at once.
+    sizes = np.diff(np.r_[starts, n])
+    for size in np.unique(sizes[(sizes > 1) & (sizes <= LEAF)]).tolist():
+        some = starts[sizes == size]
+        i, j = np.triu_indices(size, 1)
+        step = max(1, BLOCK // len(i))
+        for at in range(0, len(some), step):
+            a, b = ((some[at : at + step, None] + k).ravel() for k in (i, j))
+            keep = _near(high[a] ^ high[b], low[a] ^ low[b], radius)
+            if keep.any():
+                yield met(a[keep], b[keep])
+    for start, size in zip(starts[sizes > LEAF].tolist(), sizes[sizes > LEAF].tolist()):
+        for a, b in _large_group(high[start : start + size], low[start : start + size], radius):
+            yield met(a + start, b + start)
+
+
+def search(group: np.ndarray, side: np.ndarray, high: np.ndarray, low: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows of the same group within ``radius`` bits; rows come sorted by group and Gray rank.
+
+    ``side`` is 0 for the only tile of a group, else 1 or 2 for the two tiles that meet; rows of the same side of a
+    two-tile group are not compared.  Groups of more than ``LEAF`` rows have nodes: runs of ``LEAF`` and 512 rows with the
+    bits on which the run agrees; a pair of nodes that has accumulated too many differences is pruned with all below it.
     """
-    hot = hot_nodes(prints)
-    sketches = sketches_of(prints, hot)
-    columns = ("rank_high", "rank_low", "key")
-    entries = sketches.select(F.explode("nodes").alias("node"), *columns)
-    met = entries.withColumn("members", F.count(F.lit(1)).over(Window.partitionBy("node"))).where("members > 1")
-    small = met.where(F.col("members") <= tile).select("node", F.lit(0).cast("long").alias("pair"), F.lit(0).alias("side"), *columns)
-    tiled = _tiled(met.where(F.col("members") > tile).withColumn("tiles", F.ceil(F.col("members") / tile).cast("int")))
-    if hot:
-        # at most MASKS / HOT rows
-        tiles = prints.sparkSession.createDataFrame([(node, -(-n // tile)) for node, n in hot.items()], "node bigint, tiles int")
-        placed = sketches.select(F.explode("hot").alias("node"), *columns).join(F.broadcast(tiles), "node")
-        tiled = tiled.unionByName(_tiled(placed))
+    found = list(searched(group, side, high, low, radius))
+    z = np.empty(0, np.int64)
+    return (np.concatenate([z, *(a for a, _ in found)]), np.concatenate([z, *(b for _, b in found)]))
+
+
+#: A member of a node on its way: bits 0 to 3 of all fields, those compared in Gray order first (``compared_bits``).
+_ENTRY = np.dtype([("node", "<i8"), ("key", "<i8"), ("high", "<u8"), ("low", "<u8"), ("rest", "<u8", 3), ("last", "<u4", 3)])
+
+
+def entries_of(keys: np.ndarray, prints: np.ndarray) -> np.ndarray:
+    """Members without their node."""
+    made = np.zeros(len(keys), _ENTRY)
+    made["key"] = keys
+    made["high"], made["low"] = compared_bits(prints)
+    for i in (1, 2, 3):
+        plane = np.packbits((prints >> i) & 1, axis=1)
+        made["rest"][:, i - 1] = np.ascontiguousarray(plane[:, :8]).view(">u8")[:, 0]
+        made["last"][:, i - 1] = np.ascontiguousarray(plane[:, 8:]).view(">u4")[:, 0]
+    return made
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-
-        def flush(table: pa.Table) -> pa.RecordBatch:
-            columns = {name: table.column(name).to_numpy() for name in table.column_names}
-            node, pair = columns["node"], columns["pair"]
-            group = np.cumsum(np.r_[False, (node[1:] != node[:-1]) | (pair[1:] != pair[:-1])]) if len(node) else node
-            high, low = from_rank(columns["rank_high"].view(np.uint64), columns["rank_low"].view(np.uint64))
-            a, b = search(group, columns["side"], high, low, radius)
-            key = columns["key"]
-            x, y = np.minimum(key[a], key[b]), np.maximum(key[a], key[b])
-            if len(x):
-                x, y = np.unique(np.stack([x, y], axis=1), axis=0).T
-            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], names=["a", "b"])
 
+def differing_fields(entries: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Fields whose lower four bits differ."""
+    first = entries["high"][a] ^ entries["high"][b]
+    second = (entries["low"][a] ^ entries["low"][b]) >> np.uint64(32)
+    for i in range(3):
+        first |= entries["rest"][a, i] ^ entries["rest"][b, i]
+        second |= entries["last"][a, i] ^ entries["last"][b, i]
+    return _popcount(first).astype(np.int64) + _popcount(second)
+
+
+def _tile_of(keys: np.ndarray, tiles: int) -> np.ndarray:
+    return (_mix(keys.astype(np.uint64)) % np.uint64(tiles)).astype(np.int64)
+
+
+def _candidates_of(prints: DataFrame, masks: list[int], buckets: int, tiles: dict[int, int], radius: int, fields: int) -> DataFrame:
+    """``(a, b)`` of the nodes of some masks; pairs that meet in several nodes come several times.
+
+    Members travel packed, by buckets of whole nodes.  Member m of a hot node of t tiles goes to the buckets of the t pairs of
+    tiles that hold its own.
+    """
+    known = np.array(sorted(n for n in tiles if n >> 32 in masks), np.int64)
+    count = [tiles[n] for n in known.tolist()]
+    offset = buckets + np.cumsum([0, *(t * t for t in count)])
+
+    def packed(entries: np.ndarray, bucket: np.ndarray, row: np.ndarray, node: np.ndarray) -> Iterator[tuple[int, bytes]]:
+        order = np.argsort(bucket, kind="stable")
+        sent, bucket = entries[row[order]], bucket[order]
+        sent["node"] = node[order]
+        heads = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]][: len(bucket)])
+        for x, y in zip(heads.tolist(), [*heads[1:].tolist(), len(bucket)]):
+            yield int(bucket[x]), sent[x:y].tobytes()
+
+    def placed(keys: np.ndarray, rows: np.ndarray) -> Iterator[tuple[int, bytes]]:
+        entries, nodes = entries_of(keys, rows), masked(rows)[:, masks]
+        is_hot = np.isin(nodes, known)
+        row, at = np.nonzero(~is_hot)
+        node = nodes[row, at]
+        yield from packed(entries, (_mix(node.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64), row, node)
+        for i in np.unique(np.searchsorted(known, nodes[is_hot])).tolist():
+            row = np.flatnonzero((nodes == known[i]).any(axis=1))
+            mine = _tile_of(keys[row], count[i])
+            for other in range(count[i]):
+                pair = np.minimum(mine, other) * count[i] + np.maximum(mine, other)
+                yield from packed(entries, offset[i] + pair, row, np.full(len(row), known[i]))
+
+    def batch_of(made: list[tuple[int, bytes]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([m[0] for m in made], pa.int64()), pa.array([m[1] for m in made], pa.binary())], names=["bucket", "entries"])
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _gathered(batches, PACKED):
+            made, size = [], 0
+            for one in placed(table.column(0).to_numpy(), _prints(table.column(1))):
+                made.append(one)
+                size += len(one[1])
+                if size > 1 << 23:
+                    yield batch_of(made)
+                    made, size = [], 0
+            yield batch_of(made)
+
+    def compared(bucket: int, held: list[bytes]) -> Iterator[pa.RecordBatch]:
+        entries = np.frombuffer(b"".join(held), _ENTRY)
+        rank_high, rank_low = gray_rank(entries["high"], entries["low"])
+        entries = entries[np.lexsort((rank_low, rank_high, entries["node"]))]
+        side = np.zeros(len(entries), np.int64)
+        if bucket >= buckets:
+            i = int(np.searchsorted(offset, bucket, "right")) - 1
+            low_tile, high_tile = divmod(bucket - int(offset[i]), count[i])
+            if low_tile != high_tile:
+                side = np.where(_tile_of(entries["key"], count[i]) == low_tile, 1, 2)
+        key = entries["key"]
+        found, size = [], 0
+        for a, b in searched(entries["node"], side, entries["high"].copy(), entries["low"].copy(), radius):
+            near = differing_fields(entries, a, b) <= fields
+            found.append(np.stack([np.minimum(key[a[near]], key[b[near]]), np.maximum(key[a[near]], key[b[near]])]))
+            size += found[-1].shape[1]
+            if size > BLOCK:
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in np.concatenate(found, axis=1)], names=["a", "b"])
+                found, size = [], 0
+        if size:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in np.unique(np.concatenate(found, axis=1), axis=1)], names=["a", "b"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held = -1, []
         for batch in batches:
-            held.append(batch)
-            table = pa.Table.from_batches(held)
-            if table.num_rows < 20_000:
-                continue
-            node, pair = table.column("node").to_numpy(), table.column("pair").to_numpy()
-            change = np.flatnonzero((node[1:] != node[:-1]) | (pair[1:] != pair[:-1]))
-            if not len(change):
-                continue  # one node of at most two tiles
-            cut = int(change[-1]) + 1
-            yield flush(table.slice(0, cut).combine_chunks())
-            held = table.slice(cut).combine_chunks().to_batches()
+            for bucket, entries in zip(batch.column(0).to_pylist(), batch.column(1)):
+                if bucket != last and held:
+                    yield from compared(last, held)
+                    held = []
+                last = bucket
+                held.append(entries.as_py())
         if held:
-            yield flush(pa.Table.from_batches(held).combine_chunks())
+            yield from compared(last, held)
 
-    order = ("node", "pair", "rank_high", "rank_low")
-    found = small.sortWithinPartitions(*order).mapInArrow(run, "a bigint, b bigint")
-    met_in_tiles = tiled.repartition("node", "pair").sortWithinPartitions(*order).mapInArrow(run, "a bigint, b bigint")
-    return found.unionByName(met_in_tiles).distinct()
+    sent = prints.mapInArrow(place, "bucket bigint, entries binary").repartition("bucket").sortWithinPartitions("bucket")
+    return sent.mapInArrow(compare, "a bigint, b bigint").distinct()
+
+
+def candidate_pairs(prints: DataFrame, tile: int = TILE, radius: int = RADIUS, fields: int = FIELDS) -> DataFrame:
+    """``(a, b)``, a < b: keys of fingerprints that meet below some node within ``radius`` bits and ``fields`` differing fields.
+
+    The masks are taken in up to ``PASSES`` passes, so that the members of only some masks lie on disk at a time.
+    """
+    hot = hot_nodes(prints)
+    tiles = {node: -(-n // tile) for node, n in hot.items()}
+    total = prints.count()
+    passes = min(PASSES, 1 + total // PASS_TEXTS)
+    found = []
+    for i in range(passes):
+        masks = list(range(i, MASKS, passes))
+        buckets = 1 + total * len(masks) // BUCKET
+        part = _candidates_of(prints, masks, buckets, tiles, radius, fields)
+        found.append(cut_lineage_and_shuffles(part) if passes > 1 else part)
+    return reduce(DataFrame.unionByName, found).distinct() if passes > 1 else found[0]
 
 
 def verified(pairs: DataFrame, texts: DataFrame, k: int, similarity: float) -> DataFrame:
@@ -359,7 +485,7 @@ def links(members: DataFrame, k: int = SHINGLE, similarity: float = SIMILARITY,
     """``(a, b, similarity)``: similar pairs of distinct normal forms, by key."""
     texts = members.groupBy("key").agg(F.min("norm").alias("norm"))
     prints = cut_lineage(fingerprints_of(texts, k))
-    return cut_lineage(verified(candidate_pairs(prints, tile, radius), texts, k, similarity))
+    return cut_lineage(verified(candidate_pairs(prints, tile, radius, FIELD_RADIUS), texts, k, similarity))
 
 
 def equal_rows(ids: DataFrame, tile: int = TILE) -> DataFrame:

@@ -7,6 +7,10 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Removes the shuffle files of a query at its end.
+_SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One parquet table of a data directory."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -38,6 +42,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def cut_lineage_and_shuffles(df: DataFrame) -> DataFrame:
+    """``cut_lineage`` that also removes the shuffle files of ``df``, for steps that are repeated over large tables."""
+    spark = df.sparkSession
+    before = spark.conf.get(_SHUFFLE_CLEANUP, None)
+    spark.conf.set(_SHUFFLE_CLEANUP, "true")
+    try:
+        return cut_lineage(df.select("*"))  # the setting counts when a frame is made
+    finally:
+        spark.conf.unset(_SHUFFLE_CLEANUP) if before is None else spark.conf.set(_SHUFFLE_CLEANUP, before)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Give CPU-bound Python stages enough tasks.
 
